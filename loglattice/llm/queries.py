@@ -15,6 +15,18 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loglattice.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loglattice.llm.html_text import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loglattice.llm.tokens_rans import token_files
 
