@@ -61,11 +61,14 @@ def blocks(column: pa.Array, most: int = 2 << 20):
         at = end
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each row's first word, with the total at the end)."""
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray | None = None, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of each row's first word, with the total at the end).
+
+    between: another table of the bytes that separate words; prefix: hash so many leading bytes of each word only.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = (_SPACE if between is None else between)[data]
     begins = ~space
     begins[1:] &= space[:-1]
     edge = offsets[:-1][np.diff(offsets) > 0]
@@ -75,6 +78,8 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> t
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     terms = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
     terms[space] = 0
+    if prefix:
+        terms[np.arange(len(data)) - starts[np.maximum(np.cumsum(begins) - 1, 0)] >= prefix] = 0
     terms *= powers(BYTE_BASE, len(data))
     sums = np.add.reduceat(terms, starts)
     sums *= powers(inverse(BYTE_BASE), len(data))[starts]

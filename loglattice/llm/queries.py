@@ -27,6 +27,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loglattice.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loglattice.llm.tokens_rans import token_files
 
@@ -39,6 +45,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loglattice.llm.cotraining import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loglattice.llm.matroska import media_column
+
+    return media_column(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loglattice.llm.packing import pack
 
@@ -62,4 +80,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from loglattice.llm.mixing import mixture_sql
+
+    return {"op3_mixing": mixture_sql()}
