@@ -8,11 +8,14 @@ worker's bounded cache.
 from __future__ import annotations
 
 import os
+import re
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 
 CACHE_WORDS = 800_000  # entries a worker keeps in each of two tables, about 250 MB
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&]*)")
 _workers: dict[str, WordEncoder] = {}
 
 
@@ -32,42 +35,58 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """As _encode, for strings that are one word to the tokenizer each: many in one call, told apart by word number."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 2_000):
+            some = parts[at : at + 2_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64))) + 1
+            if len(cuts) + 1 != len(some):  # a tokenizer that splits them otherwise
+                out += self._encode(some)
+                continue
+            body = np.array(found.ids, self.dtype).tobytes()
+            ends = [*(cuts * self.dtype.itemsize).tolist(), len(body)]
+            out += [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words; a plain Latin word with plain punctuation behind is its letters' ids and the punctuation's."""
-        split, whole, need = {}, [], set()
-        for word in words:
-            text = word.decode()
-            stem = text.rstrip(".,;:!?*#%$&")
-            if stem.isalpha() and max(stem) < "Ā":
-                key = (stem.lower(), text[len(stem) :])
-                split[word] = key
-                need.update(k for k in key if k and k not in self.parts)
+        parts, split, whole, need = self.parts, [], [], set()
+        if len(parts) > CACHE_WORDS:
+            parts.clear()
+        for word, text in zip(words, b"\n".join(words).decode().split("\n"), strict=True):
+            if found := _PLAIN.fullmatch(text):
+                stem, tail = found.groups()
+                stem = stem.lower()
+                split.append((word, stem, tail))
+                if stem not in parts:
+                    need.add(stem)
+                if tail not in parts:
+                    need.add(tail)
             else:
                 whole.append(word)
-        if len(self.parts) + len(need) > CACHE_WORDS:
-            self.parts = {}
-            need = {k for key in split.values() for k in key if k}
+        parts[""] = b""
         need = list(need)
-        self.parts.update(zip(need, self._encode(need), strict=True))
-        self.parts[""] = b""
-        out = {w: self.parts[a] + self.parts[b] for w, (a, b) in split.items()}
-        out.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
+        parts.update(zip(need, self._encode_parts(need), strict=True))
+        out = {word: parts[stem] + parts[tail] for word, stem, tail in split}
+        if whole:
+            out.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
         return out
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
+        known = self.words
         split = [t.split() for t in texts]
-        distinct = set()
+        unknown: set[bytes] = set()
         for words in split:
-            distinct.update(words)
-        known = self.words
-        unknown = [w for w in distinct if w not in known]
-        here = self._learn(unknown) if unknown else {}
-        if len(known) + len(here) <= CACHE_WORDS:
-            known.update(here)
-        else:  # full: the first words stay, which are the frequent ones
-            here.update((w, known[w]) for w in distinct if w in known)
-            known = here
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            unknown.update(filterfalse(known.__contains__, words))
+        here = self._learn(list(unknown)) if unknown else {}
+        known.update(here)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > CACHE_WORDS:  # full: the first words stay, which are the frequent ones
+            for word in here:
+                del known[word]
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
