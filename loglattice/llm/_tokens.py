@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 800_000  # entries a worker keeps in each of two tables, about 250 MB
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&]*)")
+from loglattice.llm._words import blocks, word_ends, word_hashes, word_starts
+
+CACHE_WORDS = 1_500_000  # words a worker keeps, about 60 MB, and parts of unseen words, about 200 MB
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*#%$&]*)\n|([^\n]+)\n")
 _workers: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """bytes of UTF-8 text -> little-endian 16-bit (``wide``: 32-bit) ids."""
+    """Ids of whole texts; the cache goes by 64-bit word hashes, so a known word is never made a Python object."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,8 +29,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes, and where in flat each word's ids begin and how many they are
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -50,43 +53,63 @@ class WordEncoder:
             out += [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of words; a plain Latin word with plain punctuation behind is its letters' ids and the punctuation's."""
-        parts, split, whole, need = self.parts, [], [], set()
-        if len(parts) > CACHE_WORDS:
+        parts = self.parts
+        if len(parts) > CACHE_WORDS // 2:
             parts.clear()
-        for word, text in zip(words, b"\n".join(words).decode().split("\n"), strict=True):
-            if found := _PLAIN.fullmatch(text):
-                stem, tail = found.groups()
-                stem = stem.lower()
-                split.append((word, stem, tail))
-                if stem not in parts:
-                    need.add(stem)
-                if tail not in parts:
-                    need.add(tail)
-            else:
-                whole.append(word)
-        parts[""] = b""
-        need = list(need)
+        split = _PLAIN.findall(b"\n".join([*words, b""]).decode().lower())
+        need = list({part for stem, tail, _ in split for part in (stem, tail)}.difference(parts, ("",)))
         parts.update(zip(need, self._encode_parts(need), strict=True))
-        out = {word: parts[stem] + parts[tail] for word, stem, tail in split}
-        if whole:
-            out.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
+        parts[""] = b""
+        out = [parts[stem] + parts[tail] for stem, tail, _ in split]
+        if whole := [k for k, (_, _, other) in enumerate(split) if other]:
+            for k, found in zip(whole, self._encode([words[k].decode() for k in whole]), strict=True):
+                out[k] = found
         return out
 
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        known = self.words
-        split = [t.split() for t in texts]
-        unknown: set[bytes] = set()
-        for words in split:
-            unknown.update(filterfalse(known.__contains__, words))
-        here = self._learn(list(unknown)) if unknown else {}
-        known.update(here)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHE_WORDS:  # full: the first words stay, which are the frequent ones
-            for word in here:
-                del known[word]
-        return out
+    def rows(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin, with the total at the end)."""
+        hashes, first = word_hashes(offsets, data)
+        if not len(hashes):
+            return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        distinct, sample = ordered[new], order[new]
+        which = np.empty(len(hashes), np.int64)
+        which[order] = np.cumsum(new) - 1
+        at = np.searchsorted(self.keys, distinct)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        begin, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begin[known], count[known] = self.begin[at[known]], self.count[at[known]]
+        flat, used = self.flat, self.used
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            starts = word_starts(offsets, data)
+            own = sample[missing]
+            stops = offsets[np.searchsorted(first, own, "right")]
+            ends = word_ends(data, starts[own], stops)
+            raw = data.tobytes()
+            learnt = self._learn([raw[a:b] for a, b in zip(starts[own].tolist(), ends.tolist(), strict=True)])
+            sizes = np.array([len(x) for x in learnt], np.int64) // self.dtype.itemsize
+            body = np.frombuffer(b"".join(learnt), self.dtype)
+            begin[missing], count[missing] = used + np.cumsum(sizes) - sizes, sizes
+            if used + len(body) > len(flat):
+                flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(body) + (1 << 16), self.dtype)])
+            flat[used : used + len(body)] = body
+            if len(self.keys) + len(missing) <= CACHE_WORDS:  # once full the first words stay, which are the frequent ones
+                place = np.searchsorted(self.keys, distinct[missing])
+                self.keys = np.insert(self.keys, place, distinct[missing])
+                self.begin, self.count = np.insert(self.begin, place, begin[missing]), np.insert(self.count, place, count[missing])
+                self.flat, self.used = flat, used + len(body)
+        sizes = count[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1])
+        take = np.repeat(begin[which] - ends + sizes, sizes) + np.arange(total)
+        return flat[take], np.append(0, ends)[first]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -100,13 +123,6 @@ def token_batches(path: str, ids: pa.Array, texts: pa.Array, most: int = 2 << 20
     """(doc ids, ids of each text as an integer array) for consecutive rows of about ``most`` bytes; null text: empty."""
     own = encoder(path)
     values = ids.to_pylist()
-    texts = texts.cast(pa.large_binary()).to_pylist()
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or b"") <= most):
-            size += len(texts[end] or b"")
-            end += 1
-        found = own.batch([t or b"" for t in texts[at:end]])
-        yield values[at:end], [np.frombuffer(f, own.dtype) for f in found]
-        at = end
+    for at, offsets, data in blocks(texts, most):
+        flat, first = own.rows(offsets, data)
+        yield values[at : at + len(offsets) - 1], np.split(flat, first[1:-1])

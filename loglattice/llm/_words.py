@@ -86,6 +86,22 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False, betw
     return mix(sums), np.searchsorted(starts, offsets)
 
 
+def word_ends(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """End of each word; stops: where its row ends."""
+    space = np.flatnonzero(_SPACE[data])
+    at = np.searchsorted(space, starts)
+    return np.minimum(np.append(space, len(data))[at], stops)
+
+
+def word_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    begins[edge] = ~space[edge]
+    return np.flatnonzero(begins)
+
+
 def runs(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(Rabin-Karp hash, place of the first word) of every run of ``width`` words that lies in one row."""
     n = len(words)
