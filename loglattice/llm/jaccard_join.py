@@ -40,7 +40,7 @@ from loglattice.llm._words import blocks, mix, runs, word_hashes
 NUMERATOR, DENOMINATOR = 75, 100
 SALT = 256
 SPLIT = 128
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 HALF = np.uint64(1 << 63)
 
 
