@@ -136,7 +136,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
         y = labels[target]
         known = y >= 0
         train, held = known & ~fold, known & fold
-        positive = float((y[known] == 1).mean()) if known.any() else 0.0
+        positive = float((y[known] == 1).mean()) if known.any() else float(target == "quality")
         model[f"{target}_prior"] = np.array([positive])
         model[f"{target}_vocabulary"], model[f"{target}_text"] = np.zeros(0, np.uint64), np.zeros(1)
         model[f"{target}_meta"], model[f"{target}_join"] = np.zeros(meta.shape[1] + 1), np.zeros(3)

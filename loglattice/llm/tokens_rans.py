@@ -37,6 +37,7 @@ CHECKPOINT_STEPS = 128
 SEGMENT_TOKENS = 1 << 21
 MAGIC, VERSION = b"LLRA", 1
 END_ID = 2
+NO_ID = -(1 << 63)  # stands for a null doc_id in files
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -202,7 +203,7 @@ def _segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for values, tokens in token_batches(tokenizer_path, batch.column(0), batch.column(1)):
                 for doc, own in zip(values, tokens, strict=True):
                     wide = own.dtype
-                    ids.append(doc)
+                    ids.append(NO_ID if doc is None else doc)
                     parts.append(np.append(own, wide.type(end_id)))
                     at += len(own) + 1
                     if at >= SEGMENT_TOKENS:
@@ -238,7 +239,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Encode all documents to files in ``folder``; returns the manifest (part, number, tokens, path) and the table.
 
     Files in (part, number) order hold documents in ascending doc_id order; rows that repeat a doc_id are documents of
-    their own side by side; null and empty texts are the end id alone; an empty table gives no files.  The table is also
+    their own side by side, null doc_ids come first; null and empty texts are the end id alone; an empty table gives no files.  The table is also
     written to ``folder``/frequencies.
     """
     segments = stored(_segments(docs, tokenizer_path, end_id), "segments", "uncompressed")
@@ -276,7 +277,7 @@ def read_tokens(manifest: DataFrame, table: Table) -> DataFrame:
                 raw, starts = memoryview(ids.astype("<u4").tobytes()), ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(starts + bases[row["part"]] + row["before"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([row["path"].rsplit("/", 1)[1]] * len(docs))],
+                    [pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(starts + bases[row["part"]] + row["before"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([row["path"].rsplit("/", 1)[1]] * len(docs))],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "file"],
                 )
 
