@@ -40,6 +40,7 @@ from loglattice.llm._words import blocks, mix, runs, word_hashes
 NUMERATOR, DENOMINATOR = 75, 100
 SALT = 256
 SPLIT = 128
+SPREAD = 16  # parts of a pivot's pairs before its size is known
 BLOCK_BYTES = 4 << 20
 HALF = np.uint64(1 << 63)
 
@@ -252,10 +253,10 @@ def _distances(table: pa.Table) -> pa.Table:
     """One part of a region: every point against the pivot."""
     pivot = table.filter(pa.compute.equal(table.column("x"), table.column("p"))).slice(0, 1)
     if not len(pivot):
-        return pa.table({k: pa.array([], t) for k, t in (("p", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("diff", pa.int64()), ("reuse", pa.int64()), ("link", pa.bool_()))})
+        return pa.table({k: pa.array([], t) for k, t in (("p", pa.int64()), ("salt", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("diff", pa.int64()), ("reuse", pa.int64()), ("link", pa.bool_()))})
     base, size = np.frombuffer(pivot.column("body")[0].as_py(), np.uint64), pivot.column("n")[0].as_py()
     p = pivot.column("p")[0].as_py()
-    rows = [[], [], [], [], [], []]
+    salt, rows = pivot.column("salt")[0].as_py(), [[] for _ in range(7)]
     for x, n, body in zip(table.column("x").to_pylist(), table.column("n").to_pylist(), table.column("body").to_pylist(), strict=True):
         if x == p:
             continue
@@ -263,10 +264,10 @@ def _distances(table: pa.Table) -> pa.Table:
         at = np.searchsorted(base, own)
         at[at == len(base)] = 0
         shared = int((base[at] == own).sum()) if len(base) else 0
-        for column, value in zip(rows, (p, x, n, n + size - 2 * shared, size - shared + len(own) - shared, bool(linked(shared, n, size))), strict=True):
+        for column, value in zip(rows, (p, salt, x, n, n + size - 2 * shared, size - shared + len(own) - shared, bool(linked(shared, n, size))), strict=True):
             column.append(value)
-    kinds = (pa.int64(),) * 5 + (pa.bool_(),)
-    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["p", "x", "n", "diff", "reuse", "link"])
+    kinds = (pa.int64(),) * 6 + (pa.bool_(),)
+    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["p", "salt", "x", "n", "diff", "reuse", "link"])
 
 
 def _sub_join(table: pa.Table) -> pa.Table:
@@ -309,17 +310,21 @@ def links(points: DataFrame, spark) -> DataFrame:
     pairs = regions.join(pivots, "shingle").where("x <> p").select("p", "x").distinct()
     pairs = stored(pairs, "pairs")
     spread = pairs.groupBy("p").agg(F.count("*").alias("m")).select("p", F.ceil(F.col("m") / SALT).cast("long").alias("parts"))
-    salted = pairs.join(spread, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("salt"))
-    heads = spread.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    # a pivot may hold a third of all pairs, so no join goes by the pivot alone
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("x", F.lit(7)), F.lit(SPREAD)))
+    sizes = spread.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    salted = dealt.join(sizes, ["p", "deal"]).select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("salt"))
+    salts = spread.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    heads = salts.select("p", F.col("p").alias("x"), "salt")
     work = salted.unionByName(heads).join(sets, "x").select("p", "salt", "x", "n", "body")
-    measured = stored(work.groupBy("p", "salt").applyInArrow(_distances, "p long, x long, n long, diff long, reuse long, link boolean"), "measured")
+    measured = stored(work.groupBy("p", "salt").applyInArrow(_distances, "p long, salt long, x long, n long, diff long, reuse long, link boolean"), "measured")
     direct = measured.where("link").select(F.col("p").alias("a"), F.col("x").alias("b"))
     # what may still link: the bound of step 4 against the easiest partner its region has beyond r
     far = measured.where("not link").groupBy("p").agg(F.min("diff").alias("least"), F.max("n").alias("largest"), F.max("reuse").alias("most"))
-    rest = measured.join(far, "p").where("least(reuse, most) * 14 >= (diff + least) * 7 - (n + largest)").drop("least", "largest", "most")
+    rest = measured.join(far.join(salts, "p"), ["p", "salt"]).where("least(reuse, most) * 14 >= (diff + least) * 7 - (n + largest)").drop("least", "largest", "most")
     busy = rest.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.when(~F.col("link"), 1).otherwise(0)).alias("beyond"))
     busy = busy.where("m > 1 and beyond > 0").select("p", F.ceil(F.col("m") / SPLIT).cast("long").alias("parts"))
-    rest = rest.join(busy, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
+    rest = rest.join(busy.join(salts, "p"), ["p", "salt"]).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
     sides = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     split = rest.withColumn("cell", F.explode(sides)).select("p", "cell", "part", "x", "n", "diff", "reuse", "link")
     split = split.join(sets.select("x", "body"), "x")
