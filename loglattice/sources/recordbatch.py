@@ -11,6 +11,8 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loglattice.functions.binary import crc32c, unzigzag, zigzag
 
@@ -92,10 +94,9 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     Files come through Spark's own binary reader, so any store it reads will do; one file is one task's row.
     """
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
+    def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, rows = 0, []
@@ -109,7 +110,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     rows += [{"path": name} | r for r in found[0]]
                     at = found[1]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(StructType.fromDDL(SCHEMA)))
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
