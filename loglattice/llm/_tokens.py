@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from loglattice.llm._words import blocks, word_ends, word_hashes, word_starts
 
-CACHE_WORDS = 1_500_000  # words a worker keeps, about 60 MB, and parts of unseen words, about 200 MB
+CACHE_WORDS = 800_000  # words a worker keeps, about 30 MB, and half as many parts of unseen words, about 90 MB
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*#%$&]*)\n|([^\n]+)\n")
 _workers: dict[str, WordEncoder] = {}
 

@@ -7,6 +7,8 @@ a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +21,18 @@ _LOWER[0x41:0x5B] += 0x20
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, kept fixed: freed arrays go back to the system
+
+
+def trim() -> None:
+    """Give freed memory back; workers live on between tasks and stages and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; tables grow by doubling and stay in the worker."""
     size = 1 << max(16, (max(n, 1) - 1).bit_length())
@@ -59,6 +73,7 @@ def blocks(column: pa.Array, most: int = 2 << 20):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, offsets[at : end + 1] - offsets[at], data[offsets[at] : offsets[end]]
         at = end
+    trim()
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray | None = None, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:

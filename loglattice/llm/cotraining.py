@@ -96,7 +96,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
 def _sample_rows(batches):
     """Features of the sampled documents."""
     for batch in batches:
-        for at, offsets, data in blocks(batch.column("text"), 4 << 20):
+        for at, offsets, data in blocks(batch.column("text"), 1 << 20):
             rows = len(offsets) - 1
             row, feature = text_view(offsets, data)
             numbers = metadata_view(offsets, data)
@@ -245,7 +245,7 @@ class Scorer:
 def _scored(batches, scorer: Scorer):
     for batch in batches:
         lang, source = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for at, offsets, data in blocks(batch.column("text"), 4 << 20):
+        for at, offsets, data in blocks(batch.column("text"), 1 << 20):
             rows = len(offsets) - 1
             chance = scorer.chances(offsets, data, lang[at : at + rows], source[at : at + rows])
             # without words there is nothing to judge by, and nothing to train on

@@ -41,7 +41,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 SALT = 256
 SPLIT = 128
 SPREAD = 16  # parts of a pivot's pairs before its size is known
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 HALF = np.uint64(1 << 63)
 
 
@@ -180,7 +180,7 @@ def _point_blocks(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, wanted = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for at, hashes, cut in shingle_sets(batch.column(1), width, 4 << 20):
+            for at, hashes, cut in shingle_sets(batch.column(1), width, BLOCK_BYTES):
                 keep = [i for i in range(len(cut) - 1) if _digest(hashes[cut[i] : cut[i + 1]]) == wanted[at + i]]
                 if not keep:
                     continue

@@ -103,7 +103,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             column = batch.column(2)
             hit = np.zeros(len(column), bool)
-            for at, offsets, data in blocks(column, 8 << 20):
+            for at, offsets, data in blocks(column, 2 << 20):
                 marks = np.concatenate(([0], np.cumsum(_HIT[data])))
                 hit[at : at + len(offsets) - 1] = np.diff(marks[offsets]) > 0
             base, near = [[]] * len(column), [[]] * len(column)
