@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from loglattice import catalog_control
 from loglattice.operators import groups, log, metrics, replication, security, stateful, txn
-from loglattice.plans.fixtures import Frames, oracle
-
-_QUERIES: dict[str, Callable] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        def run(spark, sf_dir) -> DataFrame:
-            out = f(Frames(spark, sf_dir))
-            small = [c.name for c in out.schema if isinstance(c.dataType, (T.IntegerType, T.ShortType, T.ByteType))]
-            return out.withColumns({c: F.col(c).cast("long") for c in small}) if small else out
-
-        _QUERIES[name] = run
-        if sql:
-            _ORACLES[name] = oracle(sql)
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+from loglattice.plans.registry import oracle_sql, queries, query
 
+__all__ = ["catalog_control", "oracle_sql", "queries"]
 
 # scans, sources, sinks
 

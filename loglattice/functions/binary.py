@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _POLYNOMIAL = 0x82F63B78  # Castagnoli, reflected
@@ -60,3 +61,76 @@ def unzigzag(data: bytes, at: int) -> tuple[int, int]:
         if byte < 0x80:
             return value >> 1 ^ -(value & 1), at
         shift += 7
+
+
+def big_endian(number: Column, size: int) -> Column:
+    """The last ``size`` bytes of a 64-bit integer, as columns of the JVM."""
+    return F.unhex(F.right(F.lpad(F.hex(number.cast("long")), 16, "0"), F.lit(2 * size)))
+
+
+def counted_text(text: Column) -> Column:
+    """Two bytes of length, then UTF-8; for texts without NUL and of the basic plane up to 65,535 bytes."""
+    data = F.encode(text, "UTF-8")
+    return F.concat(big_endian(F.octet_length(data), 2), data)
+
+
+def integer_at(data: Column, at: Column | int, size: int) -> Column:
+    """The signed big-endian integer of ``size`` bytes at a 1-based place; null where the bytes end before.
+
+    Each argument stands in the result as seldom as it can, since places nest.
+    """
+    digits = F.hex(F.substring(data, at, size))
+    value, shift = F.conv(digits, 16, -10).cast("long"), 64 - 8 * size
+    return F.when(F.length(digits) == 2 * size, F.shiftright(F.shiftleft(value, shift), shift))
+
+
+def text_at(data: Column, at: Column | int) -> tuple[Column, Column]:
+    """(text, place behind it) of a counted text; null where the text ends before."""
+    at = F.lit(at) if isinstance(at, int) else at
+    size = F.conv(F.hex(F.substring(data, at, 2)), 16, 10).cast("int")
+    part = F.substring(data, at + 2, size)
+    return F.when(F.octet_length(part) == size, F.decode(part, "UTF-8")), at + 2 + size
+
+
+OFFSET_KEY, GROUP_KEY = 1, 2
+
+
+def offset_key(group: Column, topic: Column, part: Column) -> Column:
+    return F.concat(big_endian(F.lit(OFFSET_KEY), 1), counted_text(group), counted_text(topic), big_endian(part, 4))
+
+
+def offset_value(offset: Column, epoch: Column, metadata: Column, at_ms: Column) -> Column:
+    return F.concat(big_endian(offset, 8), big_endian(epoch, 4), counted_text(F.coalesce(metadata, F.lit(""))), big_endian(at_ms, 8))
+
+
+def read_offset_key(key: Column) -> Column:
+    """struct(grp, topic, part); null for keys of another type and cut-off ones."""
+    grp, place = text_at(key, 2)
+    topic, place = text_at(key, place)
+    part = integer_at(key, place, 4)
+    return F.when((integer_at(key, 1, 1) == OFFSET_KEY) & part.isNotNull(), F.struct(grp.alias("grp"), topic.alias("topic"), part.alias("part")))
+
+
+def read_offset_value(value: Column) -> Column:
+    """struct(committed, epoch, metadata, at_ms); null for cut-off values."""
+    metadata, place = text_at(value, 13)
+    at_ms = integer_at(value, place, 8)
+    return F.when(at_ms.isNotNull(), F.struct(integer_at(value, 1, 8).alias("committed"), integer_at(value, 9, 4).alias("epoch"), metadata.alias("metadata"), at_ms.alias("at_ms")))
+
+
+def transaction_value(pid: Column, epoch: Column, state: Column, timeout_ms: Column, at_ms: Column, partitions: Column) -> Column:
+    """Value of the transaction topic; state is its code, partitions an array of struct(topic, part)."""
+    parts = F.transform(partitions, lambda p: F.concat(counted_text(p["topic"]), big_endian(p["part"], 4)))
+    head = F.concat(big_endian(pid, 8), big_endian(epoch, 4), big_endian(state, 1), big_endian(timeout_ms, 4), big_endian(at_ms, 8), big_endian(F.size(partitions), 4))
+    return F.aggregate(parts, head, lambda a, p: F.concat(a, p))
+
+
+def zigzag_column(value: Column) -> Column:
+    """The zig-zag form of a 64-bit integer, itself signed 64 bits."""
+    return F.shiftleft(value, 1).bitwiseXOR(F.shiftright(value, 63))
+
+
+def varint_size(value: Column) -> Column:
+    """Bytes of the variable-length form of a 64-bit integer."""
+    bits = F.length(F.bin(zigzag_column(value)))
+    return F.ceil(bits / 7).cast("long")

@@ -47,6 +47,13 @@ def assignment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.withColumn("change", F.lit("revoked")).unionByName(added.withColumn("change", F.lit("added")))
 
 
+def group_poll(log: DataFrame, assigned: DataFrame, positions: DataFrame, most: int) -> DataFrame:
+    """One fetch of at most ``most`` rows from each assigned(member, part), from positions(part, off) or the beginning on."""
+    start = positions.select("part", F.col("off").alias("start"))
+    rows = log.join(assigned.join(start, "part", "left"), "part").where(F.col("off") >= F.coalesce("start", F.lit(0)))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("off"))).where(F.col("r") <= most).select("member", "part", "off")
+
+
 def offset_expiry(commits: DataFrame, cutoff) -> DataFrame:
     """Groups whose newest commit is older than the cutoff."""
     return commits.groupBy("grp").agg(F.max("ts").alias("newest")).where(F.col("newest") < cutoff)

@@ -94,15 +94,19 @@ def cas_steps(rows: Iterable[tuple[int, int, int]]) -> list[bool]:
     return out
 
 
-def greedy_moves(replicas: list[tuple[int, int]], loads: dict[int, int], leaving: int) -> dict[int, int | None]:
-    """part -> the least loaded broker that does not hold it yet, loads updated on the way; None where there is none."""
-    held: dict[int, set[int]] = {}
+def greedy_moves(replicas: list[tuple[int, int]], loads: dict[int, int], leaving: int, racks: dict[int, str] | None = None) -> dict[int, int | None]:
+    """part -> the least loaded broker that does not hold it yet, loads updated on the way; None where there is none.
+
+    Brokers in a named rack that the partition's other replicas do not cover go first.
+    """
+    racks, held = racks or {}, {}
     for part, broker in replicas:
         held.setdefault(part, set()).add(broker)
     loads, out = {b: n for b, n in loads.items() if b != leaving}, {}
     for part in sorted(p for p, own in held.items() if leaving in own):
-        free = [(n, b) for b, n in loads.items() if b not in held[part]]
-        out[part] = min(free)[1] if free else None
+        covered = {racks.get(b, "") for b in held[part] if b != leaving} | {""}
+        free = [(racks.get(b, "") in covered, n, b) for b, n in loads.items() if b not in held[part]]
+        out[part] = min(free)[2] if free else None
         if free:
             loads[out[part]] += 1
     return out

@@ -47,6 +47,18 @@ VIEWS = {
          case when event_id % 5 = 0 then 'group' else 'topic' end as rtype,
          case event_id % 3 when 0 then 'orders' when 1 then 'ordinals' else 'g1' end as rname,
          case when event_id % 2 = 0 then 'produce' else 'consume' end as op from events""",
+    "v_meta": """select event_id as off, case event_id % 10 when 0 then 'topic' when 1 then 'partition' when 2 then 'config' when 3 then 'topic'
+           when 4 then 'broker' when 5 then 'acl' when 6 then 'remove_acl' when 7 then 'producer_id' when 8 then 'reassignment'
+           else case when event_id % 70 = 9 then 'delete_topic' else 'partition' end end as kind,
+         concat('t', cast(user_id % 40 as varchar(9))) as name, cast(event_id % 3 as bigint) as item,
+         case when event_id % 4 = 2 and event_id % 10 = 8 then null else event_id * 7 % 1000 end as value,
+         cast(event_id % 6 as bigint) as leader_epoch, cast(event_id % 4 as bigint) as partition_epoch from events""",
+    "v_staged": """select part as coordinator, pid, off as log_pos,
+         case when not is_control then 'stage' when marker = 'COMMIT' then 'commit' else 'abort' end as event,
+         case when not is_control then concat('c', cast(part as varchar(9)), 'g', cast(event_id % 2 as varchar(9))) end as grp,
+         cast(coalesce(event_id, 0) % 5 as bigint) as part, off * 10 as committed, cast(0 as bigint) as epoch
+       from v_tlog where pid > 0""",
+    "v_masks": """select event_id as member, user_id * 7 % 256 as current_bits, user_id * 37 % 256 as target_bits from events""",
     "v_sample": """select cast(user_id % 3 + 1 as bigint) as broker, event_id as seq, ts,
          case when event_type in ('click', 'view') then 'FETCH' else 'PRODUCE' end as op,
          cast(floor(value * 1000) as bigint) as latency_us, cast(length(props) as bigint) as bytes from events""",

@@ -16,6 +16,11 @@ def events_stream(spark: SparkSession, folder: str, schema, glob: str = "events.
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def from_position(stream: DataFrame, column: str, start: int) -> DataFrame:
+    """Rows from a position on: seek.  The beginning is 0; a new position needs a new checkpoint."""
+    return stream.where(F.col(column) >= start)
+
+
 def tumbling_counts(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window; rows later than the watermark are dropped with their window closed."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
