@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from loglattice.functions import binary
-from loglattice.operators import control, coordinator, groups, log, metrics, stateful
+from loglattice.operators import control, coordinator, groups, log, metrics, replication, stateful
 from loglattice.plans.registry import query
-from loglattice.sources import tables
+from loglattice.sources import recordbatch, tables
 
 # tables and codecs
 
@@ -33,6 +33,10 @@ query("codec_offsets_topic_read", "select grp, 't' as topic, part, committed, lo
 query("codec_txn_topic", "select event_id, printf('%016X', event_id) || '00000002' || '01' || '0000EA60' || printf('%016X', event_id * 1000) || '00000001' || '0001' || hex('t') || printf('%08X', user_id % 4) as value_hex from events")(
     lambda f: f.events.select("event_id", F.hex(binary.transaction_value(F.col("event_id"), F.lit(2), F.lit(1), F.lit(60000), F.col("event_id") * 1000, F.array(F.struct(F.lit("t").alias("topic"), (F.col("user_id") % 4).alias("part"))))).alias("value_hex"))
 )
+query("codec_batch", "select part, off, event_id::varchar as k, v from v_log")(lambda f: _through_batches(f))
+query("codec_txn_topic_read", "select event_id as pid, 2 as epoch, 1 as state, 60000 as timeout_ms, event_id * 1000 as at_ms, 2 as n from events")(
+    lambda f: f.events.select(binary.read_transaction_head(binary.transaction_value(F.col("event_id"), F.lit(2), F.lit(1), F.lit(60000), F.col("event_id") * 1000, F.array_repeat(F.struct(F.lit("t").alias("topic"), F.lit(1).alias("part")), 2))).alias("r")).select("r.*")
+)
 query("varint", "select event_id, case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end as zigzag, case when event_id = 0 then 1 else floor(log2(case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end) / 7)::bigint + 1 end as size from events")(
     lambda f: f.events.withColumn("x", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 5000).otherwise(F.col("event_id") * -5000)).select("event_id", binary.zigzag_column(F.col("x")).alias("zigzag"), binary.varint_size(F.col("x")).alias("size"))
 )
@@ -49,6 +53,12 @@ def _appended(f):
     return tables.appended(ends, marked.where("event_id > half"), "event_id").select("part", "off", "event_id")
 
 
+def _through_batches(f):
+    """The log as record batches of ten, zstd where smaller, and read again."""
+    rows = f.v_log.select("part", "off", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("key"), F.encode("v", "UTF-8").alias("value"))
+    return recordbatch.decoded(recordbatch.encoded(rows, 10, zstd=True)).select("part", "off", F.decode("key", "UTF-8").alias("k"), F.decode("value", "UTF-8").alias("v"))
+
+
 def _read_back(f):
     rows = f.v_commit.where("committed is not null")
     coded = rows.select(binary.offset_key(F.col("grp"), F.lit("t"), F.col("part")).alias("key"), binary.offset_value(F.col("committed"), F.lit(-1), F.lit("m"), F.col("log_pos")).alias("value"))
@@ -93,6 +103,10 @@ query(
 query("same_set", "select member, current_bits = target_bits as same, current_bits | target_bits as either from v_masks")(
     lambda f: _sets(f).select("member", control.same_set(F.reverse("current"), F.col("target")).alias("same"), _bits(F.array_union("current", "target")).alias("either"))
 )
+query("raft_commit_current_term", "select part, case when median(leo)::bigint >= part * 700 + 200 then median(leo)::bigint else -1 end as commit_index from v_replica group by part")(
+    lambda f: replication.raft_commit_index(f.v_replica.withColumnRenamed("leo", "match_index"), f.v_log.select("part").distinct().withColumn("start_off", F.col("part") * 700 + 200))
+)
+query("high_watermark_floor", "select part, greatest(min(leo), part * 900) as hwm from v_replica where in_isr group by part")(lambda f: replication.high_watermark(f.v_replica, f.v_log.select("part").distinct().withColumn("floor", F.col("part") * 900)))
 query("offline_cluster", "select max(n) as n from (select broker, count(*) as n from v_replica where not in_isr group by broker) t")(lambda f: f.v_replica.where("not in_isr").groupBy("broker").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")))
 query("group_metadata_latest", "select grp, max(log_pos) as log_pos, arg_max(part, log_pos * 10 + part) as part from v_commit group by grp")(
     lambda f: f.v_commit.groupBy("grp").agg(F.max(F.struct("log_pos", "part")).alias("r")).select("grp", "r.log_pos", "r.part")
@@ -135,6 +149,9 @@ query("txn_marker_apply")(
 query("txn_timeout", "select part * 10 + pid as txn_id, 'PREPARE_ABORT' as state, txn_no + 1 as epoch, last_off as at_ms from v_txn where outcome = 'OPEN' and 5000 - last_off > 100")(
     lambda f: coordinator.txn_timeout(f.v_txn.select((F.col("part") * 10 + F.col("pid")).alias("txn_id"), F.when(F.col("outcome") == "OPEN", "ONGOING").otherwise("COMPLETE").alias("state"), F.col("txn_no").alias("epoch"), F.col("last_off").alias("at_ms")), 5000, 100)
 )
+query("assign_uniform_mixed", "select topic, part, case when topic = 'a' then 'm' || (part % 2 + 1) else 'm' || ((part + 2) % 3 + 1) end as member from (select 'a' as topic, x as part from range(4) t(x) union all select 'b', x from range(6) t(x)) p")(
+    lambda f: coordinator.assign_uniform_mixed(f.spark.sql("select * from values ('a', 'm1'), ('a', 'm2'), ('b', 'm1'), ('b', 'm2'), ('b', 'm3') as t(topic, member)"), f.spark.sql("select * from values ('a', 4L), ('b', 6L), ('c', 2L) as t(topic, n)"))
+)
 query("throttle_grant")(lambda f: stateful.folded(f.v_sample.select("broker", "seq", "bytes"), ["broker"], ["seq"], ["seq", "bytes"], lambda r: coordinator.grant_steps(r, 2000.0, 2000.0), "granted", "long"))
 query("producer_lru", "select part, pid, off from (select part, pid, max(last_off) as off, row_number() over (partition by part order by max(last_off) desc, pid) as r from v_batch group by part, pid) t where r <= 3")(lambda f: coordinator.producer_lru(f.v_batch.select("part", "pid", F.col("last_off").alias("off")), 3))
 
@@ -156,6 +173,15 @@ def _stream_seek(f):
     return _collected(from_position(events_stream(f.spark, f.dir, f.events.schema), "event_id", 500).select("event_id", F.upper("event_type").alias("v")), "append")
 
 
+@query("idempotent_dedup", "select part, pid, seq, 1 as n, case when first then 'append' else 'out_of_order' end as verdict from (select user_id % 4 as part, event_id % 5 as pid, event_id as seq, row_number() over (partition by user_id % 4, event_id % 5 order by event_id) = 1 as first from events) t")
+def _idempotent_dedup(f):
+    """Sequences of five interleaved producers never continue one another, so all but the first are out of order."""
+    from loglattice.streaming.jobs import dedup_stream, events_stream
+
+    stream = events_stream(f.spark, f.dir, f.events.schema).select((F.col("user_id") % 4).alias("part"), (F.col("event_id") % 5).alias("pid"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("n"))
+    return _collected(dedup_stream(stream), "append")
+
+
 @query("stream_sessions", "select min(ts) as start, user_id, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when ts > lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 1 else 0 end as fresh from events) a) b group by user_id, session")
 def _stream_sessions(f):
     from loglattice.streaming.jobs import events_stream, session_counts

@@ -125,6 +125,13 @@ def transaction_value(pid: Column, epoch: Column, state: Column, timeout_ms: Col
     return F.aggregate(parts, head, lambda a, p: F.concat(a, p))
 
 
+def read_transaction_head(value: Column) -> Column:
+    """struct(pid, epoch, state, timeout_ms, at_ms, n): all but the n partitions behind it; null where it is cut off."""
+    n = integer_at(value, 26, 4)
+    fields = {"pid": (1, 8), "epoch": (9, 4), "state": (13, 1), "timeout_ms": (14, 4), "at_ms": (18, 8), "n": (26, 4)}
+    return F.when(n.isNotNull(), F.struct(*[integer_at(value, *place).alias(name) for name, place in fields.items()]))
+
+
 def zigzag_column(value: Column) -> Column:
     """The zig-zag form of a 64-bit integer, itself signed 64 bits."""
     return F.shiftleft(value, 1).bitwiseXOR(F.shiftright(value, 63))

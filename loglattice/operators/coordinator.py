@@ -158,6 +158,39 @@ def raw_append_steps(rows: Iterable[tuple[int, int]], end: int = 0) -> list[str]
     return out
 
 
+def deal_steps(pairs: list[tuple[str, int]], subscribed: dict[str, set[str]]) -> list[tuple[str, int, str]]:
+    """Deals (topic, part) in order round the sorted members; the turn passes on from whoever took the last one.
+
+    A pair that nobody subscribes to is not dealt.
+    """
+    members, turn, out = sorted(subscribed), 0, []
+    for topic, part in pairs:
+        takers = [k for k, member in enumerate(members) if topic in subscribed[member]]
+        if takers:
+            taker = next((k for k in takers if k >= turn), takers[0])
+            out.append((topic, part, members[taker]))
+            turn = (taker + 1) % len(members)
+    return out
+
+
+def assign_uniform_mixed(subscriptions: DataFrame, partitions: DataFrame) -> DataFrame:
+    """subscriptions(topic, member), partitions(topic, n) -> (topic, part, member), members subscribed to different topics.
+
+    Who takes a partition depends on all before it: one fold over the group's metadata.
+    """
+    both = subscriptions.select("topic", "member", F.lit(None).cast("long").alias("n")).unionByName(partitions.select("topic", F.lit(None).cast("string").alias("member"), "n"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        subscribed: dict[str, set[str]] = {}
+        for topic, member in rows[rows.member.notna()][["topic", "member"]].itertuples(index=False):
+            subscribed.setdefault(member, set()).add(topic)
+        sizes = rows[rows.member.isna()].sort_values("topic")
+        pairs = [(t, p) for t, n in zip(sizes.topic, sizes.n, strict=True) for p in range(int(n))]
+        return pd.DataFrame(deal_steps(pairs, subscribed), columns=["topic", "part", "member"])
+
+    return both.groupBy().applyInPandas(run, "topic string, part long, member string")
+
+
 def replayed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """The rows that ``step`` makes of each key's rows in order; the keys stand in front of ``schema``."""
     kinds = dict(rows.dtypes)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def high_watermark(replicas: DataFrame) -> DataFrame:
-    """Smallest log end over the in-sync replicas; one never seen counts as 0."""
-    return replicas.where("in_isr").groupBy("part").agg(F.when(F.count_if(F.col("leo").isNull()) > 0, F.lit(0).cast("long")).otherwise(F.min("leo")).alias("hwm"))
+def high_watermark(replicas: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Smallest log end over the in-sync replicas; one never seen counts as 0; never below prior(part, floor)."""
+    unseen = F.count_if(F.col("leo").isNull()) > 0
+    marks = replicas.where("in_isr").groupBy("part").agg(F.when(unseen, F.lit(0).cast("long")).otherwise(F.min("leo")).alias("hwm"))
+    return marks if prior is None else marks.join(prior, "part", "left").select("part", F.greatest("hwm", "floor").alias("hwm"))
 
 
 def hwm_history(candidates: DataFrame, order: str, value: str) -> DataFrame:
@@ -26,13 +28,17 @@ def epoch_for_offset(epochs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def offsets_for_leader_epoch(epochs: DataFrame, ends: DataFrame, requests: DataFrame) -> DataFrame:
-    """Start of the epoch after the floor epoch, the log end if it is the last, -1 without one."""
-    spans = epochs.withColumn("next_start", F.lead("start_off").over(Window.partitionBy("part").orderBy("epoch")))
-    floor = requests.join(spans, (requests["req"] >= spans["epoch"])).groupBy(spans["part"], "req").agg(F.max_by("next_start", "epoch").alias("next_start"), F.max("epoch").alias("epoch"))
-    every = ends.join(F.broadcast(requests))
-    joined = every.join(floor, ["part", "req"], "left")
-    end = F.when(F.col("epoch").isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce("next_start", "leo"))
-    return joined.select("part", "req", end.alias("end_offset"))
+    """requests(part, req): start of the epoch after the floor epoch, the log end if it is the last, -1 without one.
+
+    A backward as-of join on epochs in one sorted pass per partition; requests of partitions without a log end go.
+    """
+    following = F.coalesce(F.lead("start_off").over(Window.partitionBy("part").orderBy("epoch")), F.lit(-1))
+    spans = epochs.select("part", F.col("epoch").alias("req"), F.lit(0).alias("kind"), following.alias("next_start"))
+    both = spans.unionByName(requests.select("part", "req", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("next_start")))
+    w = Window.partitionBy("part").orderBy("req", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("floor", F.last("next_start", ignorenulls=True).over(w)).where("kind = 1").join(ends, "part")
+    end = F.when(F.col("floor").isNull(), F.lit(-1).cast("long")).when(F.col("floor") == -1, F.col("leo")).otherwise(F.col("floor"))
+    return found.select("part", "req", end.alias("end_offset"))
 
 
 def epoch_lineage(log: DataFrame) -> DataFrame:
@@ -79,11 +85,18 @@ def plan_reassignment(plans: DataFrame) -> DataFrame:
     return plans.withColumns({"step": step, "after": after})
 
 
-def raft_commit_index(matches: DataFrame) -> DataFrame:
-    """Largest index held by a majority of voters: the match at place quorum from the top."""
+def raft_commit_index(matches: DataFrame, term_starts: DataFrame | None = None) -> DataFrame:
+    """Largest index held by a majority of voters: the match at place quorum from the top.
+
+    With term_starts(part, start_off), the first index of the current term, an index of an older term does not commit: -1.
+    """
     w = Window.partitionBy("part").orderBy(F.col("match_index").desc(), "broker")
     ranked = matches.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy("part"))})
-    return ranked.where(F.col("r") == F.floor(F.col("m") / 2.0) + 1).select("part", F.col("match_index").alias("commit_index"))
+    held = ranked.where(F.col("r") == F.floor(F.col("m") / 2.0) + 1).select("part", F.col("match_index").alias("commit_index"))
+    if term_starts is None:
+        return held
+    current = F.col("commit_index") >= F.col("start_off")
+    return held.join(term_starts, "part", "left").select("part", F.when(current, F.col("commit_index")).otherwise(F.lit(-1).cast("long")).alias("commit_index"))
 
 
 def partition_state_merge(states: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -85,6 +86,38 @@ def decode(data: bytes, at: int = 0) -> tuple[list[dict], int] | None:
     return rows, end
 
 
+def encoded(log: DataFrame, size: int, zstd: bool = False) -> DataFrame:
+    """log(part, off, ts_ms, key, value) with binary keys and values as batches of ``size`` offsets: (part, base_off, data).
+
+    A batch starts at its first row's offset; rows that compaction took away leave gaps, which a batch cannot hold, so
+    ``log`` has dense offsets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("off")
+        records = [(t, k, v, []) for t, k, v in zip(*(table.column(c).to_pylist() for c in ("ts_ms", "key", "value")), strict=True)]
+        base = table.column("off")[0].as_py()
+        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int64()), "base_off": pa.array([base], pa.int64()), "data": pa.array([encode(base, records, zstd=zstd)], pa.binary())})
+
+    batch = (F.col("off") / size).cast("long").alias("batch")
+    return log.groupBy("part", batch).applyInArrow(run, "part long, base_off long, data binary")
+
+
+def decoded(batches: DataFrame) -> DataFrame:
+    """Rows of batches(part, data); a damaged or partial batch raises."""
+    schema = to_arrow_schema(StructType.fromDDL("part long, off long, ts_ms long, key binary, value binary"))
+
+    def run(tables):
+        for table in tables:
+            for part, data in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+                found = decode(data)
+                if found is None:
+                    raise ValueError("partial batch")
+                yield pa.RecordBatch.from_pylist([{"part": part} | {c: r[c] for c in ("off", "ts_ms", "key", "value")} for r in found[0]], schema)
+
+    return batches.select("part", "data").mapInArrow(run, "part long, off long, ts_ms long, key binary, value binary")
+
+
 SCHEMA = "path string, off long, ts_ms long, key binary, value binary, headers array<struct<key:binary,value:binary>>, base_offset long, leader_epoch int, producer_id long, producer_epoch int, base_sequence int, is_transactional boolean, is_control boolean"
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from loglattice.functions import binary
-from loglattice.operators import control, coordinator, groups, stateful
-from loglattice.sources import tables
+from loglattice.operators import control, coordinator, groups, replication, stateful
+from loglattice.sources import recordbatch, tables
 
 
 def rows(df, *columns):
@@ -52,6 +52,30 @@ def test_folds_of_markers_grants_and_raw_appends():
     assert stateful.greedy_moves([(0, 1), (0, 2)], {1: 1, 2: 1, 3: 0, 4: 5}, 1, {1: "a", 2: "b", 3: "b", 4: "c"}) == {0: 4}
 
 
+def test_deal_skips_members_that_do_not_subscribe():
+    subscribed = {"m1": {"a"}, "m2": {"a", "b"}, "m3": {"b"}}
+    assert coordinator.deal_steps([("a", 0), ("b", 0), ("b", 1), ("b", 2), ("a", 1), ("c", 0)], subscribed) == [("a", 0, "m1"), ("b", 0, "m2"), ("b", 1, "m3"), ("b", 2, "m2"), ("a", 1, "m1")]
+    assert coordinator.deal_steps([("a", 0)], {}) == []
+
+
+def test_epoch_requests_and_commit_index(spark):
+    epochs = spark.createDataFrame([(0, 1, 0), (0, 4, 50)], "part long, epoch long, start_off long")
+    ends = spark.createDataFrame([(0, 80), (1, 9)], "part long, leo long")
+    asked = spark.createDataFrame([(0, 0), (0, 1), (0, 3), (0, 4), (0, 9), (1, 0)], "part long, req long")
+    assert rows(replication.offsets_for_leader_epoch(epochs, ends, asked), "part", "req", "end_offset") == [(0, 0, -1), (0, 1, 50), (0, 3, 50), (0, 4, 80), (0, 9, 80), (1, 0, -1)]
+    matches = spark.createDataFrame([(0, 1, 10), (0, 2, 7), (0, 3, 3), (1, 1, 5)], "part long, broker long, match_index long")
+    starts = spark.createDataFrame([(0, 8), (1, 5)], "part long, start_off long")
+    assert rows(replication.raft_commit_index(matches), "part", "commit_index") == [(0, 7), (1, 5)]
+    assert rows(replication.raft_commit_index(matches, starts), "part", "commit_index") == [(0, -1), (1, 5)]
+
+
+def test_record_batches_through_frames(spark):
+    log = spark.createDataFrame([(p, o, o, b"k", None if o % 3 else b"v") for p in range(2) for o in range(7)], "part long, off long, ts_ms long, key binary, value binary")
+    batches = recordbatch.encoded(log, 3)
+    assert rows(batches, "part", "base_off") == [(p, b) for p in range(2) for b in (0, 3, 6)]
+    assert rows(recordbatch.decoded(batches), *log.columns) == rows(log, *log.columns)
+
+
 def test_decommission_refuses_whole(spark):
     replicas = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (1, 3), (2, 2)], "part long, broker long")
     brokers = spark.createDataFrame([(1, None), (2, None), (3, None)], "broker long, rack string")
