@@ -132,6 +132,21 @@ def read_transaction_head(value: Column) -> Column:
     return F.when(n.isNotNull(), F.struct(*[integer_at(value, *place).alias(name) for name, place in fields.items()]))
 
 
+def read_transaction_partitions(value: Column) -> Column:
+    """array(struct(topic, part)) behind the head; null where the bytes cannot hold as many."""
+    n = integer_at(value, 26, 4)
+    empty = F.array().cast("array<struct<topic:string,part:bigint>>")
+
+    def one(read: Column, _: Column) -> Column:
+        topic, at = text_at(value, read["at"])
+        entry = F.struct(topic.alias("topic"), integer_at(value, at, 4).alias("part"))
+        return F.struct((at + 4).alias("at"), F.concat(read["parts"], F.array(entry)).alias("parts"))
+
+    turns = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    read = F.aggregate(turns, F.struct(F.lit(30).alias("at"), empty.alias("parts")), one)
+    return F.when((n >= 0) & (6 * n + 29 <= F.octet_length(value)) & (read["at"] == F.octet_length(value) + 1), read["parts"])
+
+
 def zigzag_column(value: Column) -> Column:
     """The zig-zag form of a 64-bit integer, itself signed 64 bits."""
     return F.shiftleft(value, 1).bitwiseXOR(F.shiftright(value, 63))

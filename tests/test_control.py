@@ -112,6 +112,15 @@ def test_codecs_round_trip(spark):
     assert all(r["s"] == len(binary.zigzag(r["n"])) for r in numbers.select("n", binary.varint_size(F.col("n")).alias("s")).collect())
 
 
+def test_transaction_values_round_trip(spark):
+    table = spark.createDataFrame([(1, [("t", 3), ("grüße", -1), ("", 0)]), (2, [])], "pid long, parts array<struct<topic:string,part:bigint>>")
+    coded = table.select("pid", "parts", binary.transaction_value(F.col("pid"), F.lit(-3), F.lit(2), F.lit(60000), F.lit(-9), F.col("parts")).alias("v"))
+    for r in coded.select("pid", "parts", binary.read_transaction_head(F.col("v")).alias("h"), binary.read_transaction_partitions(F.col("v")).alias("p")).collect():
+        assert tuple(r["h"]) == (r["pid"], -3, 2, 60000, -9, len(r["parts"])) and r["p"] == r["parts"]
+    short = coded.where("pid = 1").select(binary.read_transaction_partitions(F.substring("v", 1, 33)).alias("a"), binary.read_transaction_partitions(F.substring("v", 1, 49)).alias("b"), binary.read_transaction_head(F.substring("v", 1, 20)).alias("c")).first()
+    assert tuple(short) == (None, None, None)
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "log")
     first = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "part long, v string")
