@@ -16,7 +16,7 @@ The join therefore narrows the corpus exactly before it chooses pivots:
    other; what is left are pairs with at least one point beyond r.  For those, with D(x) the symmetric difference of x
    and the pivot, a link needs |D(x) & D(y)| >= (|D(x)| + |D(y)| - (|x| + |y|) / 7) / 2, the triangle inequality of
    the symmetric difference with its slack made explicit; points whose reusable part of D is too small for any partner
-   drop out.
+   drop out: points beyond r are held against all others of the region, points within r against those beyond.
 5. Recursion.  The remaining points of a region are joined exactly in sub-regions of at most ``SPLIT`` points a side.
 
 Sets travel as sorted 64-bit hashes.  Nothing is capped: large regions are salted for step 4 and split for step 5.
@@ -319,9 +319,13 @@ def links(points: DataFrame, spark) -> DataFrame:
     work = salted.unionByName(heads).join(sets, "x").select("p", "salt", "x", "n", "body")
     measured = stored(work.groupBy("p", "salt").applyInArrow(_distances, "p long, salt long, x long, n long, diff long, reuse long, link boolean"), "measured")
     direct = measured.where("link").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    # what may still link: the bound of step 4 against the easiest partner its region has beyond r
-    far = measured.where("not link").groupBy("p").agg(F.min("diff").alias("least"), F.max("n").alias("largest"), F.max("reuse").alias("most"))
-    rest = measured.join(far.join(salts, "p"), ["p", "salt"]).where("least(reuse, most) * 14 >= (diff + least) * 7 - (n + largest)").drop("least", "largest", "most")
+    # what may still link: the bound of step 4 against the easiest partner its region has; a point within r needs one
+    # beyond it, a point beyond r may link to either
+    beyond = lambda c: F.when(~F.col("link"), F.col(c))
+    easiest = [f(k(c)).alias(name + end) for k, end in ((beyond, "_far"), (F.col, "_any")) for f, c, name in ((F.min, "diff", "least"), (F.max, "n", "largest"), (F.max, "reuse", "most"))]
+    bounds = measured.groupBy("p").agg(*easiest).where("least_far is not null")
+    may = "least(reuse, most{0}) * 14 >= (diff + least{0}) * 7 - (n + largest{0})"
+    rest = measured.join(bounds.join(salts, "p"), ["p", "salt"]).where(f"if(link, {may.format('_far')}, {may.format('_any')})").drop(*(name + end for name in ("least", "largest", "most") for end in ("_far", "_any")))
     busy = rest.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.when(~F.col("link"), 1).otherwise(0)).alias("beyond"))
     busy = busy.where("m > 1 and beyond > 0").select("p", F.ceil(F.col("m") / SPLIT).cast("long").alias("parts"))
     rest = rest.join(busy.join(salts, "p"), ["p", "salt"]).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))

@@ -99,6 +99,17 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: root(i) for i in range(len(rows))} and len(set(got.values())) > 6
 
 
+def test_jaccard_keeps_a_far_point_whose_partner_is_near_the_pivot(spark):
+    y = passage(70, 104).split()  # 100 shingles; the pivot holds the first 80, x all and 30 of its own
+    rows = [(1, " ".join(y[:84])), (2, " ".join(y)), (3, " ".join([*y, *passage(71, 30).split()]))]
+    rows += [(10 + i, " ".join([*y[80:], *passage(80 + i, 6).split()])) for i in range(4)]  # y's end is the more frequent part
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(1, 2), (2, 3)} <= near and (1, 3) not in near and not any(a < 10 <= b for a, b in near)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [1, 1, 1] and all(got[10 + i] >= 10 for i in range(4))
+
+
 def test_substrings(docs, empty):
     got = substrings.remove_repeats(docs).collect()
     by = {r["doc_id"]: r for r in got}
