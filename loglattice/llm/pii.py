@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_CANDIDATE = re.compile(r"(?<![^\s,;\"'<>()\[\]{}|=:])[^\s,;\"'<>()\[\]{}|=]{6,64}(?![^\s,;\"'<>()\[\]{}|=])")
-_SHAPES = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]+"),
-    "ip": re.compile(r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}"),
-    "card": re.compile(r"[0-9][0-9.-]{11,22}[0-9]"),
-    "phone": re.compile(r"\+?[0-9][0-9().-]{5,16}[0-9]"),
+# each kind's form, spaced groups with one separator throughout; candidates are its matches between delimiters
+_FORMS = {
+    "email": r"[A-Za-z0-9._%+-]++(?:(?:@|\((?i:at)\)|\[(?i:at)\])[A-Za-z0-9.-]+(?<!\.)|\x20(?:\((?i:at)\)|\[(?i:at)\])\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
+    "ip": r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}(?<!\.)",
+    "card": r"(?:[0-9][0-9.-]{11,22}[0-9]|[0-9]{4}(?:\x20[0-9]{2,7}){2,4})",
+    "phone": r"(?:\+?\(?[0-9][0-9().-]{5,16}[0-9]|\+?(?:[0-9]{1,3}\x20)?(?:\([0-9]{1,5}\)\x20[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){0,4}|[0-9]{2,5}(?:\x20[0-9]{2,5}){1,5}))",
 }
+_SHAPES = {k: re.compile(form) for k, form in _FORMS.items()}
+_EDGE = r"\s,;\"'<>()\[\]{}|="
+_CANDIDATES = {k: re.compile(rf"(?<![^{_EDGE}:]){form}(?=[.!?:]*+(?:[{_EDGE}]|\Z))") for k, form in _FORMS.items()}
+_LEAST = {"email": 0, "ip": 1, "card": 10, "phone": 7}  # digits
+_AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 _HIT = np.zeros(256, bool)
 _HIT[[*range(0x30, 0x3A), 0x40]] = True
 
@@ -79,6 +85,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _shaped(kind: str, string: str) -> bool:
+    return sum(c in "0123456789" for c in string) >= _LEAST[kind] and bool(_SHAPES[kind].fullmatch(string))
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like strings that no base span touches and that lie in no longer one."""
+    found = {m.span() for k, form in _CANDIDATES.items() if k != "email" or _AT.search(text) for m in form.finditer(text) if _shaped(k, m[0])}
+    out, last = [], -1
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if b > last and not any(x < b and a < y for _, x, y in spans):
+            out.append((a, b))
+            last = b
+    return out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -106,20 +127,20 @@ def _scan(docs: DataFrame) -> DataFrame:
             for at, offsets, data in blocks(column, 2 << 20):
                 marks = np.concatenate(([0], np.cumsum(_HIT[data])))
                 hit[at : at + len(offsets) - 1] = np.diff(marks[offsets]) > 0
+            for sign in ("(at)", "[at]"):
+                hit |= pc.match_substring(column, sign, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
             base, near = [[]] * len(column), [[]] * len(column)
             for i in np.flatnonzero(hit).tolist():
                 text = column[i].as_py()
                 spans = base_spans(text)
                 base[i] = [{"kind": k, "start": a, "stop": b} for k, a, b in spans]
                 rows = [(k, a, b) for k, a, b in spans]
-                for m in _CANDIDATE.finditer(text):
-                    if any(c.isdigit() or c == "@" for c in m[0]) and not any(a < m.end() and m.start() < b for _, a, b in spans) and any(s.fullmatch(m[0]) for s in _SHAPES.values()):
-                        rows.append((None, m.start(), m.end()))
+                rows += [(None, a, b) for a, b in candidates(text, spans)]
                 found = []
                 for k, a, b in rows:
                     left, right = _contexts(text, a, b)
                     digest = hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest()
-                    shapes = "".join(str(j) for j, kind in enumerate(KINDS) if _SHAPES[kind].fullmatch(text[a:b]))
+                    shapes = "".join(str(j) for j, kind in enumerate(KINDS) if _shaped(kind, text[a:b]))
                     for context in (f"<{left}", f">{right}", f"<{left}>{right}"):
                         if len(context) > 2:
                             found.append({"kind": k, "start": a, "stop": b, "string": f"{digest}{shapes}", "context": context})

@@ -59,6 +59,23 @@ def test_bootstrap_adds_what_stands_in_a_trusted_context(spark):
     assert got[50] == "phone:9:21" and got[51] == ""
 
 
+def test_bootstrap_finds_obfuscated_spaced_and_long_identifiers(spark):
+    def luhn_card(i):
+        return next(c for c in (f"4111 1111 11{i:02d} {k:04d}" for k in range(1000, 1100)) if pii.luhn(c.replace(" ", "")))
+
+    long = "u" * 60 + "(at)" + "h" * 20
+    seeds = {"writeto": lambda i: f"u{i}@h{i}.org", "hostis": lambda i: f"10.0.0.{i}", "payby": luhn_card, "callback": lambda i: f"+1 23{i} 555 60{i:02d}"}
+    # unseen ones share the contexts' first word only, and stay under a fifth of what stands there
+    unseen = [("writeto", "jane(at)corp.org", "email"), ("writeto", "joe[at]corp.org", "email"), ("writeto", "ann (at) corp.org", "email"), ("writeto", long, "email"),
+              ("hostis", "fe80::1:2:3", "ip"), ("payby", "4111 1111 1111 1112", "card"), ("callback", "555 123 4567", "phone"), ("callback", "(555) 123-4567", "phone")]
+    rows = [(k * 100 + i, f"{word} {make(i)} {passage(900 + 50 * k + i, 5)}") for k, (word, make) in enumerate(seeds.items()) for i in range(20)]
+    rows += [(1000 + i, f"{word} {string} {passage(500 + i, 3)}") for i, (word, string, _) in enumerate(unseen)] + [(2000, "look (at) that")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (word, string, kind) in enumerate(unseen):
+        assert got[1000 + i] == f"{kind}:{len(word) + 1}:{len(word) + 1 + len(string)}", string
+    assert got[2000] == ""
+
+
 def test_jaccard(docs, empty):
     sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for i, t in TEXTS for w in [words(t, True)]]
     got = jaccard_join.classes(docs).collect()
