@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of the paragraphs in them, without links and boilerplate.  Every page
-votes for its containers under a generalised path of tags and classes; Spark adds the votes up per host and keeps the
-path with the most.  Pages are then read again and the text of what stands under their host's winning path is taken; a
+votes for its containers under a generalised path of tags and classes; Spark adds the votes up per host, takes the path
+with the most, and climbs from it to the lowest container, up to main or body, that holds all paragraph text there.  Pages are then read again and the text of what stands under their host's winning path is taken; a
 page where nothing does falls back to its own best container, then to its body.
 """
 
@@ -29,6 +29,7 @@ _NOISE = re.compile(
     re.I,
 )
 _WHITE = re.compile(r"\s+")
+_MAIN = re.compile(r">main(?=[.>]|\Z)")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -80,10 +81,11 @@ def _events(page: str):
 
 
 def _walk(page: str, wanted: str | None):
-    """Yields ('scores', path, score) for containers, or with ``wanted`` the blocks under that path as ('block', text)."""
+    """Scores of containers by path and the text they hold with all below, or with ``wanted`` the blocks under that path."""
     root = _Node("", "", False, False)
     stack, inside, parts = [root], 0, []
     scores: dict[str, float] = {}
+    held: dict[str, int] = {}
     blocks: list[str] = []
 
     def end_block() -> None:
@@ -113,6 +115,8 @@ def _walk(page: str, wanted: str | None):
                     parts.append(value)
             elif not top.link and not value.isspace():
                 size = len(value)
+                for path in {n.path for n in stack[1:]}:
+                    held[path] = held.get(path, 0) + size
                 depth, share = len(stack) - 1, 1.0
                 while depth > 0 and stack[depth].tag not in _BLOCK:
                     depth -= 1
@@ -155,12 +159,12 @@ def _walk(page: str, wanted: str | None):
                 pop()
     while len(stack) > 1:
         pop()
-    return scores if wanted is None else blocks
+    return (scores, held) if wanted is None else blocks
 
 
 def container_scores(page: str) -> dict[str, float]:
     """Generalised path -> score of the page's containers."""
-    return _walk(page, None)
+    return _walk(page, None)[0]
 
 
 def text_under(page: str, path: str) -> str | None:
@@ -169,14 +173,20 @@ def text_under(page: str, path: str) -> str | None:
     return "\n".join(blocks) if blocks else None
 
 
+def climbed(path: str, held: dict[str, int]) -> str:
+    """The lowest of the path and its ancestors, up to main or body, that holds all the text there."""
+    above = [p for p in held if (p == path or path.startswith(f"{p}>")) and p != ">html" and not _MAIN.search(path[len(p) :])]
+    return max(above, key=lambda p: (held[p], len(p)), default=path)
+
+
 def main_text(page: str, path: str | None) -> str:
     if path:
         text = text_under(page, path)
         if text is not None:
             return text
-    scores = container_scores(page)
+    scores, held = _walk(page, None)
     for own in sorted(scores, key=lambda p: (-scores[p], p))[:1]:
-        text = text_under(page, own)
+        text = text_under(page, climbed(own, held))
         if text is not None:
             return text
     return "\n".join(_walk(f"<loose>{page}</loose>", ">loose"))
@@ -187,25 +197,30 @@ def _host(url) -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's path with the most votes; a page's votes are its containers' shares of its score."""
+    """(host, path): each host's path with the most votes, climbed; a page's votes are its containers' shares of its score."""
 
     def votes(batches):
         for batch in batches:
-            total: dict[tuple[str, str], float] = {}
+            total: dict[tuple[str, str], list[float]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                scores = container_scores(page) if page else {}
+                scores, held = _walk(page, None) if page else ({}, {})
                 whole = sum(scores.values())
-                for path, score in scores.items():
-                    total[host, path] = total.get((host, path), 0.0) + score / whole
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total]), pa.array([p for _, p in total]), pa.array([round(v * 1000) for v in total.values()], pa.int64())], ["host", "path", "votes"])
+                for path in held.keys() | scores.keys():
+                    sums = total.setdefault((host, path), [0.0, 0])
+                    sums[0] += scores.get(path, 0.0) / whole if whole else 0.0
+                    sums[1] += held.get(path, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total]), pa.array([p for _, p in total]), pa.array([round(v * 1000) for v, _ in total.values()], pa.int64()), pa.array([n for _, n in total.values()], pa.int64())], ["host", "path", "votes", "held"])
 
-    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, votes long")
-    sums = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, votes long, held long")
+    sums = stored(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("held").alias("held")), "votes")
+    best = sums.where("votes > 0").groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("best"))
+    above = sums.join(best, "host").where((F.col("path") == F.col("best")) | F.expr("startswith(best, concat(path, '>'))")).where("path <> '>html' or best = '>html'")
+    above = above.where(~F.expr("substring(best, length(path) + 1)").rlike(r">main([.>]|$)"))
+    return above.groupBy("host").agg(F.max_by("path", F.struct("held", F.length("path"))).alias("path"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points), path (the host's winning path, null if none).
+    """One row per page: page_id, url, text, n_chars (code points), path (the host's winning path, climbed, null if none).
 
     pages(page_id, url, html, ...): a null or empty html, or one without text, gives an empty text; a null url or one
     without a host votes with the others of the kind; pages of any length are read whole; repeated rows give a row each;

@@ -219,6 +219,17 @@ def test_pages(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_articles_split_over_containers(spark):
+    x, y, z = passage(201, 60), passage(202, 30), passage(203, 10)
+    split = f"<html><body><nav><a href='/'>n</a></nav><article><h1>Title</h1><div class=body><p>{x}</p><p>{y}</p></div><p>{z}</p></article><footer>f</footer></body></html>"
+    parts = f"<html><body><article><section class=one><p>{x}</p></section><section class=two><p>{y}</p></section></article></body></html>"
+    outside = f"<html><body><div>side</div><main><h1>Title</h1><div class=body><p>{x}</p></div></main></body></html>"
+    rows = [(1, "http://a.b/1", split), (2, "http://c.d/2", parts), (3, "http://e.f/3", outside)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"Title\n{x}\n{y}\n{z}", 2: f"{x}\n{y}", 3: f"Title\n{x}"}
+    assert html_text.main_text(split, None) == got[1] and html_text.main_text(parts, None) == got[2]
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(1)
     centre = draw.normal(size=(8, 16))
