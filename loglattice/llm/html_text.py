@@ -29,6 +29,7 @@ _NOISE = re.compile(
     re.I,
 )
 _WHITE = re.compile(r"\s+")
+_UNNAMED = frozenset("html body article main".split())  # never noise by their names
 _MAIN = re.compile(r">main(?=[.>]|\Z)")
 _DIGITS = re.compile(r"\d+")
 
@@ -80,7 +81,43 @@ def _events(page: str):
                 at = end.start()
 
 
-def _walk(page: str, wanted: str | None):
+def _spared(events: list) -> set[int]:
+    """Openings (by place) of elements with a noise name that hold most of the text, or the page's only article or main."""
+    stack, done, total, outside = [["", -1, 0, False, False]], [], 0, False  # tag, place if named as noise, characters, main within, dropped
+
+    def pop() -> None:
+        tag, at, size, main, dropped = stack.pop()
+        if at >= 0:
+            done.append((at, size, main))
+        if not dropped or stack[-1][4]:
+            stack[-1][2] += size
+            stack[-1][3] |= main
+
+    for at, (kind, value, raw) in enumerate(events):
+        top = stack[-1]
+        if kind == "text":
+            if not top[4] and not value.isspace():
+                top[2] += len(value)
+                total += len(value)
+        elif kind == "open":
+            if value in _VOID or raw.endswith("/"):
+                continue
+            names = _attributes(raw)[1]
+            named = names and value not in _UNNAMED and _NOISE.search(names)
+            if value in ("article", "main") and not top[4]:
+                top[3] = True
+                outside |= all(n[1] < 0 for n in stack)
+            stack.append([value, at if named else -1, 0, False, top[4] or value in _DROPPED])
+        elif any(n[0] == value for n in stack[1:]):
+            while stack[-1][0] != value:
+                pop()
+            pop()
+    while len(stack) > 1:
+        pop()
+    return {at for at, size, main in done if 2 * size > total or (main and not outside)}
+
+
+def _walk(page: str, wanted: str | None, by_name: bool = True):
     """Scores of containers by path and the text they hold with all below, or with ``wanted`` the blocks under that path."""
     root = _Node("", "", False, False)
     stack, inside, parts = [root], 0, []
@@ -105,7 +142,9 @@ def _walk(page: str, wanted: str | None):
             end_block()
             inside -= 1
 
-    for kind, value, raw in _events(page):
+    events = list(_events(page))
+    spared = _spared(events) if by_name and _NOISE.search(" ".join(_attributes(raw)[1] for kind, _, raw in events if kind == "open" and "=" in raw)) else set()
+    for at, (kind, value, raw) in enumerate(events):
         top = stack[-1]
         if kind == "text":
             if top.boring:
@@ -145,7 +184,7 @@ def _walk(page: str, wanted: str | None):
             if tag in _VOID or raw.endswith("/"):
                 continue
             classes, names = _attributes(raw)
-            boring = top.boring or tag in _DROPPED or bool(names and tag not in ("html", "body", "article", "main") and _NOISE.search(names))
+            boring = top.boring or tag in _DROPPED or bool(by_name and names and tag not in _UNNAMED and at not in spared and _NOISE.search(names))
             node = _Node(tag, f"{top.path}>{tag}{'.' + classes if classes else ''}", boring, top.link or tag == "a")
             stack.append(node)
             if wanted is not None and node.path == wanted:
@@ -189,7 +228,8 @@ def main_text(page: str, path: str | None) -> str:
         text = text_under(page, climbed(own, held))
         if text is not None:
             return text
-    return "\n".join(_walk(f"<loose>{page}</loose>", ">loose"))
+    loose = f"<loose>{page}</loose>"
+    return "\n".join(_walk(loose, ">loose") or _walk(loose, ">loose", by_name=False))
 
 
 def _host(url) -> F.Column:

@@ -230,6 +230,15 @@ def test_pages_keep_articles_split_over_containers(spark):
     assert html_text.main_text(split, None) == got[1] and html_text.main_text(parts, None) == got[2]
 
 
+def test_pages_under_wrappers_with_noise_names(spark):
+    x, y = passage(211, 60), passage(212, 20)
+    rows = [(i, f"http://h{i}.b/1", f"<html><body><div class='{name}'>{inner}</div><div class=sidebar><p>{y}</p></div></body></html>") for i, (name, inner) in enumerate([
+        ("layout has-sidebar", f"<article><p>{x}</p></article>"), ("no-ads", f"<main><p>{x}</p></main>"), ("page with-comments", f"<p>{x}</p>"), ("has-banner", f"<p>{x}</p>")])]
+    rows += [(8, "http://h8.b/1", f"<body><article><p>{x}</p></article><div class=comments><article><p>{y}</p></article></div></body>"), (9, "http://h9.b/1", f"<div class=banner>{y}</div><div class=share>{y}</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys([0, 1, 2, 3, 8], x), 9: f"{y}\n{y}"}
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(1)
     centre = draw.normal(size=(8, 16))
