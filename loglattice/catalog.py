@@ -38,7 +38,7 @@ query("sink_produce", "select event_id, case when user_id % 7 = 0 then 'AUTH' wh
 
 # projections and filters
 
-query("project_absolute_offset", "select part, base_off + i as off from v_batch, range(3) t(i) where i < n")(lambda f: f.v_batch.select("part", "base_off", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(3)) - 1)).alias("i")).select("part", (F.col("base_off") + F.col("i")).alias("off")))
+query("project_absolute_offset", "select part, base_off + i as off from v_batch, range(3) t(i) where i < n")(lambda f: f.v_batch.select("part", "base_off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("part", (F.col("base_off") + F.col("i")).alias("off")))
 query("project_deserialize", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")(lambda f: f.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
 query("filter_pre_offset", "select part, off from v_log where off >= 333")(lambda f: f.v_log.where("off >= 333").select("part", "off"))
 query("filter_control", "select part, off, pid from v_tlog where not is_control")(lambda f: txn.filter_control(f.v_tlog).select("part", "off", "pid"))

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from loglattice import catalog
 from loglattice.functions.binary import crc32c, unzigzag, zigzag
 from loglattice.operators import groups, log, replication, security, stateful, txn
 from loglattice.sources import recordbatch
@@ -101,3 +102,11 @@ def test_streams(spark, tmp_path):
     exactly_once_sink(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     exactly_once_sink(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_absolute_offsets_of_every_record(spark, tmp_path):
+    events = [(i, i % 8) for i in range(1, 101)]  # 25 records a partition, so batches of 10, 10 and 5
+    frame = spark.createDataFrame(events, "event_id long, user_id long").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as ts", "'view' as event_type", "1.0d as value", "'{}' as props")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["project_absolute_offset"](spark, str(tmp_path))
+    assert rows(got, "part", "off") == [(p, off) for p in range(4) for off in range(25)]
