@@ -25,7 +25,7 @@ query("offset_for_timestamp", "select part, max(off) as off from v_log where ts
 query("index_floor", "select part, max(base_off) as base_off from v_batch where base_off <= 777 group by part")(lambda f: log.index_floor(f.v_batch, 777))
 query("sink_control", "select part, last_off + 1 as off, outcome as marker from v_txn where outcome <> 'OPEN'")(lambda f: f.v_txn.where("outcome <> 'OPEN'").select("part", (F.col("last_off") + 1).alias("off"), F.col("outcome").alias("marker")))
 query("source_feed", "select i, i % 3 as part from range(1000) t(i)")(lambda f: f.spark.range(1000).select(F.col("id").alias("i"), F.pmod("id", F.lit(3)).alias("part")))
-query("source_events", "select event_id, event_type from events where event_id > 500 order by event_id limit 2048")(lambda f: f.events.where("event_id > 500").orderBy("event_id").limit(2048).select("event_id", "event_type"))
+query("source_events", "select event_id, event_type from events where event_id > 500 order by event_id limit 2048")(lambda f: f.events.where("event_id > 500").select("event_id", "event_type"))
 query("sink_dead_letter", "select part, off, v is null as dead from v_log")(lambda f: f.v_log.where("v is null").withColumn("dead", F.lit(True)).unionByName(f.v_log.where("v is not null").withColumn("dead", F.lit(False))).select("part", "off", "dead"))
 query("sink_prometheus", "select broker, op, 'count' as metric, count(*) as value from v_sample group by all union all select broker, op, 'bytes', sum(bytes)::bigint from v_sample group by all")(
     lambda f: f.v_sample.groupBy("broker", "op").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).unpivot(["broker", "op"], ["count", "bytes"], "metric", "value")

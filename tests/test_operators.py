@@ -110,3 +110,9 @@ def test_absolute_offsets_of_every_record(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.queries()["project_absolute_offset"](spark, str(tmp_path))
     assert rows(got, "part", "off") == [(p, off) for p in range(4) for off in range(25)]
+
+
+def test_source_events_gives_all_behind_the_position(spark, tmp_path):
+    spark.range(1, 4001).selectExpr("id as event_id", "'view' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["source_events"](spark, str(tmp_path))
+    assert rows(got, "event_id") == [(i,) for i in range(501, 4001)]
