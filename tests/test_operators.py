@@ -116,3 +116,8 @@ def test_source_events_gives_all_behind_the_position(spark, tmp_path):
     spark.range(1, 4001).selectExpr("id as event_id", "'view' as event_type").write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.queries()["source_events"](spark, str(tmp_path))
     assert rows(got, "event_id") == [(i,) for i in range(501, 4001)]
+
+
+def test_ledger_missing_takes_all_events_as_acked(spark, tmp_path):
+    spark.range(1, 101).selectExpr("id as event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(catalog.queries()["ledger_missing"](spark, str(tmp_path)), "event_id") == [(i,) for i in range(1, 101) if i % 3]
