@@ -12,16 +12,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from loglattice.llm._words import blocks, word_ends, word_hashes, word_starts
+from loglattice.llm._words import SPACE, blocks, word_hashes, word_spans
 
-CACHE_WORDS = 800_000  # words a worker keeps, about 30 MB, and half as many parts of unseen words, about 90 MB
+CACHE_WORDS = 600_000  # words a worker keeps, about 35 MB, and half as many parts of unseen words, about 70 MB
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*#%$&]*)\n|([^\n]+)\n")
 _workers: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts; the cache goes by 64-bit word hashes, so a known word is never made a Python object."""
+    """Ids of whole texts.  Equal words of a block are found byte by byte; the cache is searched by hash and a word taken
+    from it only if its bytes are equal, so no two words are ever mistaken and a known one is no Python object."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,8 +32,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.parts: dict[str, bytes] = {}
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes, and where in flat each word's ids begin and how many they are
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words = pa.array([], pa.large_binary())
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes, which of words each is, where in flat its ids begin and how many they are
+        self.place, self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -70,46 +73,48 @@ class WordEncoder:
 
     def rows(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's begin, with the total at the end)."""
-        hashes, first = word_hashes(offsets, data)
-        if not len(hashes):
+        starts, ends = word_spans(offsets, data)
+        first = np.searchsorted(starts, offsets)
+        if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        distinct, sample = ordered[new], order[new]
-        which = np.empty(len(hashes), np.int64)
-        which[order] = np.cumsum(new) - 1
-        at = np.searchsorted(self.keys, distinct)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        size = np.cumsum(ends - starts)
+        body = data[~SPACE[data]]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, size)), pa.py_buffer(body)]).dictionary_encode()
+        distinct, which = words.dictionary, words.indices.to_numpy()
+        _, edges, letters = next(blocks(distinct, 1 << 62))
+        hashes, _ = word_hashes(edges, letters)
         begin, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        begin[known], count[known] = self.begin[at[known]], self.count[at[known]]
+        known = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, hashes)
+            at[at == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[at] == hashes)
+            same = pc.equal(distinct.take(pa.array(hit)), self.words.take(pa.array(self.place[at[hit]]))).to_numpy(zero_copy_only=False)
+            known[hit[same]] = True
+            begin[known], count[known] = self.begin[at[known]], self.count[at[known]]
         flat, used = self.flat, self.used
         missing = np.flatnonzero(~known)
         if len(missing):
-            starts = word_starts(offsets, data)
-            own = sample[missing]
-            stops = offsets[np.searchsorted(first, own, "right")]
-            ends = word_ends(data, starts[own], stops)
-            raw = data.tobytes()
-            learnt = self._learn([raw[a:b] for a, b in zip(starts[own].tolist(), ends.tolist(), strict=True)])
+            unseen = distinct.take(pa.array(missing))
+            learnt = self._learn(unseen.to_pylist())
             sizes = np.array([len(x) for x in learnt], np.int64) // self.dtype.itemsize
-            body = np.frombuffer(b"".join(learnt), self.dtype)
+            ids = np.frombuffer(b"".join(learnt), self.dtype)
             begin[missing], count[missing] = used + np.cumsum(sizes) - sizes, sizes
-            if used + len(body) > len(flat):
-                flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(body) + (1 << 16), self.dtype)])
-            flat[used : used + len(body)] = body
+            if used + len(ids) > len(flat):
+                flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(ids) + (1 << 16), self.dtype)])
+            flat[used : used + len(ids)] = ids
             if len(self.keys) + len(missing) <= CACHE_WORDS:  # once full the first words stay, which are the frequent ones
-                place = np.searchsorted(self.keys, distinct[missing])
-                self.keys = np.insert(self.keys, place, distinct[missing])
-                self.begin, self.count = np.insert(self.begin, place, begin[missing]), np.insert(self.count, place, count[missing])
-                self.flat, self.used = flat, used + len(body)
+                order = np.argsort(hashes[missing], kind="stable")
+                at, own = np.searchsorted(self.keys, hashes[missing][order]), missing[order]
+                self.place = np.insert(self.place, at, len(self.words) + order)
+                self.keys = np.insert(self.keys, at, hashes[own])
+                self.begin, self.count = np.insert(self.begin, at, begin[own]), np.insert(self.count, at, count[own])
+                self.words = pa.concat_arrays([self.words, unseen])
+                self.flat, self.used = flat, used + len(ids)
         sizes = count[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        take = np.repeat(begin[which] - ends + sizes, sizes) + np.arange(total)
-        return flat[take], np.append(0, ends)[first]
+        stops = np.cumsum(sizes)
+        take = np.repeat(begin[which] - stops + sizes, sizes) + np.arange(int(stops[-1]))
+        return flat[take], np.append(0, stops)[first]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -5,8 +5,10 @@ documents and sends it to the hash's bucket with the place it stands at; a bucke
 and answers each block with the occurrences that are not the first of all.  Blocks merge the answers, with their own
 repeats, into maximal removal intervals of their documents.
 
-Hashes travel as sorted byte-plane runs (about 9 bytes an occurrence), and a block sends a window once, however often
-it holds it, so a passage in a third of all documents costs one entry a block.
+Hashes have 93 bits, of two Rabin-Karp polynomials modulo 2**61 - 1, so that among the 1.5e13 windows of 100 TB an
+unequal pair meets with a chance of about one in a hundred.  They travel as sorted byte-plane runs (about 13 bytes an
+occurrence), and a block sends a window once, however often it holds it, so a passage in a third of all documents costs
+one entry a block.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm._blobs import bucket_edges, pack_ints, pack_run, pack_table, unpack_ints, unpack_run, unpack_table
-from loglattice.llm._store import even_keys, shuffle_partitions
+from loglattice.llm._store import bucket_keys, stored, text_bytes
 from loglattice.llm._words import blocks, runs, word_hashes
 
 BLOCK_BYTES = 8 << 20
-_RUNS = "key long, block string, run binary, docs binary, own binary"
+_RUNS = "key long, share long, block string, run binary, wide boolean, docs binary, own binary"
+SIFT = 1 << 23  # bits of the filter that spares unchanged documents the last join
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -36,9 +39,24 @@ def _unbits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(words.astype("<u8").view(np.uint8))[:n].astype(bool)
 
 
-def _window_runs(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
+def _sorted(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): places by hash, ties as they were, and whether each is equal to the one before."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    differ = same.copy()
+    differ[1:] &= check[order[1:]] != check[order[:-1]]
+    if differ.any():  # two windows share the first hash only
+        order = np.lexsort((check, hashes))
+        same[1:] = (hashes[order[1:]] == hashes[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    return order, same
+
+
+def _window_runs(docs: DataFrame, width: int, keys: list[int], shares: int) -> DataFrame:
     """Per block and bucket: the first occurrences of its hashes.  One bucket of each block also carries the block's
-    documents and its own repeats along."""
+    documents and its own repeats along; the others get the documents too where that is shorter than naming the
+    document and offset of every window."""
+    buckets = len(keys) * shares
 
     def run(batches):
         for batch in batches:
@@ -51,30 +69,31 @@ def _window_runs(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
             ids, marks = ids[fresh], marks[fresh]
             for at, offsets, data in blocks(batch.column("text"), BLOCK_BYTES):
                 words, first = word_hashes(offsets, data)
-                hashes, places = runs(words, first, width)
+                places, hashes, check = runs(words, first, width, 2)
                 if not len(hashes):
                     continue
-                order = np.argsort(hashes, kind="stable")
-                hashes, places = hashes[order], places[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = hashes[1:] != hashes[:-1]
+                check >>= np.uint64(32)
+                order, same = _sorted(hashes, check)
                 repeats = np.zeros(len(words), bool)
-                repeats[places[~new]] = True
-                name, end = uuid.uuid5(uuid.NAMESPACE_OID, f"{ids[at]} {marks[at]} {len(data)} {hashes[0]} {hashes[-1]}").hex, at + len(offsets) - 1
+                repeats[places[order[same]]] = True
+                order = order[~same]
+                hashes, check, places = hashes[order], check[order], places[order]
+                end = at + len(offsets) - 1
+                name = uuid.uuid5(uuid.NAMESPACE_OID, f"{ids[at]} {marks[at]} {len(data)} {hashes[0]} {hashes[-1]}").hex
                 table, rest = pack_table(ids[at:end], first[:-1]), pack_table(marks[at:end], np.diff(first))
                 own = len(rest).to_bytes(8, "little") + rest + _bits(repeats)
-                hashes, places = hashes[new], places[new]
-                cuts = bucket_edges(hashes, len(keys))
-                home = int(name[:8], 16) % len(keys)
-                out = [[], [], [], [], []]
-                for k, key in enumerate(keys):
+                columns = [check, places.astype(np.uint64)]
+                if wide := buckets * len(table) > 4 * len(hashes):
+                    row = np.searchsorted(first, places, "right") - 1
+                    columns += [ids[at:end][row].astype(np.uint64), (places - first[row]).astype(np.uint64)]
+                cuts = bucket_edges(hashes, buckets)
+                home, out = int(name[:8], 16) % buckets, []
+                for k in np.union1d(np.flatnonzero(np.diff(cuts)), [home]).tolist():
                     a, b = cuts[k], cuts[k + 1]
-                    if a == b and k != home:
-                        continue
-                    row = (key, name, pack_run(hashes[a:b], places[a:b].astype(np.uint64)), table, own if k == home else None)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["key", "block", "run", "docs", "own"])
+                    sent = pack_run(hashes[a:b], *(c[a:b] for c in columns))
+                    out.append((keys[k // shares], k % shares, name, sent, wide, None if wide and k != home else table, own if k == home else None))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "share", "block", "run", "wide", "docs", "own"])
 
     source = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(run, _RUNS)
@@ -82,42 +101,38 @@ def _window_runs(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
 
 def _answer(table: pa.Table) -> pa.Table:
     """One bucket: for each block, the places of its occurrences that stand behind an equal window."""
-    all_hashes, docs, offsets, where, places = [], [], [], [], []
-    for i, (run, directory) in enumerate(zip(table.column("run").to_pylist(), table.column("docs").to_pylist(), strict=True)):
-        hashes, place = unpack_run(run, 1)
-        ids, first = unpack_table(directory, 2)
+    parts = []
+    for i, (run, wide, directory) in enumerate(zip(*(table.column(c).to_pylist() for c in ("run", "wide", "docs")), strict=True)):
+        hashes, check, place, *named = unpack_run(run, 4 if wide else 2)
         place = place.astype(np.int64)
-        row = np.searchsorted(first, place, "right") - 1
-        all_hashes.append(hashes)
-        docs.append(ids[row])
-        offsets.append(place - first[row])
-        places.append(place)
-        where.append(np.full(len(hashes), i, np.int32))
-    hashes = np.concatenate(all_hashes)
-    order = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[order]
-    same = np.zeros(len(hashes), bool)
-    same[1:] = sorted_hashes[1:] == sorted_hashes[:-1]
+        if wide:
+            doc, offset = (c.astype(np.int64) for c in named)
+        else:
+            ids, first = unpack_table(directory, 2)
+            row = np.searchsorted(first, place, "right") - 1
+            doc, offset = ids[row], place - first[row]
+        parts.append((hashes, check, doc, offset, place, np.full(len(hashes), i, np.int32)))
+    hashes, check, doc, offset, place, block = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    order, same = _sorted(hashes, check)
     several = same.copy()
     several[:-1] |= same[1:]
-    order = order[several]
-    group = np.cumsum(~same[several])
-    doc, offset = np.concatenate(docs)[order], np.concatenate(offsets)[order]
+    order, group = order[several], np.cumsum(~same[several])
+    doc, offset = doc[order], offset[order]
     inner = np.lexsort((offset, doc, group))
     order, group, doc, offset = order[inner], group[inner], doc[inner], offset[inner]
     begins = np.ones(len(order), bool)
     begins[1:] = group[1:] != group[:-1]
     head = np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0)) if len(order) else order
-    later = (doc != doc[head]) | (offset != offset[head])
-    gone = order[later]
-    block, place = np.concatenate(where)[gone], np.concatenate(places)[gone]
-    answers = []
-    for i in range(len(table)):
-        mine = np.sort(place[block == i])
-        answers.append(len(mine).to_bytes(8, "little") + pack_ints(np.diff(mine, prepend=0).astype(np.uint64)))
+    gone = order[(doc != doc[head]) | (offset != offset[head])]
+    gone = gone[np.lexsort((place[gone], block[gone]))]
+    cuts, answers = np.searchsorted(block[gone], np.arange(len(table) + 1)), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        answers.append(int(b - a).to_bytes(8, "little") + pack_ints(np.diff(place[gone[a:b]], prepend=0).astype(np.uint64)))
     own = table.column("own")
     keep = pa.array([d if o is not None else None for d, o in zip(table.column("docs").to_pylist(), own.to_pylist(), strict=True)], pa.binary())
-    return pa.table({"block": table.column("block"), "gone": pa.array(answers, pa.binary()), "docs": keep, "own": own})
+    told = pa.table({"block": table.column("block"), "gone": pa.array(answers, pa.binary()), "docs": keep, "own": own})
+    return told.filter(pa.array((np.diff(cuts) > 0) | own.is_valid().to_numpy(zero_copy_only=False)))
 
 
 def _intervals(width: int):
@@ -160,9 +175,9 @@ def _intervals(width: int):
 
 def removal_intervals(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, text_hash, removed): documents with repeated windows, and the word intervals to remove."""
-    keys = even_keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
-    sent = _window_runs(docs, width, keys)
-    answers = sent.groupBy("key").applyInArrow(_answer, "block string, gone binary, docs binary, own binary")
+    keys, shares = bucket_keys(docs.sparkSession, text_bytes(docs))
+    sent = _window_runs(docs, width, keys, shares).repartition(len(keys), "key")
+    answers = sent.groupBy("key", "share").applyInArrow(_answer, "block string, gone binary, docs binary, own binary")
     return answers.groupBy("block").applyInArrow(_intervals(width), "doc_id long, text_hash long, removed binary")
 
 
@@ -173,12 +188,18 @@ def remove_repeats(docs: DataFrame, width: int = 20, with_text: bool = False) ->
     the input.  A null or empty text, and one with fewer than ``width`` words, loses nothing but to nobody.  Rows that
     repeat a doc_id and its text are one document and get the same result each; rows with one doc_id and different
     texts are judged apart, and equal windows at the same place of them count as one occurrence.  A null doc_id's text is
-    kept whole.  Other columns are ignored; an empty table gives no rows.  Returns doc_id, n_words, n_removed,
-    kept_sha256, removed (the intervals as text), and kept_text with ``with_text``.
+    kept whole.  Words and texts of any length are taken whole; other columns are ignored; an empty table gives no rows.
+    Returns doc_id, n_words, n_removed, kept_sha256, removed (the intervals as text), and kept_text with ``with_text``.
     """
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    judged = removal_intervals(docs.where("doc_id is not null and text is not null"), width)
-    joined = source.join(judged, ["doc_id", "text_hash"], "left").select("doc_id", "text", "removed")
+    judged = stored(removal_intervals(docs.where("doc_id is not null and text is not null"), width), "intervals")
+    # a filter of fixed size says which documents may have intervals; only those go through the join
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT))
+    sift = judged.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SIFT}) % 64 as int))").alias("mark")).groupBy("slot").agg(F.bit_or("mark").alias("marks"))
+    sifted = source.withColumn("slot", F.shiftright(bit, 6)).join(F.broadcast(sift), "slot", "left")
+    may = F.expr(f"coalesce(getbit(marks, cast(pmod(xxhash64(doc_id), {SIFT}) % 64 as int)), 0) = 1")
+    joined = sifted.where(may).join(judged, ["doc_id", "text_hash"], "left").select("doc_id", "text", "removed")
+    joined = joined.unionByName(sifted.where(~may).select("doc_id", "text", F.lit(None).cast("binary").alias("removed")))
 
     def run(batches):
         for batch in batches:
