@@ -20,13 +20,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.llm._blobs import pack_table, unpack_table
-from loglattice.llm._store import drop, new_path, shuffle_partitions, stored
+from loglattice.llm._store import drop, get, new_path, put, shuffle_partitions, stored
 from loglattice.llm._tokens import token_batches
 
 SCALE = 20  # frequencies sum to 2**SCALE
@@ -161,27 +160,6 @@ def decode_file(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.n
     return docs, lengths, ids
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-
-
-def _put(uri: str, data: bytes) -> None:
-    """Whole files only, and the same bytes from every attempt."""
-    fs, path = _filesystem(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    context = TaskContext.get()
-    part = f"{path}.{context.taskAttemptId() if context else 0}.part"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
-
-
-def _get(uri: str) -> bytes:
-    fs, path = _filesystem(uri)
-    with fs.open_input_stream(path) as file:
-        return file.read()
-
-
 def _segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows of consecutive documents in ascending doc_id order: about SEGMENT_TOKENS ids each, as deflated ids."""
     n = shuffle_partitions(docs.sparkSession)
@@ -244,7 +222,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """
     segments = stored(_segments(docs, tokenizer_path, end_id), "segments", "uncompressed")
     table = _shared_table(segments)
-    _put(f"{folder}/frequencies", table.freq.astype("<u8").tobytes())
+    put(f"{folder}/frequencies", table.freq.astype("<u8").tobytes())
 
     def write(batches):
         for batch in batches:
@@ -252,7 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 wide = np.dtype("<u2" if row["width"] == 2 else "<u4")
                 ids = np.frombuffer(pa.decompress(row["ids"], row["tokens"] * wide.itemsize, "zstd", asbytes=True), wide)
                 path = f"{folder}/tokens-{row['part']:06d}-{row['number']:06d}.rans"
-                _put(path, encode_file(*unpack_table(row["docs"], 2), ids, table))
+                put(path, encode_file(*unpack_table(row["docs"], 2), ids, table))
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["number"]], pa.int32()), pa.array([row["tokens"]], pa.int64()), pa.array([path])], ["part", "number", "tokens", "path"])
 
     manifest = stored(segments.drop("counts").mapInArrow(write, "part int, number int, tokens long, path string"), "manifest")
@@ -261,18 +239,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 
 def read_tokens(manifest: DataFrame, table: Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, file) of every document, from the files."""
-    totals = {r["part"]: r["n"] for r in manifest.groupBy("part").agg(F.sum("tokens").alias("n")).collect()}  # one row a partition
+    """(doc_id, start, n_tokens, ids_crc32, file) of every document, from the files; files are decoded side by side."""
+    totals = {r["part"]: (r["n"], r["files"]) for r in manifest.groupBy("part").agg(F.sum("tokens").alias("n"), F.count("*").alias("files")).collect()}  # one row a partition
     bases, at = {}, 0
     for part in sorted(totals):
-        bases[part], at = at, at + totals[part]
+        bases[part], at = at, at + totals[part][0]
     before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
+    # dealt out by number, which adaptive execution does not join into one task
+    files = files.repartition(max(1, min(sum(n for _, n in totals.values()), 16_384)))
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                docs, lengths, ids = decode_file(_get(row["path"]), table)
+                docs, lengths, ids = decode_file(get(row["path"]), table)
                 ends = np.cumsum(lengths)
                 raw, starts = memoryview(ids.astype("<u4").tobytes()), ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
