@@ -1,7 +1,8 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Distinct vectors are dealt to shards by a hash of their id; each shard builds one graph, and every distinct vector
-queries every shard.  A query's beam widens while all of it lies above the threshold; a block of queries is audited
+Distinct vectors are dealt to shards by a hash of their id; each shard builds one graph and keeps it as a file of the
+shared folder, and every distinct vector queries every shard: a task holds a block of queries of bounded size and loads
+one graph after the other, so a vector is shuffled twice, however many shards and blocks there are.  A query's beam widens while all of it lies above the threshold; a block of queries is audited
 against brute force on some of its own and its beam doubled until the audit passes, at last to the whole shard.  Found
 neighbours are verified by cosine in double precision; counts leave a shard, and a spanning set of its links, never all
 pairs of a group of copies.
@@ -9,6 +10,7 @@ pairs of a group of copies.
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
@@ -17,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm._graph import components
-from loglattice.llm._store import drop, stored
+from loglattice.llm._store import drop, get, join_classes, new_path, put, shuffle_partitions, stored
 
 SHARD_ROWS = 65_536
 LEAST_SHARDS = 12
-QUERY_ROWS = 8_192
+QUERY_BYTES = 64 << 20  # of the vectors of a block of queries, in double precision
+QUERY_ROWS = 128  # a block is smaller only if it then holds all
 DEGREE = 12  # links of a node in upper layers; twice as many in the lowest
 BUILD_BEAM = 48
 BEAM = 32
@@ -171,74 +174,81 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    raw = _matrix(table.column("vector"))
-    graph = Graph(_unit(raw)).build()
-    body = b"".join(x.astype("<i4").tobytes() for x in graph.lists)
-    return pa.table({
-        "shard": table.column("shard").slice(0, 1), "dim": pa.array([raw.shape[1]], pa.int32()), "entry": pa.array([graph.entry], pa.int32()),
-        "layers": pa.array([len(graph.lists)], pa.int32()), "top": pa.array([graph.top], pa.int32()), "lists": pa.array([body], pa.binary()),
-        "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "copies": pa.array([table.column("copies").to_numpy().astype("<i8").tobytes()], pa.binary()),
-        "vectors": pa.array([raw.astype("<f4").tobytes() if (raw == raw.astype(np.float32)).all() else raw.astype("<f8").tobytes()], pa.binary()),
-    })
+def _build(folder: str):
+    """One shard: its graph as a file, and where that is."""
 
+    def run(table: pa.Table) -> pa.Table:
+        raw, ids = _matrix(table.column("vector")), table.column("vec_id").to_numpy().astype("<i8")
+        order = np.argsort(ids, kind="stable")
+        raw, ids, copies = raw[order], ids[order], table.column("copies").to_numpy().astype("<i8")[order]
+        graph, shard, out = Graph(_unit(raw)).build(), table.column("shard")[0].as_py(), io.BytesIO()
+        single = bool((raw == raw.astype(np.float32)).all())
+        np.savez(out, ids=ids, copies=copies, raw=raw.astype("<f4" if single else "<f8"), head=np.array([graph.entry, graph.top]), **{f"layer{k}": x for k, x in enumerate(graph.lists)})
+        path = f"{folder}/shard-{shard}.npz"
+        put(path, out.getvalue())
+        return pa.table({"dim": pa.array([raw.shape[1]], pa.int32()), "path": pa.array([path])})
 
-_SHARD = "shard long, dim int, entry int, layers int, top int, lists binary, ids binary, copies binary, vectors binary"
+    return run
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    ids, copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i8")
-    kind = "<f4" if len(row["vectors"]) == 4 * len(ids) * row["dim"] else "<f8"
-    raw = np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(len(ids), row["dim"])
+def _load(path: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.load(io.BytesIO(get(path)))
+    raw = data["raw"].astype(np.float64)
     graph = Graph.__new__(Graph)
-    graph.unit, graph.entry, graph.top, graph.size, graph.lists = _unit(raw), row["entry"], row["top"], len(ids), []
-    at = 0
-    for k in range(row["layers"]):
-        width = DEGREE * (2 if k == 0 else 1)
-        graph.lists.append(np.frombuffer(row["lists"], "<i4", len(ids) * width, at).reshape(len(ids), width))
-        at += 4 * len(ids) * width
-    return graph, ids, copies, raw
-
-
-def _query(least: float):
-    """One block of queries against one shard: weighted counts, and a spanning set of the links found."""
-
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        graph, ids, copies, raw = _load(shard.slice(0, 1).to_pylist()[0])
-        own, vectors = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"))
-        units, beam = _unit(vectors), BEAM
-        audited = np.argsort(own * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) , kind="stable")[:AUDITED]
-        truth = units[audited] @ graph.unit.T >= least - 1e-4
-        while True:
-            found = graph.within(units, least - 1e-4, beam)
-            hit = sum(int(truth[k, found[q]].sum()) for k, q in enumerate(audited))
-            if hit >= RECALL * truth.sum() or beam >= len(ids):
-                break
-            beam = min(2 * beam, len(ids))
-        norms, own_norms = np.linalg.norm(raw, axis=1), np.linalg.norm(vectors, axis=1)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        rows, counts, a, b = [], [], [], []
-        for q, near in enumerate(found):
-            near = near[ids[near] != own[q]]
-            near = near[raw[near] @ vectors[q] / (norms[near] * own_norms[q]) >= least]
-            if len(near):
-                rows.append(int(own[q]))
-                counts.append(int(copies[near].sum()))
-                for other in ids[near].tolist():
-                    x, y = root(int(own[q])), root(other)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        a.append(int(own[q]))
-                        b.append(other)
+    (graph.entry, graph.top), graph.unit, graph.size = data["head"].tolist(), _unit(raw), len(raw)
+    graph.lists = [data[f"layer{k}"] for k in range(sum(name.startswith("layer") for name in data.files))]
+    return graph, data["ids"], data["copies"], raw
+
+
+def _answers(own: np.ndarray, vectors: np.ndarray, path: str, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A block of queries against one shard: how many vectors each finds, copies counted, and links that span what it finds."""
+    graph, ids, copies, raw = _load(path)
+    units, beam = _unit(vectors), BEAM
+    audited = np.argsort(own * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")[:AUDITED]
+    truth = units[audited] @ graph.unit.T >= least - 1e-4
+    while True:
+        found = graph.within(units, least - 1e-4, beam)
+        hit = sum(int(truth[k, found[q]].sum()) for k, q in enumerate(audited))
+        if hit >= RECALL * truth.sum() or beam >= len(ids):
+            break
+        beam = min(2 * beam, len(ids))
+    norms, own_norms = np.linalg.norm(raw, axis=1), np.linalg.norm(vectors, axis=1)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    counts, links = np.zeros(len(own), np.int64), []
+    for q, near in enumerate(found):
+        near = near[ids[near] != own[q]]
+        near = near[raw[near] @ vectors[q] / (norms[near] * own_norms[q]) >= least]
+        counts[q] = copies[near].sum()
+        for other in ids[near].tolist():
+            x, y = root(int(own[q])), root(other)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((int(own[q]), other))
+    return counts, links
+
+
+def _query(least: float, shards: dict[int, list[str]]):
+    """One block of queries against all shards of its vectors' length, one after the other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, vectors = table.column("vec_id").to_numpy(), _matrix(table.column("vector"))
+        total, a, b = np.zeros(len(own), np.int64), [], []
+        for path in shards[vectors.shape[1]]:
+            counts, links = _answers(own, vectors, path, least)
+            total += counts
+            a += [x for x, _ in links]
+            b += [y for _, y in links]
+        rows = np.flatnonzero(total)
         none = [None] * len(a)
-        return pa.table({"vec_id": pa.array(rows + none, pa.int64()), "found": pa.array(counts + none, pa.int64()), "a": pa.array([None] * len(rows) + a, pa.int64()), "b": pa.array([None] * len(rows) + b, pa.int64())})
+        columns = {"vec_id": [*own[rows].tolist(), *none], "found": [*total[rows].tolist(), *none], "a": [None] * len(rows) + a, "b": [None] * len(rows) + b}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
     return run
 
@@ -258,23 +268,32 @@ def near_vectors(table: DataFrame, least: float = 0.95) -> DataFrame:
     fit = F.coalesce(fit, F.lit(False))
     nodes = table.where(fit).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     nodes = stored(nodes, "vectors")
-    total = nodes.count()
+    sizes = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    total = sum(sizes.values())
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_ROWS))
     dealt = nodes.select(F.col("rep").alias("vec_id"), "copies", "vector", F.size("vector").alias("dim"))
     # one shard key per hash and vector length
-    dealt = dealt.withColumn("shard", F.col("dim") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    graphs = stored(dealt.groupBy("shard").applyInArrow(_build, _SHARD), "graphs")
-    parts = max(1, math.ceil(total / QUERY_ROWS))
-    asked = dealt.select("vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).alias("part"))
-    asked = asked.join(graphs.select("dim", F.col("shard").alias("to")), "dim").select("to", F.col("part").alias("of"), "vec_id", "vector")
-    units = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    answers = stored(units.groupBy("shard", "part").cogroup(asked.groupBy("to", "of")).applyInArrow(_query(least), "vec_id long, found long, a long, b long"), "answers")
-    drop(graphs)
-    counts = answers.where("vec_id is not null").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("found").alias("found"))
+    sharded = dealt.withColumn("shard", F.col("dim") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    folder = new_path(spark, "graphs")
+    built = stored(sharded.groupBy("shard").applyInArrow(_build(folder), "dim int, path string"), "shards")
+    paths: dict[int, list[str]] = {}
+    for row in built.collect():  # a row a shard of SHARD_ROWS vectors
+        paths.setdefault(row["dim"], []).append(row["path"])
+    paths = {dim: sorted(found) for dim, found in paths.items()}
+    size = sum(8 * dim * n for dim, n in sizes.items())
+    parts = max(1, math.ceil(size / QUERY_BYTES), min(shuffle_partitions(spark), math.ceil(total / QUERY_ROWS)))
+    asked = dealt.select("vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).alias("part")).repartition(parts, "dim", "part")
+    answers = stored(asked.groupBy("dim", "part").applyInArrow(_query(least, paths), "vec_id long, found long, a long, b long"), "answers")
+    drop(built)
+    counts = answers.where("vec_id is not null").select(F.col("vec_id").alias("rep"), "found")
     labels = components(answers.where("a is not null").select("a", "b"))
+    # rows meet their vector's class by a 128-bit hash of the vector
     classes = nodes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("vector", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    alone = F.col("n").isNull()
-    joined = table.withColumn("key", F.when(fit, F.col("vector"))).join(classes.withColumnRenamed("vector", "key"), "key", "left")
-    component = F.when(alone, F.col("vec_id")).otherwise(F.col("c"))
+    classes = classes.select(_key(F.col("vector")).alias("key"), "copies", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    joined = join_classes(table.select("vec_id", F.when(fit, _key(F.col("vector"))).alias("key")), classes, "key", "copies", total)
+    component = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("c"))
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def _key(vector) -> F.Column:
+    return F.concat(F.hex(F.xxhash64(vector)), F.hex(F.xxhash64(F.lit(1), vector)))
