@@ -66,9 +66,13 @@ def segment_stats(log: DataFrame, size: int) -> DataFrame:
 
 
 def retention_size(segments: DataFrame, budget: int) -> DataFrame:
-    """A head segment goes while the segments behind it hold the budget; the active one stays."""
-    later = F.sum("size_bytes").over(by_part("segment_base").rowsBetween(1, Window.unboundedFollowing))
-    return segments.withColumn("_later", F.coalesce(later, F.lit(-1))).where(F.col("_later") < budget).drop("_later")
+    """A head segment goes while the segments behind it hold the budget; the active one stays; a negative budget keeps all."""
+    if budget < 0:
+        return segments
+    newest = by_part("segment_base", desc=True)
+    later = F.sum("size_bytes").over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size_bytes")
+    kept = segments.withColumns({"_later": later, "_active": F.row_number().over(newest) == 1})
+    return kept.where((F.col("_later") < budget) | F.col("_active")).drop("_later", "_active")
 
 
 def retention_time(segments: DataFrame, cutoff: Column) -> DataFrame:
@@ -119,3 +123,9 @@ def recover_torn_tail(frames: DataFrame, bad: Column) -> DataFrame:
 def diverged_tail(batches: DataFrame, ends: DataFrame) -> DataFrame:
     """Batches that remain after truncation to the leader's end offset, rounded down to whole batches."""
     return batches.join(ends, "part").where(F.col("base_off") < F.col("end_offset")).where(F.col("last_off") < F.col("end_offset")).drop("end_offset")
+
+
+def filter_partial_tail(batches: DataFrame, most: int) -> DataFrame:
+    """Batches that end within the first ``most`` bytes of their partition; what a fetch cut in its middle is left out."""
+    end = F.sum("size_bytes").over(by_part("base_off").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return batches.withColumn("_end", end).where(F.col("_end") <= most).drop("_end")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def _with_next_marker(log: DataFrame) -> DataFrame:
-    """The next marker of the row's producer in its partition: one marker closes the producer's whole open range."""
-    following = Window.partitionBy("part", "pid").orderBy("off").rowsBetween(0, Window.unboundedFollowing)
-    return log.withColumns({
-        "next_marker_off": F.min(F.when(F.col("is_control"), F.col("off"))).over(following),
-        "next_marker": F.first(F.when(F.col("is_control"), F.col("marker")), ignorenulls=True).over(following),
-    })
+    """The next marker of the row's producer in its partition: one marker closes the producer's whole open range.
+
+    Read from the end backwards, so that the marker is carried along: time linear in the rows.
+    """
+    behind = Window.partitionBy("part", "pid").orderBy(F.desc("off")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marker = F.when(F.col("is_control"), F.struct("off", "marker"))
+    found = log.withColumn("_next", F.last(marker, ignorenulls=True).over(behind))
+    return found.withColumns({"next_marker_off": F.col("_next.off"), "next_marker": F.col("_next.marker")}).drop("_next")
 
 
 def aborted_txn_index(log: DataFrame) -> DataFrame:
@@ -27,7 +29,10 @@ def aborted_in_window(index: DataFrame, start: int, end: int) -> DataFrame:
 
 def last_stable_offset(log: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """min(first offset of the earliest open transaction, bound); the bound is the log end unless given (part, bound)."""
-    rows = _with_next_marker(log)
+    return _stable(_with_next_marker(log), bound)
+
+
+def _stable(rows: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     opened = F.min(F.when(~F.col("is_control") & (F.col("pid") > 0) & F.col("next_marker_off").isNull(), F.col("off")))
     ends = rows.groupBy("part").agg(opened.alias("opened"), (F.max("off") + 1).alias("leo"))
     if bound is not None:
@@ -37,7 +42,8 @@ def last_stable_offset(log: DataFrame, bound: DataFrame | None = None) -> DataFr
 
 def filter_read_committed(log: DataFrame) -> DataFrame:
     """Data rows below the last stable offset whose transaction committed, and all plain rows below it."""
-    rows = _with_next_marker(log).join(last_stable_offset(log), "part")
+    rows = _with_next_marker(log)
+    rows = rows.join(F.broadcast(_stable(rows)), "part")  # a row a partition
     seen = ~F.col("is_control") & (F.col("off") < F.col("lso")) & ((F.col("pid") == 0) | (F.col("next_marker") == "COMMIT"))
     return rows.where(seen).drop("lso", "next_marker", "next_marker_off")
 
@@ -53,5 +59,19 @@ def latest_by(changelog: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, "_r.*")
 
 
+def pending_markers(states: DataFrame, partitions: DataFrame) -> DataFrame:
+    """A marker for each partition of every decided transaction whose markers are not confirmed.
+
+    states(txn_id, pid, epoch, state), partitions(txn_id, topic, part); open transactions are not decided yet.
+    """
+    decided = states.where(F.col("state").isin("PREPARE_COMMIT", "PREPARE_ABORT"))
+    return decided.join(partitions, "txn_id").select("txn_id", "topic", "part", "pid", "epoch", (F.col("state") == "PREPARE_COMMIT").alias("commit"))
+
+
+def producer_state(batches: DataFrame) -> DataFrame:
+    """The last batch of each (part, pid, epoch): its sequence and last offset."""
+    return batches.groupBy("part", "pid", "epoch").agg(F.max(F.struct("sequence", "last_off")).alias("r")).select("part", "pid", "epoch", "r.sequence", "r.last_off")
+
+
 def producer_epoch_floor(log: DataFrame) -> DataFrame:
     return log.groupBy("part", "pid").agg(F.max("producer_epoch").alias("epoch"))
