@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,19 +22,69 @@ def _table() -> list[int]:
 _TABLE = _table()
 
 
-def crc32c(data: bytes, start: int = 0) -> int:
-    value = start ^ 0xFFFFFFFF
-    for byte in data:
-        value = _TABLE[(value ^ byte) & 0xFF] ^ value >> 8
-    return value ^ 0xFFFFFFFF
+_LANE = 64
+
+
+def _shifted() -> list[list[int]]:
+    """Four tables that carry a state over ``_LANE`` zero bytes, one for each of its bytes."""
+    out = []
+    for place in range(4):
+        column = []
+        for byte in range(256):
+            value = byte << 8 * place
+            for _ in range(_LANE):
+                value = _TABLE[value & 0xFF] ^ value >> 8
+            column.append(value)
+        out.append(column)
+    return out
+
+
+_SHIFTED = _shifted()
+_LANES = np.array(_TABLE, np.uint32)
+
+
+def crc32c_many(values: list[bytes]) -> list[int]:
+    """CRC-32C of each value: its pieces of ``_LANE`` bytes side by side, a value's states then joined in order."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    pieces = -(-sizes // _LANE)
+    total, firsts = int(pieces.sum()), np.cumsum(pieces) - pieces
+    if not total:
+        return [0] * len(values)
+    lanes = np.zeros((total, _LANE), np.uint8)
+    flat = np.frombuffer(b"".join(values), np.uint8)
+    pad = pieces * _LANE - sizes  # zeros in front, which leave a state of zero as it is
+    where = np.arange(len(flat)) + np.repeat(firsts * _LANE + pad - (np.cumsum(sizes) - sizes), sizes)
+    lanes.reshape(-1)[where] = flat
+    begins: dict[int, np.ndarray] = {}
+    full = np.flatnonzero(pieces)
+    for column in np.unique(pad[full]).tolist():
+        begins[column] = firsts[full[pad[full] == column]]
+    state = np.zeros(total, np.uint32)
+    for column in range(_LANE):
+        if column in begins:
+            state[begins[column]] ^= np.uint32(0xFFFFFFFF)
+        state = _LANES[(state ^ lanes[:, column]) & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+    t0, t1, t2, t3 = _SHIFTED
+    states, out = state.tolist(), []
+    for first, count in zip(firsts.tolist(), pieces.tolist(), strict=True):
+        value = states[first] if count else 0xFFFFFFFF
+        for more in states[first + 1 : first + count]:
+            value = t0[value & 0xFF] ^ t1[value >> 8 & 0xFF] ^ t2[value >> 16 & 0xFF] ^ t3[value >> 24] ^ more
+        out.append(value ^ 0xFFFFFFFF)
+    return out
+
+
+def crc32c(data: bytes) -> int:
+    return crc32c_many([data])[0]
 
 
 def crc32c_column(column):
-    """CRC-32C of a binary column, in Arrow batches."""
+    """CRC-32C of a binary column, in Arrow batches; null stays null."""
 
     @F.pandas_udf("long")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else crc32c(v))
+        sums = crc32c_many([v or b"" for v in values])
+        return pd.Series([None if v is None else n for v, n in zip(values, sums, strict=True)], index=values.index, dtype="Int64")
 
     return run(column)
 
@@ -156,3 +207,8 @@ def varint_size(value: Column) -> Column:
     """Bytes of the variable-length form of a 64-bit integer."""
     bits = F.length(F.bin(zigzag_column(value)))
     return F.ceil(bits / 7).cast("long")
+
+
+def flag_bits(attributes: Column) -> list[Column]:
+    """Columns control (bit 3), transactional (bit 4) and codec (bits 0 to 2) of a batch's attributes."""
+    return [(attributes.bitwiseAND(8) > 0).alias("control"), (attributes.bitwiseAND(16) > 0).alias("transactional"), attributes.bitwiseAND(7).alias("codec")]

@@ -20,13 +20,27 @@ from loglattice.functions.binary import crc32c, unzigzag, zigzag
 _HEAD = struct.Struct(">qiibI")
 _BODY = struct.Struct(">hiqqqhii")
 HEADER = _HEAD.size + _BODY.size
-CODEC, TRANSACTIONAL, CONTROL = 0x07, 0x10, 0x20
+# fixed values of the format: attribute bits, and the id of the zstd codec
+CODEC, CONTROL, TRANSACTIONAL, ZSTD = 0x07, 0x08, 0x10, 2
 
 
 def _bytes(value: bytes | None) -> bytes:
     return zigzag(-1) if value is None else zigzag(len(value)) + value
 
 
+def _zstd(frame: bytes) -> bytes:
+    """A bare zstd frame, which holds its content size; ValueError if it does not or is damaged."""
+    import zstandard
+
+    try:
+        size = zstandard.frame_content_size(frame)
+        if size < 0:
+            raise ValueError("zstd frame without content size")
+        return zstandard.ZstdDecompressor().decompress(frame, max_output_size=size) if size else b""
+    except zstandard.ZstdError as error:
+        raise ValueError(f"zstd: {error}") from error
+
+
 def encode(base_offset: int, records: list[tuple], leader_epoch: int = 0, producer: tuple[int, int, int] = (-1, -1, -1), flags: int = 0, zstd: bool = False) -> bytes:
     """records: (ts, key, value, headers); compressed only where that is smaller."""
     first = records[0][0] if records else 0
@@ -36,9 +50,11 @@ def encode(base_offset: int, records: list[tuple], leader_epoch: int = 0, produc
         parts.append(zigzag(len(body)) + body)
     section = b"".join(parts)
     if zstd:
-        packed = pa.compress(section, "zstd", asbytes=True)
+        import zstandard
+
+        packed = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(section)
         if len(packed) < len(section):
-            section, flags = struct.pack(">I", len(section)) + packed, flags | 4
+            section, flags = packed, flags | ZSTD
     tail = _BODY.pack(flags, max(0, len(records) - 1), first, max((r[0] for r in records), default=first), *producer, len(records)) + section
     return _HEAD.pack(base_offset, HEADER - 12 + len(section), leader_epoch, 2, crc32c(tail)) + tail
 
@@ -60,8 +76,8 @@ def decode(data: bytes, at: int = 0) -> tuple[list[dict], int] | None:
         raise ValueError("checksum")
     flags, _, first, _, producer, producer_epoch, sequence, count = _BODY.unpack_from(tail)
     section = tail[_BODY.size :]
-    if flags & CODEC == 4:
-        section = pa.decompress(section[4:], struct.unpack_from(">I", section)[0], "zstd", asbytes=True)
+    if flags & CODEC == ZSTD:
+        section = _zstd(section)
     elif flags & CODEC:
         raise ValueError(f"codec {flags & CODEC}")
     rows, place = [], 0
@@ -92,20 +108,37 @@ def encoded(log: DataFrame, size: int, zstd: bool = False) -> DataFrame:
     A batch starts at its first row's offset; rows that compaction took away leave gaps, which a batch cannot hold, so
     ``log`` has dense offsets.
     """
+    return encoded_batches(log.withColumn("batch", (F.col("off") / size).cast("long")), zstd)
+
+
+def encoded_batches(log: DataFrame, zstd: bool = False) -> DataFrame:
+    """encoded() of rows that name their ``batch`` within the part, and may have a producer ``pid`` and ``is_control``.
+
+    Rows of a producer make a transactional batch, a control row a batch of its own, which is never compressed.
+    """
+    columns = ["ts_ms", "key", "value"]
+    more = [c for c in ("pid", "is_control") if c in log.columns]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("off")
-        records = [(t, k, v, []) for t, k, v in zip(*(table.column(c).to_pylist() for c in ("ts_ms", "key", "value")), strict=True)]
-        base = table.column("off")[0].as_py()
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int64()), "base_off": pa.array([base], pa.int64()), "data": pa.array([encode(base, records, zstd=zstd)], pa.binary())})
+        records = [(t, k, v, []) for t, k, v in zip(*(table.column(c).to_pylist() for c in columns), strict=True)]
+        base, first = table.column("off")[0].as_py(), {c: table.column(c)[0].as_py() for c in more}
+        control, pid = bool(first.get("is_control")), first.get("pid") or 0
+        flags = CONTROL if control else TRANSACTIONAL if pid > 0 else 0
+        data = encode(base, records, producer=(pid, 0, 0) if pid > 0 else (-1, -1, -1), flags=flags, zstd=zstd and not control)
+        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int64()), "base_off": pa.array([base], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    batch = (F.col("off") / size).cast("long").alias("batch")
-    return log.groupBy("part", batch).applyInArrow(run, "part long, base_off long, data binary")
+    rows = log.select("part", "batch", "off", *columns, *more)
+    return rows.groupBy("part", "batch").applyInArrow(run, "part long, base_off long, data binary")
 
 
 def decoded(batches: DataFrame) -> DataFrame:
-    """Rows of batches(part, data); a damaged or partial batch raises."""
-    schema = to_arrow_schema(StructType.fromDDL("part long, off long, ts_ms long, key binary, value binary"))
+    """Rows of batches(part, data): part, off, ts_ms, key, value, base_off, producer_id (0: none), is_control.
+
+    A damaged or partial batch raises.
+    """
+    kind = "part long, off long, ts_ms long, key binary, value binary, base_off long, producer_id long, is_control boolean"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
 
     def run(tables):
         for table in tables:
@@ -113,18 +146,89 @@ def decoded(batches: DataFrame) -> DataFrame:
                 found = decode(data)
                 if found is None:
                     raise ValueError("partial batch")
-                yield pa.RecordBatch.from_pylist([{"part": part} | {c: r[c] for c in ("off", "ts_ms", "key", "value")} for r in found[0]], schema)
+                rows = [{"part": part, "base_off": r["base_offset"], "producer_id": max(0, r["producer_id"])} | {c: r[c] for c in ("off", "ts_ms", "key", "value", "is_control")} for r in found[0]]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return batches.select("part", "data").mapInArrow(run, kind)
+
+
+def verify_batches(batches: DataFrame) -> DataFrame:
+    """Of each part of batches(part, base_off, data): segments (1), batches, records, next offset, and the first problem.
+
+    Batches behind the first problem do not count.
+    """
+    kind = "part long, base_off long, records long, stop long, problem string"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
 
-    return batches.select("part", "data").mapInArrow(run, "part long, off long, ts_ms long, key binary, value binary")
+    def run(tables):
+        for table in tables:
+            rows = []
+            for part, base, data in zip(*(table.column(c).to_pylist() for c in ("part", "base_off", "data")), strict=True):
+                records, problem = [], None
+                try:
+                    found = decode(data)
+                    problem = "partial trailing frame" if found is None else None
+                    records = found[0] if found else []
+                except ValueError as error:
+                    problem = str(error)
+                rows.append({"part": part, "base_off": base, "records": len(records), "stop": records[-1]["off"] + 1 if records else None, "problem": problem})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    found = batches.select("part", "base_off", "data").mapInArrow(run, kind)
+    counts = found.groupBy("part").agg(
+        F.min_by(F.struct("base_off", "problem"), F.when(F.col("problem").isNotNull(), F.col("base_off"))).alias("first"),
+    )
+    whole = found.join(counts, "part").where("first is null or base_off < first.base_off")
+    sums = whole.groupBy("part").agg(F.count("*").alias("batches"), F.sum("records").alias("records"), F.max("stop").alias("next_off"))
+    out = counts.join(sums, "part", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("part", F.lit(1).cast("long").alias("segments"), *(F.coalesce(c, zero).alias(c) for c in ("batches", "records", "next_off")), F.col("first.problem").alias("problem"))
+
+
+def verify_segments(spark: SparkSession, path: str) -> DataFrame:
+    """For each folder of .log files: segments, batches, records, next offset, and the first problem with its place.
+
+    Files of a folder are read in the order of their names and none behind the first problem; a file is one row of a task,
+    and only its counts leave the task.
+    """
+    kind = "folder string, file string, batches long, records long, end long, problem string"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, count, records, end, problem = 0, 0, 0, None, None
+                while at < len(data) and problem is None:
+                    try:
+                        found = decode(data, at)
+                    except ValueError as error:
+                        problem = f"{name.rsplit('/', 1)[1]} position {at}: {error}"
+                        break
+                    if found is None:
+                        problem = f"{name.rsplit('/', 1)[1]} position {at}: partial trailing frame ({len(data) - at} bytes)"
+                        break
+                    count, records, at = count + 1, records + len(found[0]), found[1]
+                    end = found[0][-1]["off"] + 1 if found[0] else end
+                folder, file = name.rsplit("/", 1)
+                yield pa.RecordBatch.from_pylist([{"folder": folder.rsplit("/", 1)[1], "file": file, "batches": count, "records": records, "end": end, "problem": problem}], schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path)
+    found = files.select("path", "content").mapInArrow(run, kind)
+    first = found.groupBy("folder").agg(F.min(F.when(F.col("problem").isNotNull(), F.col("file"))).alias("first"))
+    read = found.join(first, "folder").where("first is null or file <= first")
+    counts = read.groupBy("folder").agg(F.count("*").alias("segments"), F.sum("batches").alias("batches"), F.sum("records").alias("records"), F.coalesce(F.max_by("end", F.when(F.col("end").isNotNull(), F.col("file"))), F.lit(0).cast("long")).alias("next_off"), F.max("problem").alias("problem"))
+    return counts
 
 
 SCHEMA = "path string, off long, ts_ms long, key binary, value binary, headers array<struct<key:binary,value:binary>>, base_offset long, leader_epoch int, producer_id long, producer_epoch int, base_sequence int, is_transactional boolean, is_control boolean"
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all .log files under a path, up to each file's first partial or damaged batch.
+    """Records of all .log files under a path.
 
-    Files come through Spark's own binary reader, so any store it reads will do; one file is one task's row.
+    A torn tail, that is a last batch which is cut off or fails its checksum, ends its file quietly; anything else that
+    cannot be read (a damaged batch before the last, an unknown codec or magic) raises with the file and place.  Files come
+    through Spark's own binary reader, so any store it reads will do; one file is one task's row.
     """
 
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
@@ -136,8 +240,10 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 while True:
                     try:
                         found = decode(data, at)
-                    except ValueError:
-                        break
+                    except ValueError as error:
+                        if str(error) == "checksum" and at + 12 + int.from_bytes(data[at + 8 : at + 12], "big") == len(data):
+                            break
+                        raise ValueError(f"{name} at {at}: {error}") from error
                     if found is None:
                         break
                     rows += [{"path": name} | r for r in found[0]]
