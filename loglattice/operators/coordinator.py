@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators.stateful import replayed
 from loglattice.operators.txn import latest_by
 
 
@@ -82,12 +83,12 @@ class Group:
         return outcome, name, own.epoch if own else 0, self.generation, list(own.held) if own else []
 
 
-def group_steps(rows: Iterable[tuple], parts: int, timeout_ms: int) -> list[tuple]:
+def group_steps(rows: Iterable[tuple], parts: int, timeout_ms: int) -> Iterator[tuple]:
     group = Group(parts, timeout_ms)
-    return [(row[0], *group.step(*row[1:])) for row in rows]
+    return ((row[0], *group.step(*row[1:])) for row in rows)
 
 
-def staging_steps(rows: Iterable[tuple]) -> list[tuple]:
+def staging_steps(rows: Iterable[tuple]) -> Iterator[tuple]:
     """Offsets staged in one producer's transactions: (log_pos, event, grp, part, committed, epoch), event stage, commit
     or abort -> (grp, part, committed, log_pos), folded at their marker's position.
 
@@ -96,7 +97,6 @@ def staging_steps(rows: Iterable[tuple]) -> list[tuple]:
     """
     staged: dict[str, tuple[int, dict]] = {}
     decided: dict[str, int] = {}
-    out = []
     for pos, event, grp, part, committed, epoch in rows:
         if event == "stage":
             if epoch < max(decided.get(grp, epoch), staged.get(grp, (epoch,))[0]):
@@ -109,53 +109,48 @@ def staging_steps(rows: Iterable[tuple]) -> list[tuple]:
             offsets = staged.pop(name)[1]
             decided[name] = max(decided.get(name, epoch), epoch)
             if event == "commit":
-                out += [(name, p, c, pos) for p, c in offsets.items()]
-    return out
+                yield from ((name, p, c, pos) for p, c in offsets.items())
 
 
-def marker_steps(rows: Iterable[tuple], start: int = 0) -> list[tuple]:
+def marker_steps(rows: Iterable[tuple], start: int = 0) -> Iterator[tuple]:
     """One partition's appends: (event, pid, epoch, coordinator_epoch, position), event data, commit or abort ->
     (position, outcome, off).
 
     A marker of an older coordinator is refused; a repeated one is not written twice while it is the log's last entry.
     """
     last: dict[int, tuple] = {}
-    end, out = start, []
+    end = start
     for event, pid, epoch, coordinator, position in rows:
         if event != "data":
             known = last.get(pid)
             if known and coordinator < known[2]:
-                out.append((position, "refused", -1))
+                yield (position, "refused", -1)
                 continue
             if known and known[:3] == (event, epoch, coordinator) and known[3] == end - 1:
-                out.append((position, "repeated", known[3]))
+                yield (position, "repeated", known[3])
                 continue
             last[pid] = (event, epoch, coordinator, end)
-        out.append((position, "appended", end))
+        yield (position, "appended", end)
         end += 1
-    return out
 
 
-def grant_steps(rows: Iterable[tuple[int, int]], rate: float, capacity: float) -> list[int]:
+def grant_steps(rows: Iterable[tuple[int, int]], rate: float, capacity: float) -> Iterator[int]:
     """(ms, wanted bytes) -> granted bytes, whole tokens of a bucket that starts empty; a rate of 0 grants all."""
-    tokens, before, out = 0.0, None, []
+    tokens, before = 0.0, None
     for ms, wanted in rows:
         if before is not None and ms > before:
             tokens = min(capacity, tokens + rate * (ms - before) / 1000)
         before = ms if before is None else max(before, ms)
         granted = wanted if rate <= 0 else max(0, min(wanted, int(tokens)))
         tokens -= granted if rate > 0 else 0
-        out.append(granted)
-    return out
+        yield granted
 
 
-def raw_append_steps(rows: Iterable[tuple[int, int]], end: int = 0) -> list[str]:
+def raw_append_steps(rows: Iterable[tuple[int, int]], end: int = 0) -> Iterator[str]:
     """(base, last) of replicated batches in arrival order: one below the log end is rejected, a gap ahead is taken."""
-    out = []
     for base, last in rows:
-        out.append("append" if base >= end else "rejected")
+        yield "append" if base >= end else "rejected"
         end = last + 1 if base >= end else end
-    return out
 
 
 def deal_steps(pairs: list[tuple[str, int]], subscribed: dict[str, set[str]]) -> list[tuple[str, int, str]]:
@@ -191,22 +186,6 @@ def assign_uniform_mixed(subscriptions: DataFrame, partitions: DataFrame) -> Dat
     return both.groupBy().applyInPandas(run, "topic string, part long, member string")
 
 
-def replayed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``step`` makes of each key's rows in order; the keys stand in front of ``schema``."""
-    kinds = dict(rows.dtypes)
-    names = [field.split()[0] for field in schema.split(", ")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        out = pd.DataFrame(step(list(group[columns].itertuples(index=False, name=None))), columns=names)
-        for i, key in enumerate(keys):
-            out.insert(i, key, group[key].iloc[0])
-        return out
-
-    head = "".join(f"{k} {kinds[k]}, " for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, head + schema)
-
-
 def group_lifecycle(events: DataFrame, parts: int, timeout_ms: int) -> DataFrame:
     """events(grp, seq, at_ms, event, member, instance, epoch, owned) -> the coordinator's answer to each."""
     schema = "seq long, outcome string, member string, member_epoch long, generation long, held array<bigint>"

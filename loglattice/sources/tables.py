@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; on one machine without it, a temporary one.  A cluster must name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loglattice-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/loglattice/{name}-{uuid.uuid4().hex}"
+
+
 def appended(ends: DataFrame, rows: DataFrame, order: str, clock: Column | None = None, epoch: int = 0) -> DataFrame:
     """rows(part, ...) with ``off`` from the log end of their partition on, in ``order``; stamped with clock and epoch.
 
@@ -57,3 +71,53 @@ def dead_letters(rows: DataFrame, failure: Column, tries: int) -> tuple[DataFram
     marked = rows.withColumn("cause", failure)
     dead = marked.where("cause is not null").withColumn("headers", F.create_map(F.lit("cause"), F.col("cause"), F.lit("tries"), F.lit(str(tries))))
     return marked.where("cause is null").drop("cause"), dead.drop("cause")
+
+
+def through_csv(rows: DataFrame) -> DataFrame:
+    """rows written as CSV with a header to the shared folder, and read back."""
+    path = shared_folder(rows.sparkSession, "csv")
+    rows.write.option("header", True).csv(path)
+    return rows.sparkSession.read.schema(rows.schema).option("header", True).csv(path)
+
+
+def transact(spark: SparkSession, path: str, number: int, frames: dict[str, DataFrame], commit: bool = True) -> None:
+    """Write transaction ``number``: every frame into its own folder, then, only to commit, its marker.
+
+    Readers go by markers, so an aborted or cut-off transaction is never seen, all frames of one appear at once, and a
+    repeated number replaces itself: records and the offsets they came from commit together.
+    """
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}/txn={number}")
+    if commit:
+        spark.range(number, number + 1).select(F.col("id").alias("txn")).coalesce(1).write.mode("overwrite").parquet(f"{path}/committed/at={number}")
+
+
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of ``name`` in all committed transactions, with their transaction's number."""
+    markers = spark.read.parquet(f"{path}/committed").select("txn")
+    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").join(F.broadcast(markers), "txn")  # a row a transaction
+
+
+def retried(rows: DataFrame, failure: Column, tries: int) -> tuple[DataFrame, DataFrame]:
+    """dead_letters() of a handler tried ``tries`` times; ``failure(try)`` may name the column ``try``, from 1 on.
+
+    A row is dead when every try fails, with the last try's cause; the handled rows carry the try that succeeded.
+    """
+    causes = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(i.alias("try"), failure(i).alias("cause")))
+    marked = rows.withColumn("_causes", causes)
+    first = F.element_at(F.filter("_causes", lambda x: x["cause"].isNull()), 1)
+    passed = marked.where(F.exists("_causes", lambda x: x["cause"].isNull())).withColumn("try", first["try"]).drop("_causes")
+    failed = marked.where(F.forall("_causes", lambda x: x["cause"].isNotNull())).withColumn("cause", F.element_at("_causes", -1)["cause"]).drop("_causes")
+    return passed, failed.withColumn("headers", F.create_map(F.lit("cause"), F.col("cause"), F.lit("tries"), F.lit(str(tries)))).drop("cause")
+
+
+def console_lines(log: DataFrame) -> DataFrame:
+    """Records as a console consumer prints them: partition, offset, key and value, null shown as such."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return log.select(F.concat_ws(" ", F.concat_ws("-", "part", "off"), F.concat(shown("k"), F.lit("="), shown("v"))).alias("line"))
+
+
+def line_source(lines: DataFrame, partitions: int) -> DataFrame:
+    """Lines(n, line) as records dealt round robin by line number, empty ones left out: (part, off, v)."""
+    kept = lines.where("line <> ''").withColumn("part", F.pmod("n", F.lit(partitions)))
+    return kept.select("part", (F.row_number().over(Window.partitionBy("part").orderBy("n")) - 1).cast("long").alias("off"), F.col("line").alias("v"))

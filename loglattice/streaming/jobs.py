@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loglattice.operators import stateful
+from loglattice.sources.tables import committed, shared_folder, transact
 
 
 def events_stream(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -41,7 +42,7 @@ def dedup_stream(stream: DataFrame) -> DataFrame:
             frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
             rows = list(frame[["seq", "n"]].itertuples(index=False, name=None))
             head = [] if last is None else [tuple(last)]
-            verdicts = stateful.dedup_steps(head + rows)
+            verdicts = list(stateful.dedup_steps(head + rows))
             accepted = [r for r, v in zip(head + rows, verdicts, strict=True) if v == "append"]
             last = accepted[-1] if accepted else last
             frame["verdict"] = verdicts[len(head) :]
@@ -60,3 +61,37 @@ def exactly_once_sink(stream: DataFrame, target: str, checkpoint: str, transform
         transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def collected(stream: DataFrame, mode: str) -> DataFrame:
+    """The stream's whole result as a table in the shared folder, written by its tasks: nothing passes the driver.
+
+    In complete mode every micro-batch replaces the result before it.
+    """
+    spark = stream.sparkSession
+    path, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
+    job = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        job.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        job.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def transactional_sink(stream: DataFrame, path: str, checkpoint: str, offsets: Callable[[DataFrame], DataFrame], transform: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """Consume, transform, produce: each micro-batch is one transaction of its rows and the offsets it consumed.
+
+    A batch that is replayed after a failure has the same number and replaces itself, so every record counts once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        transact(batch.sparkSession, path, number, {"rows": transform(batch), "offsets": offsets(batch)})
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def committed_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The position behind the last committed transaction of each (grp, part)."""
+    return committed(spark, path, "offsets").groupBy("grp", "part").agg(F.max_by("position", "txn").alias("position"))
