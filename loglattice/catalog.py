@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loglattice import catalog_control
-from loglattice.operators import groups, log, metrics, replication, security, stateful, txn
+from loglattice import catalog_control, catalog_sinks, catalog_state
+from loglattice.operators import groups, log, metrics, replication, security, txn
 from loglattice.plans.registry import oracle_sql, queries, query
 
-__all__ = ["catalog_control", "oracle_sql", "queries"]
+__all__ = ["catalog_control", "catalog_sinks", "catalog_state", "oracle_sql", "queries"]
 
 # scans, sources, sinks
 
@@ -23,18 +23,13 @@ query("segment_lookup", "select part, coalesce(max(case when segment_base <= 123
 query("list_offsets", "select part, 0::bigint as earliest, max(off) + 1 as latest from v_log group by part")(lambda f: log.list_offsets(f.v_log))
 query("offset_for_timestamp", "select part, max(off) as off from v_log where ts <= timestamp '2024-01-10 00:00:00' group by part")(lambda f: log.offset_for_timestamp(f.v_log, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")))
 query("index_floor", "select part, max(base_off) as base_off from v_batch where base_off <= 777 group by part")(lambda f: log.index_floor(f.v_batch, 777))
-query("sink_control", "select part, last_off + 1 as off, outcome as marker from v_txn where outcome <> 'OPEN'")(lambda f: f.v_txn.where("outcome <> 'OPEN'").select("part", (F.col("last_off") + 1).alias("off"), F.col("outcome").alias("marker")))
 query("source_feed", "select i, i % 3 as part from range(1000) t(i)")(lambda f: f.spark.range(1000).select(F.col("id").alias("i"), F.pmod("id", F.lit(3)).alias("part")))
 query("source_events", "select event_id, event_type from events where event_id > 500 order by event_id limit 2048")(lambda f: f.events.where("event_id > 500").select("event_id", "event_type"))
-query("sink_dead_letter", "select part, off, v is null as dead from v_log")(lambda f: f.v_log.where("v is null").withColumn("dead", F.lit(True)).unionByName(f.v_log.where("v is not null").withColumn("dead", F.lit(False))).select("part", "off", "dead"))
 query("sink_prometheus", "select broker, op, 'count' as metric, count(*) as value from v_sample group by all union all select broker, op, 'bytes', sum(bytes)::bigint from v_sample group by all")(
     lambda f: f.v_sample.groupBy("broker", "op").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).unpivot(["broker", "op"], ["count", "bytes"], "metric", "value")
 )
 query("verify_log", "select part, count(distinct floor(off / 500.0)) as segments, count(distinct floor(off / 10.0)) as batches, count(*) as records, max(off) + 1 as next_off, count(*) = max(off) - min(off) + 1 as dense from v_log group by part")(lambda f: log.verify_log(f.v_log, 10, 500))
 query("recover_torn_tail", "select part, off from (select *, min(case when event_id % 997 = 5 then off end) over (partition by part) as bad from v_log) t where bad is null or off < bad")(lambda f: log.recover_torn_tail(f.v_log, F.col("event_id") % 997 == 5).select("part", "off"))
-query("sink_produce", "select event_id, case when user_id % 7 = 0 then 'AUTH' when length(props) > 9 then 'SIZE' when value < 0 then 'DECODE' else 'NONE' end as error from events")(
-    lambda f: f.events.select("event_id", F.when(F.col("user_id") % 7 == 0, "AUTH").when(F.length("props") > 9, "SIZE").when(F.col("value") < 0, "DECODE").otherwise("NONE").alias("error"))
-)
 
 # projections and filters
 
@@ -43,7 +38,6 @@ query("project_deserialize", "select event_id, cast(json_extract(props, '$.k') a
 query("filter_pre_offset", "select part, off from v_log where off >= 333")(lambda f: f.v_log.where("off >= 333").select("part", "off"))
 query("filter_control", "select part, off, pid from v_tlog where not is_control")(lambda f: txn.filter_control(f.v_tlog).select("part", "off", "pid"))
 query("filter_paused", "select part, count(*) as n from v_log where part not in (2) group by part")(lambda f: f.v_log.join(F.broadcast(f.spark.createDataFrame([(2,)], "part long")), "part", "left_anti").groupBy("part").agg(F.count("*").alias("n")))
-query("filter_partial_tail", "select part, count(*) as n from v_batch where n = 10 group by part")(lambda f: f.v_batch.where("n = 10").groupBy("part").agg(F.count("*").alias("n")))
 query(
     "filter_read_committed",
     """with x as (select *, min(case when is_control then off end) over (partition by part, pid order by off rows between current row and unbounded following) as nm from v_tlog),
@@ -56,15 +50,9 @@ _ACL = """select r.id, r.principal, r.rtype, r.rname, r.op, case when bool_or(no
      and (a.rname = '*' or a.rname = r.rname or (a.is_prefix and starts_with(r.rname, a.rname))) group by all"""
 query("acl_allows", _ACL)(lambda f: security.acl_allows(f.v_acl, f.v_request))
 query("acl_authorize", f"with d as ({_ACL}) select id, principal = 'dave' or coalesce(allowed, false) as authorized from d")(lambda f: security.acl_authorize(security.acl_allows(f.v_acl, f.v_request), ["dave"]).select("id", "authorized"))
-_CONFIG = "select p.part, case p.part when 0 then ' 512 ' when 1 then 'many' else null end as own from (select distinct part from v_log) p"
-query("effective_config", f"with c as ({_CONFIG}) select part, coalesce(try_cast(trim(own) as bigint), 1000)::bigint as value from c")(
-    lambda f: security.effective_config(f.v_log.select("part").distinct().withColumn("config", F.create_map(F.lit("retention"), F.when(F.col("part") == 0, " 512 ").when(F.col("part") == 1, "many"))), "retention", 5000, 1, 1000).select("part", "value")
-)
-query("validate_config", "select event_id, case when value < 0 then 'negative' when value > 400 then 'too large' else 'ok' end as verdict from events")(lambda f: f.events.select("event_id", F.when(F.col("value") < 0, "negative").when(F.col("value") > 400, "too large").otherwise("ok").alias("verdict")))
 query("liveness", "select broker, broker = 1 or date_diff('second', max(ts), timestamp '2024-03-01 00:00:00') <= 86400 as alive from v_sample group by broker")(
     lambda f: f.v_sample.groupBy("broker").agg(((F.col("broker") == 1) | (F.unix_seconds(F.lit("2024-03-01 00:00:00").cast("timestamp")) - F.unix_seconds(F.max("ts").cast("timestamp")) <= 86400)).alias("alive"))
 )
-query("offline_partitions", "select count(*) as n from v_replica where broker = 3 and not in_isr")(lambda f: f.v_replica.where("broker = 3 and not in_isr").agg(F.count("*").alias("n")))
 query("pipeline_transform", "select event_id, upper(event_type) as v from events")(lambda f: f.events.select("event_id", F.upper("event_type").alias("v")))
 
 # joins
@@ -87,11 +75,7 @@ query(
 query("coordinator_route", "select distinct 'g' || g as grp, (103 * 31 + 48 + g) % 3 as part, case (103 * 31 + 48 + g) % 3 when 0 then 1::bigint when 1 then 2::bigint else -1::bigint end as leader from range(3) t(g)")(lambda f: groups.coordinator_route(f.v_commit.select("grp").distinct(), f.spark.createDataFrame([(0, 1), (1, 2)], "part long, leader long"), 3))
 query("ledger_missing", "select event_id from events where event_id % 3 <> 0 and event_id % 11 = 0")(lambda f: f.events.select("event_id").join(f.events.where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti"))
 query("ledger_duplicated", "select user_id, count(*) as n from events group by user_id having count(*) > 60")(lambda f: f.events.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 60"))
-query("verify_exactly_once", "select part, count(*) as n, count(*) filter (where upper(v) is distinct from upper(v)) as mismatches from v_log group by part")(
-    lambda f: f.v_log.select("part", "off", "v").join(f.v_log.select("part", "off", F.upper("v").alias("sink")), ["part", "off"], "full_outer").groupBy("part").agg(F.count("*").alias("n"), F.count_if(~F.upper("v").eqNullSafe(F.col("sink"))).alias("mismatches"))
-)
 query("under_replicated", "select part, count(*) filter (where in_isr) as isr, count(*) as n from v_replica group by part having count(*) filter (where in_isr) < count(*)")(lambda f: metrics.under_replicated(f.v_replica))
-query("hwm_overlay", "select part, coalesce(max(case when broker = 1 and leo >= 0 then leo end), -1) as hwm from v_replica group by part")(lambda f: f.v_replica.groupBy("part").agg(F.coalesce(F.max_by("leo", F.when((F.col("broker") == 1) & (F.col("leo") >= 0), F.col("broker"))), F.lit(-1).cast("long")).alias("hwm")))
 query("group_list_merge", "select grp, min(part) as part from v_commit group by grp")(lambda f: f.v_commit.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("part", "log_pos"))).where("r = 1").select("grp", "part"))
 query("member_topic_match", "select t.topic, m.member from (values ('m1', 'a,b'), ('m2', 'b'), ('m3', 'c')) m(member, subs), (values ('a'), ('b')) t(topic) where list_contains(string_split(subs, ','), topic)")(
     lambda f: f.spark.sql("select * from values ('m1', 'a,b'), ('m2', 'b'), ('m3', 'c') as m(member, subs)").select("member", F.explode(F.split("subs", ",")).alias("topic")).join(f.spark.sql("select * from values ('a'), ('b') as t(topic)"), "topic", "left_semi").select("topic", "member")
@@ -108,23 +92,14 @@ query("aborted_evict", "select part, count(*) as n from v_txn where outcome = 'A
 query("committed_offsets", "select grp, part, committed from (select *, row_number() over (partition by grp, part order by log_pos desc) as rn from v_commit) t where rn = 1 and committed is not null")(lambda f: groups.committed_offsets(f.v_commit))
 query("newest_commit", "select grp, max(ts) as ts from v_commit group by grp")(lambda f: f.v_commit.groupBy("grp").agg(F.max("ts").alias("ts")))
 query("txn_state_latest", "select part, pid, arg_max(outcome, txn_no) as outcome from v_txn group by part, pid")(lambda f: txn.latest_by(f.v_txn.select("part", "pid", "txn_no", "outcome"), ["part", "pid"], "txn_no").select("part", "pid", "outcome"))
-query("pending_markers", "select part, pid, txn_no from v_txn where outcome = 'OPEN'")(lambda f: f.v_txn.where("outcome = 'OPEN'").select("part", "pid", "txn_no"))
-query("producer_state", "select part, pid, max(batch_no) as sequence, arg_max(last_off, batch_no) as last_off from v_batch group by part, pid")(lambda f: f.v_batch.groupBy("part", "pid").agg(F.max("batch_no").alias("sequence"), F.max_by("last_off", "batch_no").alias("last_off")))
 query("producer_epoch_floor", "select part, pid, max(batch_no % 7) as epoch from v_batch group by part, pid")(lambda f: txn.producer_epoch_floor(f.v_batch.withColumn("producer_epoch", F.col("batch_no") % 7)))
 query("segment_stats", "select part, cast(floor(off / 500.0) as bigint) * 500 as segment_base, max(off) + 1 as next_off, sum(size_bytes)::bigint as size_bytes, count(*) as n from v_log group by 1, 2")(lambda f: log.segment_stats(f.v_log, 500))
-query("partition_metrics", "select r.part, count(*) filter (where in_isr) as isr, max(greatest(e.leo - r.leo, 0)) as most_lag from v_replica r join (select part, max(off) + 1 as leo from v_log group by part) e on r.part = e.part group by r.part")(lambda f: f.v_replica.join(log.log_end_offset(f.v_log).withColumnRenamed("leo", "e"), "part").groupBy("part").agg(F.count_if("in_isr").alias("isr"), F.max(F.greatest(F.col("e") - F.col("leo"), F.lit(0))).alias("most_lag")))
 query("throughput", "select broker, op, count(*) as n, sum(bytes)::bigint as bytes, round(greatest(0.001, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 3) as window_s, round(count(*) / greatest(0.001, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) as rate from v_sample group by broker, op")(lambda f: metrics.throughput(f.v_sample))
 query("throughput_cluster", "with t as (select broker, op, count(*) as n, epoch_us(max(ts)) - epoch_us(min(ts)) as w from v_sample group by broker, op) select op, sum(n)::bigint as n, nullif(max(w), 0) as w from t group by op")(
     lambda f: f.v_sample.groupBy("broker", "op").agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("w")).groupBy("op").agg(F.sum("n").alias("n"), F.nullif(F.max("w"), F.lit(0).cast("long")).alias("w"))
 )
-_LATENCY = """select broker, op, count(*) as n, max(case when rn = cast(ceil(0.5 * c) as bigint) then latency_us end) as p50, max(case when rn = cast(ceil(0.99 * c) as bigint) then latency_us end) as p99
-    from (select *, row_number() over (partition by broker, op order by latency_us) as rn, count(*) over (partition by broker, op) as c
-          from (select *, row_number() over (partition by broker, op order by seq desc) as recent from v_sample) r where recent <= 1024) t group by broker, op"""
-query("latency_percentiles", _LATENCY)(lambda f: metrics.latency_percentiles(f.v_sample))
-query("latency_cluster", f"with l as ({_LATENCY}) select op, max(p50) as p50, max(p99) as p99 from l group by op")(lambda f: metrics.latency_percentiles(f.v_sample).groupBy("op").agg(F.max("p50").alias("p50"), F.max("p99").alias("p99")))
 query("health_badge", "select i as n, i % 3 as alive, case when i % 2 = 1 or i % 3 < floor(i / 2.0) + 1 then 'red' when i % 3 < i then 'yellow' else 'green' end as badge from range(1, 8) t(i)")(lambda f: metrics.health_badge(f.spark.range(1, 8).select(F.col("id").alias("n"), (F.col("id") % 3).alias("alive"), (F.col("id") % 2 != 1).alias("has_controller"))).select("n", "alive", "badge"))
 query("replica_load", "select broker, count(*) as n from v_replica group by broker")(lambda f: replication.replica_load(f.v_replica.groupBy("part").agg(F.collect_list("broker").alias("replicas"))))
-query("group_summary", "select grp, count(distinct part) as parts, count(*) as commits, case when count(committed) > 0 then 'Stable' else 'Empty' end as state from v_commit group by grp")(lambda f: f.v_commit.groupBy("grp").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("commits"), F.when(F.count("committed") > 0, "Stable").otherwise("Empty").alias("state")))
 query("compact_fanout_total", "select sum(case when leo >= 300 then leo end)::bigint as kept, count(*) filter (where leo >= 300) as hosting from v_replica")(lambda f: f.v_replica.agg(F.sum(F.when(F.col("leo") >= 300, F.col("leo"))).alias("kept"), F.count_if(F.col("leo") >= 300).alias("hosting")))
 query("raft_commit_index", "select part, median(leo)::bigint as commit_index from v_replica group by part")(lambda f: replication.raft_commit_index(f.v_replica.withColumnRenamed("leo", "match_index")))
 query("partition_state_merge", "select part, pid as leader, le as leader_epoch, pe as partition_epoch from (select *, row_number() over (partition by part order by le desc, pe desc, batch_no) as rn from (select *, batch_no % 6 as le, batch_no % 4 as pe from v_batch) b) t where rn = 1")(
@@ -149,25 +124,15 @@ query("assign_uniform", f"with m as (select distinct member from ({_MEMBERS}) a)
 )
 query("metric_delta_10m", "select broker, seq, latency_us - first_value(latency_us) over (partition by broker order by seq range between 600 preceding and current row) as delta from v_sample")(lambda f: metrics.metric_delta(f.v_sample.select("broker", "seq", F.col("seq").alias("t"), F.col("latency_us").alias("value")), ["broker"], 600).select("broker", "seq", "delta"))
 query("metric_ring", "select broker, seq from (select *, row_number() over (partition by broker order by seq desc) as r from v_sample) t where r <= 600")(lambda f: metrics.metric_ring(f.v_sample, ["broker"], 600).select("broker", "seq"))
-query("dedup_sequence")(lambda f: stateful.folded(f.v_batch.withColumn("seq", F.col("batch_no") - F.when(F.col("batch_no") % 13 == 0, 1).otherwise(0)).withColumn("one", F.lit(1).cast("long")).select("part", "batch_no", "seq", "one"), ["part"], ["batch_no"], ["seq", "one"], stateful.dedup_steps, "verdict", "string"))
-query("batch_seal")(lambda f: stateful.folded(f.v_log.select("part", "off", "size_bytes"), ["part"], ["off"], ["off", "size_bytes"], lambda r: stateful.seal_steps(r, 200, 1 << 40), "batch", "long"))
-query("segment_roll")(lambda f: stateful.folded(f.v_batch.select("part", "base_off", "size_bytes"), ["part"], ["base_off"], ["size_bytes"], lambda r: stateful.roll_steps(r, 800), "segment", "long"))
-query("token_bucket")(lambda f: stateful.folded(f.v_sample.select("broker", "seq", "bytes"), ["broker"], ["seq"], ["seq", "bytes"], lambda r: stateful.bucket_steps(r, 2000.0), "wait_ms", "long"))
-query("txn_fsm")(lambda f: stateful.folded(f.v_batch.select("part", "batch_no", F.when(F.col("batch_no") % 4 == 3, "commit").when(F.col("batch_no") % 4 == 0, "markers").otherwise("add").alias("event"), F.floor(F.col("batch_no") / 50.0).cast("long").alias("epoch")), ["part"], ["batch_no"], ["event", "epoch"], lambda r: [s for s, _ in stateful.txn_steps(r)], "state", "string"))
-query("partition_change_cas")(lambda f: stateful.folded(f.v_batch.select("part", "batch_no", (F.col("batch_no") - F.when(F.col("batch_no") % 9 == 4, 2).otherwise(0)).alias("prior"), (F.col("batch_no") + 1).alias("new"), "pid"), ["part"], ["batch_no"], ["prior", "new", "pid"], stateful.cas_steps, "applied", "boolean"))
 
 # sorts, sets, scalars
 
 query("order_offset", "select part, off from v_log order by part, off")(lambda f: f.v_log.select("part", "off").orderBy("part", "off"))
 query("replay_after", "select event_id from events where event_id > 9000")(lambda f: f.events.where("event_id > 9000").select("event_id"))
-query("laggards", "select r.part, r.broker from v_replica r join (select part, max(off) + 1 as leo from v_log group by part) e on e.part = r.part where r.leo is null or e.leo - r.leo > 30")(lambda f: replication.laggards(f.v_replica, log.log_end_offset(f.v_log), 30))
-query("isr_shrink_expand", "with l as (select part, max(leo) filter (where is_leader) as e, min(leo) filter (where in_isr) as h from v_replica group by part) select r.part, string_agg(r.broker::varchar, ',' order by r.broker) as isr from v_replica r join l on l.part = r.part where r.is_leader or (r.in_isr and e - r.leo <= 25) or (not r.in_isr and r.leo >= h) group by r.part")(lambda f: replication.isr_shrink_expand(f.v_replica, 25))
 _PARTITION = lambda f: f.v_replica.groupBy("part").agg(F.array_sort(F.collect_list("broker")).alias("replicas"), F.array_sort(F.collect_list(F.when(F.col("in_isr"), F.col("broker")))).alias("isr")).withColumns({"leader": F.col("part") % 3 + 1, "epoch": F.col("part")})
 query("pick_new_leader", "select part, case when part % 3 + 1 = 2 then coalesce(min(broker) filter (where in_isr and broker <> 2), -1) else part % 3 + 1 end as leader, part + case when part % 3 + 1 = 2 then 1 else 0 end as epoch from v_replica group by part")(lambda f: replication.pick_new_leader(_PARTITION(f), 2).select("part", "leader", "epoch"))
 query("preferred_leader", "select part, 1::bigint as leader, part + 1 as epoch from (select distinct part from v_replica) t where part % 3 + 1 <> 1")(lambda f: replication.preferred_leader(_PARTITION(f)))
 query("plan_reassignment", "select part, case when part % 2 = 0 then 'contract' else 'expand' end as step, case when part % 2 = 0 then '1,3' else '1,2,3' end as after from (select distinct part from v_log) t")(lambda f: replication.plan_reassignment(_PARTITION(f).withColumn("target", F.array(F.lit(1).cast("long"), F.lit(3).cast("long")))).select("part", "step", F.array_join(F.transform("after", lambda b: b.cast("string")), ",").alias("after")))
-_BROKERS = "select cast(b as bigint) as broker, rack, cast(l as bigint) as load from (values (1, 'a', 5), (2, 'a', 1), (3, 'b', 2), (4, 'b', 2), (5, 'c', 9)) as t(b, rack, l)"
-query("place_replicas", f"with r as (select *, row_number() over (partition by rack order by load, broker) as turn from ({_BROKERS}) b), o as (select *, row_number() over (order by turn, rack) as place from r) select place, broker, rack from o where place <= 4")(lambda f: replication.place_replicas(f.spark.sql(_BROKERS), 4))
 query("assignment_diff", "select 't' as topic, 'm' as member, 1::bigint as part, 'revoked' as change union all select 't', 'm', 3, 'added'")(lambda f: groups.assignment_diff(f.spark.sql("select 't' topic, 'm' member, col part from (select explode(array(1L, 2L)))"), f.spark.sql("select 't' topic, 'm' member, col part from (select explode(array(2L, 3L)))")))
 query("fanout_union", "select broker, op from v_sample where broker = 1 union select broker, op from v_sample where broker > 1")(lambda f: f.v_sample.where("broker = 1").select("broker", "op").union(f.v_sample.where("broker > 1").select("broker", "op")).distinct())
 query("set_intersect_except", "select user_id from events where event_type = 'click' intersect select user_id from events where event_type = 'view'")(lambda f: f.events.where("event_type = 'click'").select("user_id").intersect(f.events.where("event_type = 'view'").select("user_id")))
@@ -175,7 +140,6 @@ query("segment_name", "select distinct segment_base, lpad(segment_base::varchar,
 query("duration_token", "select t, case when regexp_matches(t, '^[0-9]+[smh]$') then (left(t, length(t) - 1))::bigint * case right(t, 1) when 's' then 1 when 'm' then 60 else 3600 end else 300 end::bigint as seconds from (values ('30s'), ('5m'), ('1h'), ('x'), ('')) as d(t)")(lambda f: f.spark.sql("select * from values ('30s'), ('5m'), ('1h'), ('x'), ('') as d(t)").withColumn("seconds", security.duration_seconds(F.col("t")).cast("long")))
 query("host_port_parse", "select t, split_part(t, ':', 1) as host, split_part(t, ':', 2) as port from (values ('a:1'), ('b.c:92')) as d(t)")(lambda f: f.spark.sql("select * from values ('a:1'), ('b.c:92') as d(t)").withColumns({"host": F.substring_index("t", ":", 1), "port": F.substring_index("t", ":", -1)}))
 query("backoff_schedule", "select i, least(50 * pow(2, i), 1000)::bigint as ms from range(8) t(i)")(lambda f: f.spark.range(8).select(F.col("id").alias("i"), F.least(F.lit(50) * F.pow(F.lit(2), F.col("id")), F.lit(1000)).cast("long").alias("ms")))
-query("flag_bits", "select event_id, (event_id & 32) > 0 as control, (event_id & 16) > 0 as transactional, event_id & 7 as codec from events")(lambda f: f.events.select("event_id", (F.col("event_id").bitwiseAND(32) > 0).alias("control"), (F.col("event_id").bitwiseAND(16) > 0).alias("transactional"), F.col("event_id").bitwiseAND(7).alias("codec")))
 query("java_string_hash", "select distinct grp, (103 * 31 + ascii(right(grp, 1)))::bigint as h from v_commit")(lambda f: f.v_commit.select("grp").distinct().withColumn("h", groups.java_string_hash("grp")))
 query("check_batch_order", "select part, count(*) as n, 0::bigint as mismatches from v_log group by part")(lambda f: f.v_log.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("off")) - 1).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("r") != F.col("off")).alias("mismatches")))
 query("event_json", "select event_id, '{\"type\":\"' || event_type || '\",\"id\":' || event_id || '}' as payload from events")(lambda f: f.events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))).alias("payload")))
@@ -183,14 +147,11 @@ query("config_merge", "select 'a=1,b=3,c=4' as merged")(lambda f: f.spark.sql("s
 
 # groups and streams in batch
 
-query("offset_expiry", "select grp, max(ts) as newest from v_commit group by grp having max(ts) < timestamp '2030-01-01 00:00:00'")(lambda f: groups.offset_expiry(f.v_commit, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")))
 query("delete_group", "select grp, part, log_pos from v_commit where grp <> 'g1'")(lambda f: f.v_commit.join(F.broadcast(f.spark.createDataFrame([("g1",)], "grp string")), "grp", "left_anti").select("grp", "part", "log_pos"))
 query("reset_offsets", "select grp, part, case when grp = 'g0' then 0 else committed end as committed from (select *, row_number() over (partition by grp, part order by log_pos desc) as rn from v_commit) t where rn = 1 and (grp = 'g0' or committed is not null)")(
     lambda f: groups.committed_offsets(f.v_commit.select("grp", "part", "log_pos", "committed").unionByName(f.v_commit.where("grp = 'g0'").select("grp", "part").distinct().withColumns({"log_pos": F.lit(1 << 40).cast("long"), "committed": F.lit(0).cast("long")})))
 )
-query("describe_group", "select grp, string_agg(distinct part::varchar, ',' order by part::varchar) as parts from v_commit group by grp")(lambda f: f.v_commit.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set(F.col("part").cast("string"))), ",").alias("parts")))
 query("init_producer_id", "select max(pid) + 1 as next_id from v_batch")(lambda f: f.v_batch.agg((F.max("pid") + 1).alias("next_id")))
-query("session_eviction", "select user_id, count(*) as gaps from (select user_id, event_id - lag(event_id) over (partition by user_id order by event_id) as gap from events) t where gap > 300 group by user_id")(lambda f: f.events.withColumn("gap", F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))).where("gap > 300").groupBy("user_id").agg(F.count("*").alias("gaps")))
 query("tumbling_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")(lambda f: f.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total"))
 
 # plain relational breadth
@@ -201,16 +162,3 @@ query("pricing_summary", "select l_returnflag, l_linestatus, round(sum(l_quantit
 query("nation_revenue", "select n_name, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1")(lambda f: f.orders.join(f.customer, F.col("o_custkey") == F.col("c_custkey")).join(f.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("revenue")))
 query("order_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")(lambda f: f.orders.rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")))
 query("top_orders", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) t where r <= 3")(lambda f: f.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 3").select("o_custkey", "o_orderkey"))
-
-
-@query("stream_tumbling", "select date_trunc('hour', ts)::timestamptz at time zone 'UTC' as start, event_type, count(*) as n from events group by 1, 2")
-def _stream_tumbling(f):
-    """The streaming form over a file source, complete mode, into a memory table."""
-    import uuid
-
-    from loglattice.streaming.jobs import events_stream, tumbling_counts
-
-    name = f"tumbling_{uuid.uuid4().hex}"
-    job = tumbling_counts(events_stream(f.spark, f.dir, f.events.schema)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return f.spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

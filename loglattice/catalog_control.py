@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loglattice.functions import binary
-from loglattice.operators import control, coordinator, groups, log, metrics, replication, stateful
+from loglattice.operators import control, coordinator, groups, log, replication
 from loglattice.plans.registry import query
 from loglattice.sources import recordbatch, tables
 
@@ -15,12 +13,6 @@ from loglattice.sources import recordbatch, tables
 
 _HALF = "(select max(event_id) / 2 from events)"
 query("sink_append", f"select part, off, event_id from v_log where event_id > {_HALF}")(lambda f: _appended(f))
-query("sink_append_raw")(
-    lambda f: stateful.folded(f.v_batch.select("part", "batch_no", (F.col("base_off") - F.when(F.col("batch_no") % 9 == 5, 3).otherwise(0)).alias("base_off"), "last_off"), ["part"], ["batch_no"], ["base_off", "last_off"], coordinator.raw_append_steps, "outcome", "string")
-)
-query("sink_bench_csv", "select broker, op, n, case when n >= 150 then p99 end as p99, 'local' as host from (select broker, op, count(*) as n, max(case when rn = cast(ceil(0.99 * c) as bigint) then latency_us end) as p99 from (select *, row_number() over (partition by broker, op order by latency_us) as rn, count(*) over (partition by broker, op) as c from (select *, row_number() over (partition by broker, op order by seq desc) as recent from v_sample) r where recent <= 1024) t group by broker, op) s")(
-    lambda f: tables.bench_rows(metrics.latency_percentiles(f.v_sample), 150, host="local").select("broker", "op", "n", "p99", "host")
-)
 query("scan_group_poll", "select 'm' || (l.part % 2) as member, l.part, l.off from (select *, row_number() over (partition by part order by off) as r from v_log where off >= 40 + part) l where r <= 25")(
     lambda f: groups.group_poll(f.v_log.select("part", "off"), f.spark.sql("select concat('m', cast(id % 2 as string)) member, id part from range(4)"), f.spark.sql("select id part, 40 + id off from range(4)"), 25)
 )
@@ -78,9 +70,6 @@ query(
     union all select kind, name, case when kind <> 'broker' then item end, value from l where r = 1 and kind <> 'remove_acl' and (kind <> 'reassignment' or value is not null)
     union all select 'producer_id', null, null, max(value) from v_meta where kind = 'producer_id' having count(*) > 0""",
 )(lambda f: control.meta_fold(f.v_meta))
-query("produce_gate", "select event_id, case when user_id % 7 = 0 then 'AUTH' when length(props) > 9 then 'SIZE' when value < 0 then 'DECODE' else 'NONE' end as error from events")(
-    lambda f: control.produce_gate(f.events, [("AUTH", F.col("user_id") % 7 == 0), ("SIZE", F.length("props") > 9), ("DECODE", F.col("value") < 0)]).select("event_id", "error")
-)
 query("stream_commit_guard", "select event_id, case when user_id % 10 > 6 then 'UNKNOWN_MEMBER_ID' when event_id % 9 > user_id % 10 then 'FENCED_MEMBER_EPOCH' else 'NONE' end as error from events")(
     lambda f: control.commit_guard(f.events.select("event_id", F.lit("g").alias("grp"), (F.col("user_id") % 10).alias("member"), (F.col("event_id") % 9).alias("epoch")), f.spark.range(7).select(F.lit("g").alias("grp"), F.col("id").alias("member"), F.col("id").alias("epoch"))).select("event_id", "error")
 )
@@ -135,55 +124,11 @@ query(
     c as (select s.grp, s.part, s.committed, s.log_pos, s.decided from s join v_staged m on m.coordinator = s.coordinator and m.pid = s.pid and m.log_pos = s.decided and m.event = 'commit' where s.event = 'stage')
     select grp, part, committed from (select *, row_number() over (partition by grp, part order by decided desc, log_pos desc) as r from c) t where r = 1""",
 )(lambda f: coordinator.committed_offsets_txn(f.v_staged))
-query("group_join_heartbeat_leave")(
-    lambda f: coordinator.group_lifecycle(
-        f.events.select(
-            (F.col("user_id") % 5).alias("grp"), F.col("event_id").alias("seq"), (F.col("event_id") * 100).alias("at_ms"), F.when(F.col("event_id") % 11 == 0, "leave").when(F.col("event_id") % 5 == 1, "join").otherwise("heartbeat").alias("event"),
-            F.concat(F.lit("m"), F.col("user_id") % 7).alias("member"), F.when(F.col("user_id") % 7 < 2, F.concat(F.lit("i"), F.col("user_id") % 7)).otherwise("").alias("instance"), F.lit(0).cast("long").alias("epoch"), F.array().cast("array<bigint>").alias("owned"),
-        ), 12, 20000,
-    )
-)
-query("txn_marker_apply")(
-    lambda f: coordinator.marker_log(f.v_tlog.select("part", F.col("off").alias("seq"), F.when(~F.col("is_control"), "data").when(F.col("marker") == "COMMIT", "commit").otherwise("abort").alias("event"), "pid", F.lit(0).cast("long").alias("epoch"), (F.col("off") % 3).alias("coordinator_epoch")))
-)
 query("txn_timeout", "select part * 10 + pid as txn_id, 'PREPARE_ABORT' as state, txn_no + 1 as epoch, last_off as at_ms from v_txn where outcome = 'OPEN' and 5000 - last_off > 100")(
     lambda f: coordinator.txn_timeout(f.v_txn.select((F.col("part") * 10 + F.col("pid")).alias("txn_id"), F.when(F.col("outcome") == "OPEN", "ONGOING").otherwise("COMPLETE").alias("state"), F.col("txn_no").alias("epoch"), F.col("last_off").alias("at_ms")), 5000, 100)
 )
 query("assign_uniform_mixed", "select topic, part, case when topic = 'a' then 'm' || (part % 2 + 1) else 'm' || ((part + 2) % 3 + 1) end as member from (select 'a' as topic, x as part from range(4) t(x) union all select 'b', x from range(6) t(x)) p")(
     lambda f: coordinator.assign_uniform_mixed(f.spark.sql("select * from values ('a', 'm1'), ('a', 'm2'), ('b', 'm1'), ('b', 'm2'), ('b', 'm3') as t(topic, member)"), f.spark.sql("select * from values ('a', 4L), ('b', 6L), ('c', 2L) as t(topic, n)"))
 )
-query("throttle_grant")(lambda f: stateful.folded(f.v_sample.select("broker", "seq", "bytes"), ["broker"], ["seq"], ["seq", "bytes"], lambda r: coordinator.grant_steps(r, 2000.0, 2000.0), "granted", "long"))
 query("producer_lru", "select part, pid, off from (select part, pid, max(last_off) as off, row_number() over (partition by part order by max(last_off) desc, pid) as r from v_batch group by part, pid) t where r <= 3")(lambda f: coordinator.producer_lru(f.v_batch.select("part", "pid", F.col("last_off").alias("off")), 3))
 
-
-# streams
-
-
-def _collected(stream, mode: str):
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
-
-
-@query("stream_seek", "select event_id, upper(event_type) as v from events where event_id >= 500")
-def _stream_seek(f):
-    """Poll, transform and hand on from a position; the checkpoint holds what was polled."""
-    from loglattice.streaming.jobs import events_stream, from_position
-
-    return _collected(from_position(events_stream(f.spark, f.dir, f.events.schema), "event_id", 500).select("event_id", F.upper("event_type").alias("v")), "append")
-
-
-@query("idempotent_dedup", "select part, pid, seq, 1 as n, case when first then 'append' else 'out_of_order' end as verdict from (select user_id % 4 as part, event_id % 5 as pid, event_id as seq, row_number() over (partition by user_id % 4, event_id % 5 order by event_id) = 1 as first from events) t")
-def _idempotent_dedup(f):
-    """Sequences of five interleaved producers never continue one another, so all but the first are out of order."""
-    from loglattice.streaming.jobs import dedup_stream, events_stream
-
-    stream = events_stream(f.spark, f.dir, f.events.schema).select((F.col("user_id") % 4).alias("part"), (F.col("event_id") % 5).alias("pid"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("n"))
-    return _collected(dedup_stream(stream), "append")
-
-
-@query("stream_sessions", "select min(ts) as start, user_id, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when ts > lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 1 else 0 end as fresh from events) a) b group by user_id, session")
-def _stream_sessions(f):
-    from loglattice.streaming.jobs import events_stream, session_counts
-
-    return _collected(session_counts(events_stream(f.spark, f.dir, f.events.schema)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")

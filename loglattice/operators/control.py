@@ -53,6 +53,39 @@ def produce_gate(requests: DataFrame, gates: Sequence[tuple[str, Column]], passe
     return requests.withColumn("error", error)
 
 
+# fixed values: the error codes of a produce request
+PRODUCE_ERRORS = {"INVALID_PARTITION": 2, "UNKNOWN_TOPIC": 1, "CORRUPT_BATCH": 3, "NOT_LEADER": 5, "NOT_ENOUGH_REPLICAS": 9, "MESSAGE_TOO_LARGE": 11, "STORAGE_FULL": 12, "UNAUTHORIZED": 13, "QUOTA_VIOLATED": 86}
+
+
+def produce_errors(requests: DataFrame) -> DataFrame:
+    """requests with ``error``, the code of the first gate that refuses, 0 if all let it pass.
+
+    In order: access, quota, topic, partition number, size, disk, leadership, in-sync floor for acks = -1, damage, and
+    control batches, which no client may produce.  requests(authorized, in_quota, known_topic, partitions, part, size,
+    max_bytes, disk_low, leads, acks, isr, min_isr, corrupt, control).
+    """
+    c, code = F.col, PRODUCE_ERRORS
+    gates = [
+        ("UNAUTHORIZED", ~c("authorized")),
+        ("QUOTA_VIOLATED", ~c("in_quota")),
+        ("UNKNOWN_TOPIC", ~c("known_topic")),
+        ("INVALID_PARTITION", (c("part") < 0) | (c("part") >= c("partitions"))),
+        ("MESSAGE_TOO_LARGE", c("size") > c("max_bytes")),
+        ("STORAGE_FULL", c("disk_low")),
+        ("NOT_LEADER", ~c("leads")),
+        ("NOT_ENOUGH_REPLICAS", (c("acks") == -1) & (c("isr") < c("min_isr"))),
+        ("CORRUPT_BATCH", c("corrupt") | c("control")),
+    ]
+    error = F.coalesce(*(F.when(refuses, code[name]) for name, refuses in gates), F.lit(0))
+    return requests.withColumn("error", error.cast("long"))
+
+
+def offline_partitions(states: DataFrame, alive: DataFrame) -> DataFrame:
+    """Partitions states(part, isr) with no living broker(broker) in their in-sync list."""
+    led = states.select("part", F.explode("isr").alias("broker")).join(F.broadcast(alive.select("broker")), "broker", "left_semi")  # brokers of a cluster
+    return states.join(led.select("part").distinct(), "part", "left_anti").select("part")
+
+
 def commit_guard(commits: DataFrame, members: DataFrame) -> DataFrame:
     """commits(grp, member, epoch, ...) with ``error``; an epoch behind the member's is accepted, one ahead is fenced."""
     known = members.select("grp", "member", F.col("epoch").alias("own"))
@@ -120,3 +153,11 @@ def stage_cooperative(members: DataFrame) -> DataFrame:
 
 def same_set(left: Column, right: Column) -> Column:
     return F.array_sort(left).eqNullSafe(F.array_sort(right))
+
+
+def verify_sink(log: DataFrame, sink: DataFrame) -> DataFrame:
+    """log(part, off, wanted) against sink(part, off, sink): rows, missing, duplicated and differing ones by partition."""
+    found = sink.groupBy("part", "off").agg(F.count("*").alias("times"), F.min("sink").alias("low"), F.max("sink").alias("high"))
+    rows = log.join(found, ["part", "off"], "left")
+    differs = F.col("times").isNotNull() & ~(F.col("low").eqNullSafe(F.col("wanted")) & F.col("high").eqNullSafe(F.col("wanted")))
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("times") > 1).alias("duplicated"), F.count_if(differs).alias("mismatches"))

@@ -54,9 +54,27 @@ def group_poll(log: DataFrame, assigned: DataFrame, positions: DataFrame, most:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("off"))).where(F.col("r") <= most).select("member", "part", "off")
 
 
-def offset_expiry(commits: DataFrame, cutoff) -> DataFrame:
-    """Groups whose newest commit is older than the cutoff."""
-    return commits.groupBy("grp").agg(F.max("ts").alias("newest")).where(F.col("newest") < cutoff)
+def offset_expiry(commits: DataFrame, members: DataFrame, cutoff) -> DataFrame:
+    """Groups without a member whose newest commit is not later than the cutoff: commits(grp, ts), members(grp, member)."""
+    idle = commits.join(members.select("grp").distinct(), "grp", "left_anti")
+    return idle.groupBy("grp").agg(F.max("ts").alias("newest")).where(F.col("newest") <= cutoff)
+
+
+def group_summary(groups: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """groups(grp, generation), members(grp, member): state, members, generation and coordinator partition of each group."""
+    counted = groups.join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp", "left")
+    size = F.coalesce("members", F.lit(0).cast("long"))
+    state = F.when(size > 0, "Stable").otherwise("Empty").alias("state")
+    return counted.select("grp", state, size.alias("members"), "generation", F.pmod(java_string_hash("grp"), F.lit(n)).alias("part"))
+
+
+def describe_group(owners: DataFrame, committed: DataFrame, ends: DataFrame) -> DataFrame:
+    """Committed offset, end, lag and owner of each partition: owners(grp, part, member), committed(grp, part, committed).
+
+    An end that is not known here is -1, and so is its lag; a partition without an owner has the empty one.
+    """
+    rows = consumer_lag(committed, ends).join(owners, ["grp", "part"], "left")
+    return rows.select("grp", "part", "committed", "hwm", "lag", F.coalesce("member", F.lit("")).alias("owner"))
 
 
 def java_string_hash(text: str):
@@ -70,3 +88,10 @@ def coordinator_route(groups: DataFrame, leaders: DataFrame, n: int) -> DataFram
     """Coordinator partition of each group and its leader; -1 without one."""
     at = groups.withColumn("part", F.pmod(java_string_hash("grp"), F.lit(n)))
     return at.join(leaders, "part", "left").select("grp", "part", F.coalesce("leader", F.lit(-1).cast("long")).alias("leader"))
+
+
+def session_eviction(signs: DataFrame, now: DataFrame, timeout: int) -> DataFrame:
+    """signs(grp, member, at), now(now): members evicted because the next sign, or now, came too late: (grp, member, at)."""
+    following = F.lead("at").over(Window.partitionBy("grp", "member").orderBy("at"))
+    rows = signs.withColumn("_next", following).join(F.broadcast(now))  # one row
+    return rows.where(F.coalesce("_next", "now") - F.col("at") > timeout).select("grp", "member", "at")

@@ -47,17 +47,27 @@ def epoch_lineage(log: DataFrame) -> DataFrame:
     return log.withColumn("_before", before).where("_before is null or leader_epoch > _before").select("part", F.col("leader_epoch").alias("epoch"), F.col("off").alias("start_off"))
 
 
-def laggards(replicas: DataFrame, ends: DataFrame, most: int) -> DataFrame:
-    return replicas.join(ends.withColumnRenamed("leo", "end"), "part").where(F.col("leo").isNull() | (F.col("end") - F.col("leo") > most)).select("part", "broker")
+def laggards(followers: DataFrame, now: int, timeout: int) -> DataFrame:
+    """Followers whose last fetch is older than the timeout, or that never fetched: followers(part, broker, last_fetch, ...)."""
+    return followers.where(F.col("last_fetch").isNull() | (F.col("last_fetch") < now - timeout))
 
 
-def isr_shrink_expand(replicas: DataFrame, stale: int) -> DataFrame:
-    """In-sync lists after dropping stale followers and taking back caught-up ones; the leader stays."""
-    leader = replicas.where("is_leader").select("part", F.col("leo").alias("end"))
-    hwm = high_watermark(replicas)
-    rows = replicas.join(leader, "part").join(hwm, "part")
-    stays = F.col("is_leader") | (F.col("in_isr") & (F.col("end") - F.col("leo") <= stale)) | (~F.col("in_isr") & (F.col("leo") >= F.col("hwm")))
-    return rows.where(stays).groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("broker")), lambda b: b.cast("string")), ",").alias("isr"))
+def isr_shrink_expand(replicas: DataFrame, now: int, timeout: int) -> DataFrame:
+    """New in-sync lists of the partitions whose list changes.
+
+    replicas(part, broker, is_leader, in_isr, leo, last_fetch, first_seen): an in-sync follower goes when its last fetch is
+    older than the timeout, one that never fetched only once the timeout has passed since it was first seen missing; a
+    replica outside that fetched and has reached the high watermark comes in behind the others.  The leader stays.
+    """
+    stale = F.col("last_fetch") < now - timeout
+    missing = F.col("last_fetch").isNull() & (now - F.coalesce("first_seen", F.lit(now)) >= timeout)
+    goes = F.col("in_isr") & ~F.col("is_leader") & F.coalesce(stale | missing, F.lit(False))
+    rows = replicas.join(high_watermark(replicas.withColumn("leo", F.when(F.col("is_leader") | F.col("last_fetch").isNotNull(), F.col("leo")))), "part")
+    comes = ~F.col("in_isr") & ~F.col("is_leader") & F.col("last_fetch").isNotNull() & (F.col("leo") >= F.col("hwm"))
+    marked = rows.withColumns({"goes": goes, "comes": F.coalesce(comes, F.lit(False))})
+    stays = F.when((F.col("in_isr") & ~F.col("goes")) | F.col("comes"), F.struct("comes", "broker"))
+    lists = marked.groupBy("part").agg(F.array_sort(F.collect_list(stays)).alias("isr"), F.bool_or(F.col("goes") | F.col("comes")).alias("changes"))
+    return lists.where("changes").select("part", F.array_join(F.transform("isr", lambda b: b["broker"].cast("string")), ",").alias("isr"))
 
 
 def pick_new_leader(partitions: DataFrame, dead: int) -> DataFrame:
@@ -105,7 +115,22 @@ def partition_state_merge(states: DataFrame) -> DataFrame:
 
 
 def place_replicas(brokers: DataFrame, rf: int) -> DataFrame:
-    """Rack round robin: least loaded of each rack in turn."""
-    inside = F.row_number().over(Window.partitionBy("rack").orderBy("load", "broker"))
-    order = F.row_number().over(Window.orderBy("turn", "rack"))
-    return brokers.withColumn("turn", inside).withColumn("place", order).where(F.col("place") <= rf).select("place", "broker", "rack")
+    """``rf`` of the candidates brokers(broker, rack, load, seat), as (place, broker, rack).
+
+    The first by seat is the anchor.  The others queue in their racks by load and broker, and racks take turns from the one
+    behind the anchor's on, a missing or empty rack label last.  With fewer than two named racks the first ``rf`` by seat.
+    Candidates are brokers, as many as the cluster has: windows over all of them are small.
+    """
+    everyone, named = Window.orderBy("seat"), F.nullif(F.col("rack"), F.lit(""))
+    rows = brokers.withColumns({"rack": F.coalesce("rack", F.lit("")), "turn0": F.row_number().over(everyone), "racks": F.size(F.collect_set(named).over(Window.partitionBy()))})
+    rows = rows.withColumn("anchor", F.max(F.when(F.col("turn0") == 1, F.col("rack"))).over(Window.partitionBy()))
+    others = rows.where("turn0 > 1")
+    order = others.select("rack").distinct().withColumn("i", F.row_number().over(Window.orderBy(F.col("rack") == "", "rack")) - 1)
+    order = order.withColumn("m", F.count("*").over(Window.partitionBy()))
+    start = F.coalesce(F.max(F.when(F.col("rack") == F.col("anchor"), F.col("i"))).over(Window.partitionBy()), F.lit(-1)) + 1
+    queued = others.join(order, "rack").withColumns({"q": F.row_number().over(Window.partitionBy("rack").orderBy("load", "broker")), "start": start})
+    queued = queued.withColumn("place", F.row_number().over(Window.orderBy("q", F.pmod(F.col("i") - F.col("start"), F.col("m")))) + 1)
+    placed = rows.where("turn0 = 1").select(F.lit(1).alias("place"), "broker", "rack").unionByName(
+        queued.select(F.when(F.col("racks") < 2, F.col("turn0")).otherwise(F.col("place")).alias("place"), "broker", "rack")
+    )
+    return placed.where(F.col("place") <= rf)

@@ -21,10 +21,50 @@ def acl_authorize(decisions: DataFrame, super_users: list[str], enabled: bool =
     return decisions.withColumn("authorized", passed)
 
 
-def effective_config(topics: DataFrame, key: str, default: int, low: int, high: int) -> DataFrame:
-    """A topic's trimmed integer override, else the cluster default clamped to its range."""
-    own = F.expr(f"try_cast(trim(config['{key}']) as bigint)")
-    return topics.withColumn("value", F.coalesce(own, F.greatest(F.lit(low), F.least(F.lit(high), F.lit(default))).cast("long")))
+# fixed values of the topic configuration: key -> (least, most, whether -1 switches it off); least and most of integers
+MIN_ISR, MESSAGE, SEGMENT = "min.insync.replicas", "max.message.bytes", "segment.bytes"
+MOST_MESSAGE, LEAST_SEGMENT, MOST_SEGMENT = 8 << 20, 1024, 1 << 30
+OFF_OR_POSITIVE = ("retention.ms", "retention.bytes", "flush.messages", "flush.ms")
+CONFIG_KEYS = (MIN_ISR, MESSAGE, *OFF_OR_POSITIVE, SEGMENT)
+
+
+def _parsed(raw, key: str):
+    """The trimmed value as an integer of the key's width, else null."""
+    digits = F.regexp_extract(F.regexp_replace(raw, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"^[+-]?[0-9]+$", 0)
+    return F.when(digits != "", digits.try_cast("int" if key in (MIN_ISR, MESSAGE) else "long").cast("long"))
+
+
+def effective_config(topics: DataFrame, key: str, default: int) -> DataFrame:
+    """topics(config, rf, ...) with ``value``, what the topic goes by: its own integer, else the cluster's default.
+
+    The least number of in-sync replicas and the message size are at least 1, the former's default at most the replication
+    factor; segments are never under their floor; retention and flush limits stand as they are.
+    """
+    own, value = _parsed(F.col("config")[key], key), F.lit(default).cast("long")
+    if key == MIN_ISR:
+        value = F.coalesce(F.greatest(own, F.when(own.isNotNull(), 1)), F.greatest(F.lit(1), F.least(value, F.col("rf"))))
+    elif key == MESSAGE:
+        value = F.coalesce(F.greatest(own, F.when(own.isNotNull(), 1)), value)
+    elif key == SEGMENT:
+        value = F.greatest(F.lit(LEAST_SEGMENT), F.coalesce(own, value))
+    else:
+        value = F.coalesce(own, value)
+    return topics.withColumn("value", value.cast("long"))
+
+
+def validate_config(settings: DataFrame) -> DataFrame:
+    """settings(key, raw, rf, ...) with ``verdict``: ok, not_integer, too_small, too_large; unknown keys and null are ok."""
+    verdict = F.lit("ok")
+    for key in CONFIG_KEYS:
+        value = _parsed(F.col("raw"), key)
+        if key in OFF_OR_POSITIVE:
+            small, large = (value != -1) & (value < 1), F.lit(False)
+        else:
+            small = value < (LEAST_SEGMENT if key == SEGMENT else 1)
+            large = value > (F.col("rf") if key == MIN_ISR else MOST_MESSAGE if key == MESSAGE else MOST_SEGMENT)
+        own = F.when(value.isNull(), "not_integer").when(small, "too_small").when(large, "too_large").otherwise("ok")
+        verdict = F.when((F.col("key") == key) & F.col("raw").isNotNull(), own).otherwise(verdict)
+    return settings.withColumn("verdict", verdict)
 
 
 def duration_seconds(text):

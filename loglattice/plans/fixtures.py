@@ -59,6 +59,31 @@ VIEWS = {
          cast(coalesce(event_id, 0) % 5 as bigint) as part, off * 10 as committed, cast(0 as bigint) as epoch
        from v_tlog where pid > 0""",
     "v_masks": """select event_id as member, user_id * 7 % 256 as current_bits, user_id * 37 % 256 as target_bits from events""",
+    "v_follow": """select part, broker, is_leader, in_isr, case when part = 1 and broker = 3 then leo + 1000 else leo end as leo,
+         case when (part = 0 and broker = 2) or (part = 3 and broker = 2) or (part = 3 and broker = 3) then cast(null as bigint)
+              else 100000 - broker * part * 2500 end as last_fetch,
+         case when part = 0 then cast(95000 as bigint) when part = 3 then cast(80000 as bigint) else cast(null as bigint) end as first_seen
+       from v_replica""",
+    "v_broker": """select broker, case broker % 4 when 0 then '' else concat('r', cast(broker % 4 as varchar(9))) end as rack, load,
+         cast(row_number() over (order by broker * 5 % 9) as bigint) as seat
+       from (select user_id % 9 + 1 as broker, count(*) as load from events group by user_id % 9 + 1) b""",
+    "v_txnstate": """select concat('x', cast(part as varchar(9)), '-', cast(pid as varchar(9))) as txn_id, pid, max(txn_no) as epoch,
+         case (part + pid) % 4 when 0 then 'ONGOING' when 1 then 'PREPARE_COMMIT' when 2 then 'PREPARE_ABORT' else 'COMPLETE_COMMIT' end as state
+       from v_txn group by part, pid""",
+    "v_txnpart": """select s.txn_id, 't' as topic, p.part from v_txnstate s join (select distinct part from v_log) p on p.part <= s.pid % 4""",
+    "v_session": """select concat('g', cast(user_id % 7 as varchar(9))) as grp, concat('m', cast(user_id % 4 as varchar(9))) as member, event_id,
+         case when user_id % 7 = 3 or event_id % 11 = 0 then 'leave' when event_id % 5 = 1 then 'join' else 'heartbeat' end as event from events""",
+    "v_member": """select grp, member from (select grp, member, max_by(event, event_id) as last_event from v_session group by grp, member) s
+       where last_event <> 'leave'""",
+    "v_group": """select grp, cast(sum(case when event <> 'heartbeat' then 1 else 0 end) as bigint) as generation from v_session group by grp""",
+    "v_setting": """select event_id, case event_id % 8 when 0 then 'min.insync.replicas' when 1 then 'max.message.bytes' when 2 then 'retention.ms'
+           when 3 then 'retention.bytes' when 4 then 'flush.messages' when 5 then 'flush.ms' when 6 then 'segment.bytes' else 'other' end as name,
+         case cast(floor(event_id / 8.0) as bigint) % 9 when 0 then 'abc' when 1 then '-1' when 2 then '0' when 3 then ' 5 ' when 4 then '99999999999'
+           when 5 then '+7' when 6 then cast(event_id * 100000 as varchar(20)) when 7 then cast(null as varchar(20)) else cast(event_id as varchar(20)) end as raw,
+         cast(event_id % 3 + 1 as bigint) as rf from events""",
+    "v_request_batch": """select event_id, user_id % 5 as user_no, user_id % 6 as part, length(props) * 100 as size, event_id % 3 - 1 as acks,
+         user_id % 6 < 4 and user_id % 11 <> 0 as leads, case when user_id % 6 = 3 then 1 else 2 end as isr,
+         event_id % 31 = 0 as corrupt, event_id % 37 = 0 as control from events""",
     "v_sample": """select cast(user_id % 3 + 1 as bigint) as broker, event_id as seq, ts,
          case when event_type in ('click', 'view') then 'FETCH' else 'PRODUCE' end as op,
          cast(floor(value * 1000) as bigint) as latency_us, cast(length(props) as bigint) as bytes from events""",
@@ -80,10 +105,10 @@ def needed(sql: str) -> list[str]:
 def oracle(sql: str) -> str:
     """The SQL with the views it uses in front."""
     views = [f"{v} as ({VIEWS[v]})" for v in needed(sql)]
-    inner = re.sub(r"^\s*with\b", "", sql, flags=re.I)
+    inner = re.sub(r"^\s*with(\s+recursive)?\b", "", sql, flags=re.I)
     if not views:
         return sql
-    return "with " + ",\n".join(views) + (", " if inner != sql else "\n") + inner
+    return ("with recursive " if re.match(r"\s*with\s+recursive", sql, re.I) else "with ") + ",\n".join(views) + (", " if inner != sql else "\n") + inner
 
 
 class Frames:

@@ -37,7 +37,7 @@ def test_a_share_moves_in_two_steps():
 
 def test_staged_offsets_follow_epochs(spark):
     steps = [(0, "stage", "g", 0, 5, 1), (1, "stage", "g", 1, 6, 1), (2, "stage", "g", 0, 4, 0), (3, "commit", None, None, None, 0), (4, "commit", None, None, None, 1), (5, "stage", "g", 0, 9, 0), (6, "stage", "g", 0, 8, 2), (7, "stage", "g", 1, 7, 3), (8, "commit", None, None, None, 3), (9, "stage", "g", 0, 1, 3), (10, "abort", None, None, None, 3)]
-    assert coordinator.staging_steps(steps) == [("g", 0, 5, 4), ("g", 1, 6, 4), ("g", 1, 7, 8)]
+    assert list(coordinator.staging_steps(steps)) == [("g", 0, 5, 4), ("g", 1, 6, 4), ("g", 1, 7, 8)]
     table = spark.createDataFrame([(0, 1, *s) for s in steps] + [(0, 2, 20, "stage", "g", 0, 33, 0), (0, 2, 21, "commit", None, None, None, 0)], "coordinator long, pid long, log_pos long, event string, grp string, part long, committed long, epoch long")
     assert rows(coordinator.committed_offsets_txn(table), "grp", "part", "committed") == [("g", 0, 33), ("g", 1, 7)]
     assert rows(coordinator.committed_offsets_txn(table.limit(0)), "grp") == []
@@ -45,10 +45,10 @@ def test_staged_offsets_follow_epochs(spark):
 
 def test_folds_of_markers_grants_and_raw_appends():
     events = [("data", 1, 0, 0, 0), ("commit", 1, 0, 5, 1), ("commit", 1, 0, 5, 2), ("commit", 1, 0, 4, 3), ("data", 2, 0, 0, 4), ("commit", 1, 0, 5, 5)]
-    assert coordinator.marker_steps(events) == [(0, "appended", 0), (1, "appended", 1), (2, "repeated", 1), (3, "refused", -1), (4, "appended", 2), (5, "appended", 3)]
-    assert coordinator.grant_steps([(0, 5), (500, 3), (500, 9), (9000, 99)], 10.0, 10.0) == [0, 3, 2, 10]
-    assert coordinator.grant_steps([(0, 5)], 0, 0) == [5]
-    assert coordinator.raw_append_steps([(0, 4), (3, 9), (7, 8), (8, 9), (9, 9)]) == ["append", "rejected", "append", "rejected", "append"]
+    assert list(coordinator.marker_steps(events)) == [(0, "appended", 0), (1, "appended", 1), (2, "repeated", 1), (3, "refused", -1), (4, "appended", 2), (5, "appended", 3)]
+    assert list(coordinator.grant_steps([(0, 5), (500, 3), (500, 9), (9000, 99)], 10.0, 10.0)) == [0, 3, 2, 10]
+    assert list(coordinator.grant_steps([(0, 5)], 0, 0)) == [5]
+    assert list(coordinator.raw_append_steps([(0, 4), (3, 9), (7, 8), (8, 9), (9, 9)])) == ["append", "rejected", "append", "rejected", "append"]
     assert stateful.greedy_moves([(0, 1), (0, 2)], {1: 1, 2: 1, 3: 0, 4: 5}, 1, {1: "a", 2: "b", 3: "b", 4: "c"}) == {0: 4}
 
 

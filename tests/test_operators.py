@@ -52,12 +52,12 @@ def test_acl(spark):
 
 
 def test_folds():
-    assert stateful.dedup_steps([(5, 2), (7, 1), (7, 1), (9, 1), (8, 1)]) == ["append", "append", "cached", "out_of_order", "append"]
-    assert stateful.seal_steps([(0, 5), (1, 6), (2, 1), (60, 1)], 10, 50) == [0, 0, 1, 2]
-    assert stateful.roll_steps([5, 6, 1], 10) == [0, 0, 1]
-    assert stateful.bucket_steps([(0, 10), (0, 1), (100, 1)], 10.0) == [0, 100, 0]
+    assert list(stateful.dedup_steps([(5, 2), (7, 1), (7, 1), (9, 1), (8, 1)])) == ["append", "append", "cached", "out_of_order", "append"]
+    assert list(stateful.seal_steps([(0, 5), (1, 6), (2, 1), (60, 1)], 10, 50)) == [0, 0, 1, 2]
+    assert list(stateful.roll_steps([5, 6, 1], 10)) == [0, 0, 1]
+    assert list(stateful.bucket_steps([(0, 10), (0, 1), (100, 1)], 10.0)) == [0, 100, 0]
     assert [o for _, o in stateful.txn_steps([("add", 0), ("commit", 0), ("commit", 0), ("abort", 0), ("markers", 0), ("add", 1), ("add", 0)])] == ["ok", "ok", "retry", "invalid", "ok", "ok", "fenced"]
-    assert stateful.cas_steps([(0, 1, 0), (0, 2, 0), (1, 2, 0)]) == [True, False, True]
+    assert list(stateful.cas_steps([(0, 1, 0), (0, 2, 0), (1, 2, 0)])) == [True, False, True]
     assert stateful.greedy_moves([(0, 1), (0, 2), (1, 1), (1, 3)], {1: 2, 2: 1, 3: 1, 4: 0}, 1) == {0: 4, 1: 2}
 
 
