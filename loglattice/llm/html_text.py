@@ -1,15 +1,21 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of the paragraphs in them, without links and boilerplate.  Every page
-votes for its containers under a generalised path of tags and classes; Spark adds the votes up per host, takes the path
-with the most, and climbs from it to the lowest container, up to main or body, that holds all paragraph text there.  Pages are then read again and the text of what stands under their host's winning path is taken; a
-page where nothing does falls back to its own best container, then to its body.
+votes for its containers under a generalised path of block tags and classes; Spark adds the votes up per host, takes the
+path with the most, and climbs from it to the lowest container, up to main or body, that holds all paragraph text there.
+Pages are then read again and the text of what stands under their host's winning path is taken; a page where nothing
+does falls back to its own best container, then to its body.
+
+A path is known by a chained 64-bit hash of its labels, so a page is read in time and memory linear in its length,
+however deep or broken its markup.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +23,9 @@ from pyspark.sql import functions as F
 
 from loglattice.llm._store import stored
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
@@ -30,21 +38,38 @@ _NOISE = re.compile(
 )
 _WHITE = re.compile(r"\s+")
 _UNNAMED = frozenset("html body article main".split())  # never noise by their names
-_MAIN = re.compile(r">main(?=[.>]|\Z)")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _DIGITS = re.compile(r"\d+")
 
 
-class _Node:
-    __slots__ = ("boring", "link", "path", "score", "tag")
+class _Container:
+    """An open block element: its path's key, the key of its main or topmost element, and what it holds so far."""
+
+    __slots__ = ("depth", "held", "key", "label", "scope", "score", "tag")
+
+    def __init__(self, tag: str, label: str, above: _Container | None):
+        self.tag, self.label, self.score, self.held = tag, label, 0.0, 0
+        self.depth = above.depth + 1 if above else 0
+        self.key = _key(above.key, label) if above else 0
+        top = above is None or above.depth == 0 or (above.depth == 1 and above.tag == "html")
+        self.scope = self.key if top or tag == "main" else above.scope
+
 
-    def __init__(self, tag: str, path: str, boring: bool, link: bool):
-        self.tag, self.path, self.boring, self.link, self.score = tag, path, boring, link, 0.0
+_keys: dict[tuple[int, str], int] = {}
+
+
+def _key(above: int, label: str) -> int:
+    known = _keys.get((above, label))
+    if known is None:
+        if len(_keys) > 100_000:
+            _keys.clear()
+        known = int.from_bytes(hashlib.blake2b(f"{above}>{label}".encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
+        _keys[above, label] = known
+    return known
 
 
 def _attributes(raw: str) -> tuple[str, str]:
     """Generalised classes, and everything that names the element."""
-    if "=" not in raw:
-        return "", ""
     classes, names = "", []
     for m in _CLASS.finditer(raw):
         value = html.unescape(m[2] or m[3] or m[4] or "")
@@ -54,40 +79,84 @@ def _attributes(raw: str) -> tuple[str, str]:
     return classes, " ".join(names)
 
 
-def _events(page: str):
-    """('text', text) | ('open', tag, attributes) | ('close', tag), raw elements' content left out."""
-    at = 0
+def _tag_end(page: str, at: int) -> int:
+    """Place behind the tag's ``>``, quoted values passed over; a quote that does not close a value ends at the next ``>``."""
     while True:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            if at < len(page):
-                yield "text", page[at:], ""
-            return
-        if m.start() > at:
-            yield "text", page[at : m.start()], ""
-        at = m.end()
-        if m[2] is None:
+        stop = _STOP.search(page, at)
+        if stop is None:
+            return -1
+        at, sign = stop.end(), stop[0]
+        if sign == ">":
+            return at
+        before = at - 2
+        while before >= 0 and page[before].isspace():
+            before -= 1
+        if page[before] != "=":
             continue
-        tag = m[2].lower()
-        if m[1]:
-            yield "close", tag, ""
-            continue
-        yield "open", tag, m[3]
-        if tag in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end is None and tag in ("script", "style", "textarea", "title"):
-                return
-            if end is not None:
-                at = end.start()
+        close = page.find(sign, at)
+        if close < 0 or not (close + 1 == len(page) or page[close + 1] in "/>" or page[close + 1].isspace()):
+            return page.find(">", at) + 1 or -1
+        at = close + 1
 
 
-def _spared(events: list) -> set[int]:
+def _events(page: str):
+    """('text', text, '') | ('open', tag, attributes) | ('close', tag, ''), raw elements' content left out.
+
+    A tag, comment or declaration that the page's end cuts off ends the page.
+    """
+    start = at = 0  # of the text not yet given, and of the search
+    endless: set[str] = set()  # raw elements that nothing behind closes
+    while True:
+        at = page.find("<", at)
+        tag = _TAG.match(page, at) if at >= 0 else None
+        if at >= 0 and tag is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1  # a less-than sign of the text
+            continue
+        stop = len(page) if at < 0 else at
+        if stop > start:
+            yield "text", page[start:stop], ""
+        if at < 0:
+            return
+        if tag is None:
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            if end < 3:
+                return
+        else:
+            end = _tag_end(page, tag.end())
+            if end < 0:
+                return
+            name, raw = tag[2].lower(), page[tag.end() : end - 1]
+            if tag[1]:
+                yield "close", name, ""
+            else:
+                yield "open", name, raw
+                if name in _RAW and not _closed(raw) and name not in endless:
+                    found = _ENDS[name].search(page, end)
+                    if found is not None:
+                        end = found.start()
+                    elif name in ("script", "style", "textarea", "title"):
+                        return
+                    else:
+                        endless.add(name)
+        start = at = end
+
+
+def _closed(raw: str) -> bool:
+    """Whether the tag closes itself; the slash of ``class=x/`` belongs to the value."""
+    return raw.endswith("/") and not _UNQUOTED.search(raw[-2000:])
+
+
+def _spared(events: list, named: dict[int, tuple[str, str]]) -> set[int]:
     """Openings (by place) of elements with a noise name that hold most of the text, or the page's only article or main."""
     stack, done, total, outside = [["", -1, 0, False, False]], [], 0, False  # tag, place if named as noise, characters, main within, dropped
+    opened, names_open = Counter(), 0
 
     def pop() -> None:
+        nonlocal names_open
         tag, at, size, main, dropped = stack.pop()
+        opened[tag] -= 1
         if at >= 0:
+            names_open -= 1
             done.append((at, size, main))
         if not dropped or stack[-1][4]:
             stack[-1][2] += size
@@ -100,15 +169,17 @@ def _spared(events: list) -> set[int]:
                 top[2] += len(value)
                 total += len(value)
         elif kind == "open":
-            if value in _VOID or raw.endswith("/"):
+            if value in _VOID or _closed(raw):
                 continue
-            names = _attributes(raw)[1]
-            named = names and value not in _UNNAMED and _NOISE.search(names)
+            names = named[at][1] if at in named else ""
+            noise = names and value not in _UNNAMED and _NOISE.search(names)
             if value in ("article", "main") and not top[4]:
                 top[3] = True
-                outside |= all(n[1] < 0 for n in stack)
-            stack.append([value, at if named else -1, 0, False, top[4] or value in _DROPPED])
-        elif any(n[0] == value for n in stack[1:]):
+                outside |= not names_open
+            stack.append([value, at if noise else -1, 0, False, top[4] or value in _DROPPED])
+            opened[value] += 1
+            names_open += bool(noise)
+        elif opened[value]:
             while stack[-1][0] != value:
                 pop()
             pop()
@@ -117,12 +188,13 @@ def _spared(events: list) -> set[int]:
     return {at for at, size, main in done if 2 * size > total or (main and not outside)}
 
 
-def _walk(page: str, wanted: str | None, by_name: bool = True):
-    """Scores of containers by path and the text they hold with all below, or with ``wanted`` the blocks under that path."""
-    root = _Node("", "", False, False)
-    stack, inside, parts = [root], 0, []
-    scores: dict[str, float] = {}
-    held: dict[str, int] = {}
+def _walk(page: str, wanted: int | None, by_name: bool = True):
+    """What the page's containers score and hold, by path; or with ``wanted`` the blocks under that path (0: all)."""
+    chain = [_Container("", "", None)]  # open block elements
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # all open elements: tag, boring, in a link
+    opened: Counter = Counter()
+    inside, parts = int(wanted == 0), []
+    found: dict[int, list] = {}  # score, held, scope, depth, label
     blocks: list[str] = []
 
     def end_block() -> None:
@@ -134,102 +206,103 @@ def _walk(page: str, wanted: str | None, by_name: bool = True):
 
     def pop() -> None:
         nonlocal inside
-        node = stack.pop()
-        if wanted is None:
-            if node.score > 0:
-                scores[node.path] = scores.get(node.path, 0.0) + node.score
-        elif node.path == wanted:
-            end_block()
-            inside -= 1
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        if tag not in _BLOCK:
+            return
+        node = chain.pop()
+        if wanted is not None:
+            if node.key == wanted:
+                end_block()
+                inside -= 1
+        elif node.held or node.score:
+            own = found.setdefault(node.key, [0.0, 0, node.scope, node.depth, node.label])
+            own[0] += node.score
+            own[1] += node.held
+            chain[-1].held += node.held
 
     events = list(_events(page))
-    spared = _spared(events) if by_name and _NOISE.search(" ".join(_attributes(raw)[1] for kind, _, raw in events if kind == "open" and "=" in raw)) else set()
+    named = {at: _attributes(raw) for at, (kind, _, raw) in enumerate(events) if kind == "open" and "=" in raw}
+    spared = _spared(events, named) if by_name and any(_NOISE.search(names) for _, names in named.values()) else set()
     for at, (kind, value, raw) in enumerate(events):
-        top = stack[-1]
+        _, boring, link = stack[-1]
         if kind == "text":
-            if top.boring:
+            if boring:
                 continue
             if wanted is not None:
                 if inside:
                     parts.append(value)
-            elif not top.link and not value.isspace():
-                size = len(value)
-                for path in {n.path for n in stack[1:]}:
-                    held[path] = held.get(path, 0) + size
-                depth, share = len(stack) - 1, 1.0
-                while depth > 0 and stack[depth].tag not in _BLOCK:
-                    depth -= 1
-                if stack[depth].tag in _PARAGRAPH:
-                    depth -= 1
+            elif not link and not value.isspace():
+                size, share = len(value), 1.0
+                chain[-1].held += size
+                depth = len(chain) - 1 - (chain[-1].tag in _PARAGRAPH)
                 while depth > 0 and share > 0.2:  # the container of the paragraph, and half as much the one around it
-                    stack[depth].score += size * share
+                    chain[depth].score += size * share
                     share /= 2
                     depth -= 1
         elif kind == "open":
             tag = value
             if tag == "br":
-                if wanted is not None and inside and not top.boring:
+                if inside and not boring:
                     parts.append(" ")
                 continue
             if tag in _BLOCK:
-                if any(n.tag == "p" for n in stack[-4:]):  # a paragraph ends where a block begins
-                    while stack[-1].tag != "p":
+                if any(n[0] == "p" for n in stack[-4:]):  # a paragraph ends where a block begins
+                    while stack[-1][0] != "p":
                         pop()
                     pop()
-                elif tag in ("li", "td", "th", "tr", "dd", "dt") and stack[-1].tag == tag:
+                elif tag in ("li", "td", "th", "tr", "dd", "dt") and stack[-1][0] == tag:
                     pop()
-                if wanted is not None and inside:
+                if inside:
                     end_block()
-                top = stack[-1]
-            if tag in _VOID or raw.endswith("/"):
+                _, boring, link = stack[-1]
+            if tag in _VOID or _closed(raw):
                 continue
-            classes, names = _attributes(raw)
-            boring = top.boring or tag in _DROPPED or bool(by_name and names and tag not in _UNNAMED and at not in spared and _NOISE.search(names))
-            node = _Node(tag, f"{top.path}>{tag}{'.' + classes if classes else ''}", boring, top.link or tag == "a")
-            stack.append(node)
-            if wanted is not None and node.path == wanted:
-                inside += 1
+            classes, names = named.get(at, ("", ""))
+            boring = boring or tag in _DROPPED or bool(by_name and names and tag not in _UNNAMED and at not in spared and _NOISE.search(names))
+            stack.append((tag, boring, link or tag == "a"))
+            opened[tag] += 1
+            if tag in _BLOCK:
+                chain.append(_Container(tag, f"{tag}{'.' + classes if classes else ''}", chain[-1]))
+                if wanted is not None and chain[-1].key == wanted:
+                    inside += 1
         else:
-            if wanted is not None and inside and value in _BLOCK and not top.boring:
+            if inside and value in _BLOCK and not boring:
                 end_block()
-            if any(n.tag == value for n in stack[1:]):
-                while stack[-1].tag != value:
+            if opened[value]:
+                while stack[-1][0] != value:
                     pop()
                 pop()
     while len(stack) > 1:
         pop()
-    return (scores, held) if wanted is None else blocks
+    end_block()
+    return found if wanted is None else blocks
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Generalised path -> score of the page's containers."""
-    return _walk(page, None)[0]
-
-
-def text_under(page: str, path: str) -> str | None:
+def text_under(page: str, path: int) -> str | None:
     """Blocks under the path, one a line; None if the page has no text there."""
     blocks = _walk(page, path)
     return "\n".join(blocks) if blocks else None
 
 
-def climbed(path: str, held: dict[str, int]) -> str:
-    """The lowest of the path and its ancestors, up to main or body, that holds all the text there."""
-    above = [p for p in held if (p == path or path.startswith(f"{p}>")) and p != ">html" and not _MAIN.search(path[len(p) :])]
-    return max(above, key=lambda p: (held[p], len(p)), default=path)
+def climbed(path: int, found: dict[int, list]) -> int:
+    """The lowest container, up to main or body and not below the path, that holds all the text there."""
+    _, _, scope, deepest, _ = found[path]
+    return max((p for p, (_, _, own, depth, _) in found.items() if own == scope and depth <= deepest), key=lambda p: (found[p][1], found[p][3], p))
 
 
-def main_text(page: str, path: str | None) -> str:
-    if path:
+def main_text(page: str, path: int | None) -> str:
+    if path is not None:
         text = text_under(page, path)
         if text is not None:
             return text
-    scores, held = _walk(page, None)
-    for own in sorted(scores, key=lambda p: (-scores[p], p))[:1]:
-        text = text_under(page, climbed(own, held))
+    found = _walk(page, None)
+    best = max((p for p in found if found[p][0] > 0), key=lambda p: (found[p][0], p), default=None)
+    if best is not None:
+        text = text_under(page, climbed(best, found))
         if text is not None:
             return text
-    loose = f"<loose>{page}</loose>"
-    return "\n".join(_walk(loose, ">loose") or _walk(loose, ">loose", by_name=False))
+    return "\n".join(_walk(page, 0) or _walk(page, 0, by_name=False))
 
 
 def _host(url) -> F.Column:
@@ -237,41 +310,50 @@ def _host(url) -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's path with the most votes, climbed; a page's votes are its containers' shares of its score."""
+    """(host, path, label): the key and last label of each host's path with the most votes, climbed; a page's votes are its
+    containers' shares of its score."""
 
     def votes(batches):
+        def rows(total):
+            columns = list(zip(*((host, path, round(v[0] * 1000), *v[1:]) for (host, path), v in total.items()), strict=True)) or [[]] * 7
+            kinds = (pa.string(), *(pa.int64(),) * 5, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "votes", "held", "scope", "depth", "label"])
+
         for batch in batches:
-            total: dict[tuple[str, str], list[float]] = {}
+            total: dict[tuple[str, int], list] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                scores, held = _walk(page, None) if page else ({}, {})
-                whole = sum(scores.values())
-                for path in held.keys() | scores.keys():
-                    sums = total.setdefault((host, path), [0.0, 0])
-                    sums[0] += scores.get(path, 0.0) / whole if whole else 0.0
-                    sums[1] += held.get(path, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total]), pa.array([p for _, p in total]), pa.array([round(v * 1000) for v, _ in total.values()], pa.int64()), pa.array([n for _, n in total.values()], pa.int64())], ["host", "path", "votes", "held"])
-
-    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, votes long, held long")
-    sums = stored(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("held").alias("held")), "votes")
-    best = sums.where("votes > 0").groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("best"))
-    above = sums.join(best, "host").where((F.col("path") == F.col("best")) | F.expr("startswith(best, concat(path, '>'))")).where("path <> '>html' or best = '>html'")
-    above = above.where(~F.expr("substring(best, length(path) + 1)").rlike(r">main([.>]|$)"))
-    return above.groupBy("host").agg(F.max_by("path", F.struct("held", F.length("path"))).alias("path"))
+                found = _walk(page, None) if page else {}
+                whole = sum(v[0] for v in found.values())
+                for path, (score, held, scope, depth, label) in found.items():
+                    sums = total.setdefault((host, path), [0.0, 0, scope, depth, label])
+                    sums[0] += score / whole if whole else 0.0
+                    sums[1] += held
+                if len(total) > 100_000:
+                    yield rows(total)
+                    total = {}
+            yield rows(total)
+
+    kind = "host string, path long, votes long, held long, scope long, depth long, label string"
+    cast = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(votes, kind)
+    sums = stored(cast.groupBy("host", "path", "scope", "depth").agg(F.sum("votes").alias("votes"), F.sum("held").alias("held"), F.min("label").alias("label")), "votes")
+    best = sums.where("votes > 0").groupBy("host").agg(F.max_by(F.struct("scope", "depth"), F.struct("votes", "path")).alias("best"))
+    above = sums.join(best, "host").where("scope = best.scope and depth <= best.depth")
+    return above.groupBy("host").agg(F.max_by(F.struct("path", "label"), F.struct("held", "depth", "path")).alias("w")).select("host", "w.path", "w.label")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points), path (the host's winning path, climbed, null if none).
+    """One row per page: page_id, url, text, n_chars (code points), container (the last label of the host's winning path, null if none).
 
     pages(page_id, url, html, ...): a null or empty html, or one without text, gives an empty text; a null url or one
-    without a host votes with the others of the kind; pages of any length are read whole; repeated rows give a row each;
-    ties between paths go to the greater path; other columns are ignored; an empty table gives no rows.
+    without a host votes with the others of the kind; pages of any length and depth are read whole; repeated rows give a
+    row each; ties between paths go to the greater key; other columns are ignored; an empty table gives no rows.
     """
     paths = stored(winning_paths(pages), "paths")
-    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(paths, "host", "left").select("page_id", "url", "path", "html")
+    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(paths, "host", "left").select("page_id", "url", "path", "html", "label")
 
     def read(batches):
         for batch in batches:
             texts = [main_text(page, path) if page else "" for path, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64()), batch.column(2)], ["page_id", "url", "text", "n_chars", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(4)], ["page_id", "url", "text", "n_chars", "container"])
 
-    return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+    return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long, container string")
