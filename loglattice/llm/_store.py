@@ -87,12 +87,29 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, count: str, tota
     front = classes.where(hot).select(key, F.struct(*names).alias("_hot"))
     spread = F.when(F.col(key).isNotNull() & F.col("_hot").isNull(), F.col(key))
     own = rows.join(F.broadcast(front), key, "left").withColumn("_meet", spread)
-    own = own.withColumn("_deal", F.when(F.col("_meet").isNull(), F.xxhash64(*rows.columns, F.spark_partition_id())).otherwise(0))
-    back = classes.where(~hot).select(F.col(key).alias("_meet"), F.struct(*names).alias("_cold")).withColumn("_deal", F.lit(0).cast("long"))
+    alone = F.xxhash64(*rows.columns, F.spark_partition_id())
+    own = own.withColumn("_deal", F.when(F.col("_meet").isNull(), alone).otherwise(F.xxhash64("_meet")))
+    back = classes.where(~hot).select(F.col(key).alias("_meet"), F.xxhash64(key).alias("_deal"), F.struct(*names).alias("_cold"))
     met = own.join(back, ["_deal", "_meet"], "left")
     return met.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names))
 
 
+SIFT = 1 << 23  # bits of the filter below, 1 MiB whatever it holds
+
+
+def sifted(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their ``key`` in found, rows that cannot), by a broadcast filter of fixed size.
+
+    Rows that cannot need no shuffle to meet found; once the filter is full all may, and lose nothing but that.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(SIFT))
+    mark = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {SIFT}) % 64 as int))")
+    marks = found.select(F.shiftright(bit, 6).alias("_slot"), mark.alias("_mark")).groupBy("_slot").agg(F.bit_or("_mark").alias("_marks"))
+    with_marks = rows.withColumn("_slot", F.shiftright(bit, 6)).join(F.broadcast(marks), "_slot", "left")  # at most SIFT / 64 rows
+    may = F.expr(f"coalesce(getbit(_marks, cast(pmod(xxhash64(`{key}`), {SIFT}) % 64 as int)), 0) = 1")
+    return with_marks.where(may).select(*rows.columns), with_marks.where(~may).select(*rows.columns)
+
+
 def put(uri: str, data: bytes) -> None:
     """Write a file of the shared folder from a task: whole files only, and the same bytes from every attempt."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm._blobs import bucket_edges, pack_ints, pack_run, pack_table, unpack_ints, unpack_run, unpack_table
-from loglattice.llm._store import bucket_keys, stored, text_bytes
+from loglattice.llm._store import bucket_keys, sifted, stored, text_bytes
 from loglattice.llm._words import blocks, runs, word_hashes
 
 BLOCK_BYTES = 8 << 20
 _RUNS = "key long, share long, block string, run binary, wide boolean, docs binary, own binary"
-SIFT = 1 << 23  # bits of the filter that spares unchanged documents the last join
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -193,13 +192,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, with_text: bool = False) ->
     """
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     judged = stored(removal_intervals(docs.where("doc_id is not null and text is not null"), width), "intervals")
-    # a filter of fixed size says which documents may have intervals; only those go through the join
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT))
-    sift = judged.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SIFT}) % 64 as int))").alias("mark")).groupBy("slot").agg(F.bit_or("mark").alias("marks"))
-    sifted = source.withColumn("slot", F.shiftright(bit, 6)).join(F.broadcast(sift), "slot", "left")
-    may = F.expr(f"coalesce(getbit(marks, cast(pmod(xxhash64(doc_id), {SIFT}) % 64 as int)), 0) = 1")
-    joined = sifted.where(may).join(judged, ["doc_id", "text_hash"], "left").select("doc_id", "text", "removed")
-    joined = joined.unionByName(sifted.where(~may).select("doc_id", "text", F.lit(None).cast("binary").alias("removed")))
+    may, cannot = sifted(source, judged, "doc_id")
+    joined = may.join(judged, ["doc_id", "text_hash"], "left").select("doc_id", "text", "removed")
+    joined = joined.unionByName(cannot.select("doc_id", "text", F.lit(None).cast("binary").alias("removed")))
 
     def run(batches):
         for batch in batches:
