@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm._store import drop, stored
+from loglattice.llm._store import drop, join_classes, sifted, stored
 from loglattice.llm._words import blocks
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 CONFIDENCE = 0.8
+UNKNOWN = 0.05  # weight of a string that is no seed in a context's confidence
 SUPPORT = 5  # different strings a trusted context must hold
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,6 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_NO_LETTER = re.compile(r"[^\w]|[0-9_]")
+_WORD = re.compile(r"\S+")
 # each kind's form, spaced groups with one separator throughout; candidates are its matches between delimiters
 _FORMS = {
     "email": r"[A-Za-z0-9._%+-]++(?:(?:@|\((?i:at)\)|\[(?i:at)\])[A-Za-z0-9.-]+(?<!\.)|\x20(?:\((?i:at)\)|\[(?i:at)\])\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
@@ -73,10 +77,16 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _byte(digits: str) -> bool:
+    """Whether the number, however many zeros lead it, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind; failing ones dropped without a retry; kinds as listed, by start."""
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 4000) and all(len(p.lstrip("0")) < 4 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -104,12 +114,30 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _contexts(text: str, start: int, end: int) -> tuple[str, str]:
-    """The lower-cased words right before and behind, letters only; empty at the text's ends."""
-    before, behind = text[max(0, start - 48) : start].split(), text[end : end + 48].split()
-    left = re.sub(r"[^\w]|[0-9_]", "", before[-1].lower()) if before else ""
-    right = re.sub(r"[^\w]|[0-9_]", "", behind[0].lower()) if behind else ""
-    return left[:24], right[:24]
+def _letters(word: str) -> str:
+    """The word's letters, lower-cased; long ones by a digest."""
+    letters = _NO_LETTER.sub("", word.lower())
+    return letters if len(letters) <= 48 else hashlib.blake2b(letters.encode(errors="replace"), digest_size=16).hexdigest()
+
+
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """For each span, the words right before and behind; empty at the text's ends.
+
+    A word that reaches up to a span without white space counts from the nearest other span on.
+    """
+    words = [m.span() for m in _WORD.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    stops, starts = sorted(b for _, b in spans), sorted(a for a, _ in spans)
+    out = []
+    for start, end in spans:
+        at = bisect_left(begins, start) - 1
+        k = bisect_right(stops, start) - 1
+        before = text[max(words[at][0], stops[k] if k >= 0 else 0) : min(words[at][1], start)] if at >= 0 else ""
+        at = bisect_right(ends, end)
+        k = bisect_left(starts, end)
+        behind = text[max(words[at][0], end) : min(words[at][1], starts[k] if k < len(starts) else len(text))] if at < len(words) else ""
+        out.append((_letters(before), _letters(behind)))
+    return out
 
 
 _SPANS = "doc_id long, text_hash long, base array<struct<kind:string,start:long,stop:long>>, near array<struct<kind:string,start:long,stop:long,string:string,context:string>>"
@@ -137,9 +165,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                 rows = [(k, a, b) for k, a, b in spans]
                 rows += [(None, a, b) for a, b in candidates(text, spans)]
                 found = []
-                for k, a, b in rows:
-                    left, right = _contexts(text, a, b)
-                    digest = hashlib.blake2b(text[a:b].encode(), digest_size=8).hexdigest()
+                for (k, a, b), (left, right) in zip(rows, _contexts(text, [(a, b) for _, a, b in rows]), strict=True):
+                    digest = hashlib.blake2b(text[a:b].encode(), digest_size=16).hexdigest()
                     shapes = "".join(str(j) for j, kind in enumerate(KINDS) if _shaped(kind, text[a:b]))
                     for context in (f"<{left}", f">{right}", f"<{left}>{right}"):
                         if len(context) > 2:
@@ -151,26 +178,32 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _bootstrap(scanned: DataFrame) -> DataFrame:
-    """Added spans (doc_id, text_hash, kind, start, stop) from the graph of contexts and strings."""
+    """Added spans (doc_id, text_hash, kind, start, stop) from the graph of contexts and strings.
+
+    Contexts and strings in many edges meet their scores by join_classes, so none is gathered in one task.
+    """
     seen = scanned.select("doc_id", "text_hash", F.explode("near").alias("o")).select("doc_id", "text_hash", "o.*")
     edges = seen.groupBy("context", "string").agg(F.count("*").alias("n"), F.max("kind").alias("seed"))
-    edges = stored(edges.where(F.length("context") > 2), "edges")
-    kinds = F.explode(F.array(*(F.lit(k) for k in KINDS))).alias("kind")
-    own = edges.select("context", "string", "n", "seed", kinds)
-    # a seed scores 1 for its kind and 0 for others; an unknown string starts at 0
-    score = own.select("context", "string", "kind", "n", "seed", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("score"))
-    trusted = None
+    edges = stored(edges, "edges")
+    total, scores, trusted = edges.count(), edges.withColumn("lift", F.lit(None).cast("array<double>")), None
+    weight = F.col("n") * F.when(F.col("seed").isNull(), UNKNOWN).otherwise(1.0)
     for _ in range(ROUNDS):
-        held = score.groupBy("context", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("confidence"), F.sum(F.when(F.col("score") >= CONFIDENCE, 1).otherwise(0)).alias("support"))
-        before, trusted = trusted, stored(held.where(f"confidence >= {CONFIDENCE} and support >= {SUPPORT}").select("context", "kind", "confidence"), "contexts")
+        # a seed scores 1 for its kind and 0 for others; an unknown string starts at 0
+        own = [F.when(F.col("seed").isNotNull(), (F.col("seed") == k).cast("double")).otherwise(F.coalesce(F.get("lift", F.lit(i)), F.lit(0.0))) for i, k in enumerate(KINDS)]
+        trust = [F.when((F.sum(s * weight) / F.sum(weight) >= CONFIDENCE) & (F.count_if(s >= CONFIDENCE) >= SUPPORT), F.sum(s * weight) / F.sum(weight)).otherwise(0.0) for s in own]
+        held = scores.groupBy("context").agg(F.array(*trust).alias("trust"), F.count("*").alias("m"), F.sum("n").alias("seen"))
+        before, trusted = trusted, stored(held.where(F.exists("trust", lambda c: c > 0)), "contexts")
+        unknown = join_classes(edges.where("seed is null").select("context", "string"), trusted.select("context", "trust", "m"), "context", "m", total).where("trust is not null")
+        lift = [1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.get("trust", F.lit(i)))))) for i in range(len(KINDS))]
+        lifts = unknown.groupBy("string").agg(F.array(*lift).alias("lift"), F.count("*").alias("m"))
+        scores = join_classes(edges, lifts, "string", "m", total)
         if before is not None:
             drop(before)
-        lifted = own.where("seed is null").join(trusted, ["context", "kind"]).groupBy("string", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("lift"))
-        score = own.join(lifted, ["string", "kind"], "left").select("context", "string", "kind", "n", "seed", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"))
-    shape = F.concat(*(F.when(F.col("t.kind") == k, F.lit(str(j))).otherwise(F.lit("")) for j, k in enumerate(KINDS)))
-    added = seen.alias("s").where("s.kind is null").join(trusted.alias("t"), F.col("s.context") == F.col("t.context")).where(F.substring("s.string", 17, 4).contains(shape))
-    best = added.groupBy("s.doc_id", "s.text_hash", "s.start", "s.stop").agg(F.max_by("t.kind", F.struct("t.confidence", "t.kind")).alias("kind"))
-    return best.select("doc_id", "text_hash", "kind", "start", "stop")
+    rows = edges.agg(F.sum("n")).first()[0] or 0
+    placed = join_classes(seen.where("kind is null").drop("kind"), trusted.select("context", "trust", "seen"), "context", "seen", rows).where("trust is not null")
+    shaped = [F.struct(F.when(F.substring("string", 33, 4).contains(str(i)), F.get("trust", F.lit(i))).otherwise(0.0).alias("c"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]
+    best = placed.withColumn("best", F.array_max(F.array(*shaped))).where("best.c > 0")
+    return best.groupBy("doc_id", "text_hash", "start", "stop").agg(F.max("best")["kind"].alias("kind")).select("doc_id", "text_hash", "kind", "start", "stop")
 
 
 def _ordered(spans) -> F.Column:
@@ -205,24 +238,40 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every found span of ``text`` replaced by its kind in brackets; all columns and rows stay.
 
-    Overlapping spans are replaced as one, by the first kind; n_chars, if there, is counted again.
+    Overlapping spans are replaced as one, by the kind of the first; n_chars, if there, is counted again where the text
+    changed.  Columns may have any names; null and empty texts stay, repeated rows stay and are changed alike, a null
+    doc_id's row loses its base spans; texts of any length are read whole; an empty table gives no rows.
     """
     names = docs.columns
-    spans = find_spans(docs).where("size(base) + size(added) > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.concat("base", "added").alias("_spans")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_d"]) & (keyed["_k"] == spans["_h"]), "left")
-
-    def cut(state, s):
-        fresh = s["start"] >= state["at"]
-        text = F.col("text")
-        piece = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(fresh, s["stop"]).otherwise(F.greatest(state["at"], s["stop"])).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
-
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    state = F.aggregate(order, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut)
-    tail = F.expr("substring(text, cast(_state.at as int) + 1)")
-    joined = joined.withColumn("_state", F.when(F.col("_spans").isNotNull(), state))
-    joined = joined.withColumn("text", F.when(F.col("_state").isNull(), F.col("text")).otherwise(F.concat(F.col("_state.out"), tail)))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_state").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*names)
+    spans = find_spans(docs).where("size(base) + size(added) > 0").select("doc_id", "text_hash", F.concat("base", "added").alias("spans"))
+    # a row for each text, as repeated rows have equal spans
+    spans = stored(spans.groupBy("doc_id", "text_hash").agg(F.max("spans").alias("spans")), "redactions")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"))
+    may, cannot = sifted(rows, spans.select(F.col("doc_id").alias("id")), "id")
+    own = F.xxhash64(F.col("row")["text"])
+    met = may.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (own == F.col("text_hash")), "left").select("row", "spans")
+    whole, place = cannot.select("row.*"), names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts, found = columns[place].to_pylist(), batch.column(1).to_pylist()
+            sizes = columns[count].to_pylist() if count is not None else []
+            for i, own in enumerate(found):
+                if not own:
+                    continue
+                text, parts, at = texts[i], [], 0
+                for span in sorted(own, key=lambda s: (s["start"], s["stop"], s["kind"])):
+                    if span["start"] >= at:
+                        parts += [text[at : span["start"]], f"[{span['kind'].upper()}]"]
+                    at = max(at, span["stop"])
+                texts[i] = "".join([*parts, text[at:]])
+                if count is not None:
+                    sizes[i] = len(texts[i])
+            columns[place] = pa.array(texts, columns[place].type)
+            if count is not None:
+                columns[count] = pa.array(sizes, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return whole.unionByName(met.mapInArrow(run, docs.schema)).select(*(F.col(f"`{c}`") for c in names))
