@@ -4,6 +4,10 @@ Tokens are summed by cell (source, language, topic).  Raking multiplies the cell
 three target marginals in turn, for ``SWEEPS`` sweeps; a document's probability is its cell's weight per token times
 the rate that meets the token budget with probabilities of at most 1, and a document is kept when a hash of its id falls
 below its probability.
+
+Texts are read once: what they hold is stored beside the rows.  Sums over all cells are aggregates of one row; a sum by
+dimension is a window over the cells of one value, never over documents.  Documents meet their cells by a broadcast of at
+most ``MOST_CELLS`` rows, beyond it by join_classes.
 """
 
 from __future__ import annotations
@@ -11,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.llm._store import join_classes, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}  # a marginal's target is its token share to this power
 BUDGET = 0.5  # expected tokens kept, as a share of all
 SWEEPS = 12
 RATE_STEPS = 6
+MOST_CELLS = 100_000  # broadcast, about 10 MB
 
 
 def tokens_of(text) -> F.Column:
@@ -30,43 +37,51 @@ def topic_of(text, tokens) -> F.Column:
     return F.when(tokens == 0, "empty").when(bars * 5 >= tokens, "table").when(lines * 12 >= tokens, "lines").when(tokens < 200, "short").when(tokens < 1000, "article").otherwise("long")
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with _source, _lang, _topic (null: empty string) and _tokens."""
+def described(docs: DataFrame, *dropped: str) -> DataFrame:
+    """docs without the dropped columns, with _source, _lang, _topic (null: empty string) and _tokens."""
     out = docs.withColumn("_tokens", tokens_of(F.col("text")))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"), F.col("_tokens"))
-    return out.withColumns({"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": F.coalesce(topic, F.lit(""))})
+    return out.withColumns({"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": F.coalesce(topic, F.lit(""))}).drop(*dropped)
 
 
 def raked(cells: DataFrame, exponents: dict[str, float] | None = None, shares: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
-    """cells(_source, _lang, _topic, n) with weight per token and probability.
+    """cells(_source, _lang, _topic, n, ...) with weight per token and probability.
 
     shares: explicit target shares by dimension and value (values not named get none); else tempered token shares.
     """
     exponents = exponents or EXPONENTS
-    everything = Window.partitionBy(F.lit(0))
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
     out = cells.withColumns({"n": F.col("n").cast("double"), "_w": F.col("n").cast("double")})
-    out = out.withColumn("_total", F.sum("n").over(everything))
     for d in DIMENSIONS:
-        own = Window.partitionBy(f"_{d}")
+        sums = cells.groupBy(f"_{d}").agg((F.sum("n").cast("double") / total if total else F.lit(0.0)).alias("share"))
         if shares and d in shares:
             given = F.create_map(*(x for k, v in shares[d].items() for x in (F.lit(k), F.lit(float(v))))) if shares[d] else F.create_map(F.lit(""), F.lit(0.0))
             target = F.coalesce(given[F.col(f"_{d}")], F.lit(0.0))
         else:
-            target = F.pow(F.sum("n").over(own) / F.col("_total"), F.lit(exponents[d]))
-        out = out.withColumns({f"_t_{d}": target, f"_c_{d}": F.count("*").over(own)})
-        out = out.withColumn(f"_t_{d}", F.col("_total") * F.col(f"_t_{d}") / F.sum(F.col(f"_t_{d}") / F.col(f"_c_{d}")).over(everything))
+            target = F.pow("share", F.lit(exponents[d]))
+        whole = float(sums.agg(F.sum(target)).first()[0] or 0)
+        share = F.sum("n").over(Window.partitionBy(f"_{d}")) / F.lit(total or 1.0)
+        out = out.withColumn("share", share).withColumn(f"_t_{d}", F.lit(total) * target / F.lit(whole or 1.0)).drop("share")
     for _ in range(sweeps):
         for d in DIMENSIONS:
             held = F.sum("_w").over(Window.partitionBy(f"_{d}"))
             out = out.withColumn("_w", F.when(held > 0, F.col("_w") * F.col(f"_t_{d}") / held).otherwise(0.0))
-    out = out.withColumn("weight", F.when(F.col("n") > 0, F.col("_w") / F.col("n")).otherwise(0.0))
-    out = out.withColumn("_rate", F.lit(float(budget)))
+    out = stored(out.withColumn("weight", F.when(F.col("n") > 0, F.col("_w") / F.col("n")).otherwise(0.0)), "raked")
+    rate = float(budget)
     for _ in range(RATE_STEPS):
-        full = F.col("weight") * F.col("_rate") >= 1
-        sure = F.sum(F.when(full, F.col("n")).otherwise(0.0)).over(everything)
-        open_ = F.sum(F.when(full, 0.0).otherwise(F.col("_w"))).over(everything)
-        out = out.withColumn("_rate", F.when(open_ > 0, (F.col("_total") * budget - sure) / open_).otherwise(F.col("_rate")))
-    return out.select("_source", "_lang", "_topic", "weight", F.least(F.lit(1.0), F.col("weight") * F.col("_rate")).alias("probability"))
+        full = F.col("weight") * rate >= 1
+        sure, open_ = out.agg(F.sum(F.when(full, F.col("n")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w")))).first()
+        rate = (total * budget - sure) / open_ if open_ and open_ > 0 else rate
+    return out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * rate))
+
+
+def off_target(cells: DataFrame) -> float:
+    """The largest relative distance of a raked marginal from its target; 0 once the sweeps have converged."""
+    worst = 0.0
+    for d in DIMENSIONS:
+        sums = cells.groupBy(f"_{d}").agg(F.sum("_w").alias("w"), F.max(f"_t_{d}").alias("t")).where("t > 0")
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("w") / F.col("t") - 1))).first()[0] or 0.0)
+    return worst
 
 
 def uniform(doc_id, seed: str = "mix") -> F.Column:
@@ -74,11 +89,17 @@ def uniform(doc_id, seed: str = "mix") -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """Every row of docs with _source, _lang, _topic, _tokens, weight, probability and selected."""
-    rows = described(docs)
-    cells = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n"))
-    joined = rows.join(raked(cells, **options), ["_source", "_lang", "_topic"])
+def mix(docs: DataFrame, *dropped: str, **options) -> DataFrame:
+    """Every row of docs, without the dropped columns, with _source, _lang, _topic, _tokens, weight, probability and selected."""
+    rows = stored(described(docs, *dropped), "described")
+    by = [f"_{d}" for d in DIMENSIONS]
+    cells = stored(rows.groupBy(*by).agg(F.sum("_tokens").alias("n"), F.count("*").alias("_rows")), "mixcells")
+    rated = raked(cells, **options).select(*by, "_rows", "weight", "probability")
+    if cells.count() <= MOST_CELLS:
+        joined = rows.join(F.broadcast(rated.drop("_rows")), by)
+    else:
+        one = F.struct(*by)
+        joined = join_classes(rows.withColumn("_cell", one), rated.withColumn("_cell", one).drop(*by), "_cell", "_rows", rows.count()).drop("_cell")
     return joined.withColumn("selected", uniform(F.col("doc_id")) < F.col("probability"))
 
 
@@ -91,12 +112,13 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     table gives no rows.
     """
     keep = ["doc_id", "text", "lang", "source", *(["topic"] if "topic" in docs.columns else [])]
-    out = mix(docs.select(*keep), **options)
+    out = mix(docs.select(*keep), "text", **options)
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The selected rows of docs, with its columns."""
+    """The selected rows of docs, with its columns, whatever their names; nulls, empty texts, repeated rows and empty tables as
+    in mixture()."""
     clash = {c: f"_own_{c}" for c in docs.columns if c in ("weight", "probability", "selected") or c.startswith("_")}
     out = mix(docs.withColumnsRenamed(clash), **options).where("selected")
     return out.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
