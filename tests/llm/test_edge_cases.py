@@ -299,3 +299,22 @@ def test_lacing_and_unknown_sizes():
     assert [data[p[2] : p[2] + p[3]] for p in found] == frames * 2 and [p[1] for p in found] == [12_000_000] * 3 + [13_000_000] * 3
     with pytest.raises(ValueError):
         matroska.parse(data[:-3])
+
+
+def test_pages_of_any_depth_and_broken_markup(spark):
+    import time
+
+    x, y = passage(221, 60), passage(222, 20)
+    broken = f'<body><article><p>one <a title="foo>link</a> two</p><p>{x} <b class="x">four</b></p><div class=x/>in</div><img alt="a > b"></article></body>'
+    assert html_text.main_text(broken, None) == f"one link two\n{x} four\nin"
+    assert html_text.main_text(f"<body><article><p>a < b {x}</p></article><a href='cut", None) == f"a < b {x}"
+    for page in ("<b>" * 60_000, "<a " * 300_000, "<div class=x>" * 40_000 + x, "<div>text" * 40_000, '<a title="foo>' * 60_000, "<svg>" * 60_000, "<main>" * 40_000, "</p>" * 60_000, "<!--" * 200_000):
+        began = time.time()
+        html_text.main_text(page, None)
+        assert time.time() - began < 30  # quadratic reading takes minutes
+    deep = "<div class=x>" * 3_000 + f"<p>{x}</p>"
+    rows = [(1, "http://d.e/1", deep, 7, "a"), (1, "http://d.e/1", deep, 7, "a"), (2, "http://d.e/2", deep, None, "b")]
+    # two paths with equal votes: one wins, and the page without it falls back to its own
+    rows += [(3, "http://t.t/1", f"<article class=one><p>{x}</p></article>", 1, "c"), (4, "http://t.t/2", f"<article class=two><p>{x}</p></article>", 1, "d")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, path long, host string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_texts(table).collect()} == dict.fromkeys([1, 2, 3, 4], x) and html_text.main_texts(table).count() == 5
