@@ -6,7 +6,8 @@ labelled rows, taken by a hash of their id, with a pool of at most ``POOL`` unla
 confident predictions prove right on held-out rows hands its most confident pool rows to the other view as
 pseudo-labels.  The calibrated views are then combined, and every document is scored.
 
-The fitting sample is the only bounded thing; its bounds are the parameters ``labelled`` and ``pool``.
+The model is the only bounded thing.  Its bounds are parameters of every function here: ``labelled`` and ``pool`` rows to
+fit on, ``features`` of the text view a target, and ``handed`` pseudo-labels a class and round.
 """
 
 from __future__ import annotations
@@ -122,8 +123,11 @@ def _meta_matrix(numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, edge
     return out
 
 
-def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, labels: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The model's arrays; labels hold 0, 1 or -1 (pool).  A target with one class only gets its constant."""
+def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, labels: dict[str, np.ndarray], rounds: int = ROUNDS, features: int = FEATURES, handed: int = HANDED) -> dict[str, np.ndarray]:
+    """The model's arrays; labels hold 0, 1 or -1 (pool).  A target with one class only gets its constant.
+
+    ``<target>_handed`` counts the pseudo-labels given by each view, a row for text and one for metadata, a column a class.
+    """
     model: dict[str, np.ndarray] = {}
     edges = np.stack([np.quantile(numbers[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(NUMBERS)]) if len(numbers) else np.zeros((NUMBERS, BINS - 1))
     model["edges"] = edges
@@ -140,6 +144,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
         model[f"{target}_prior"] = np.array([positive])
         model[f"{target}_vocabulary"], model[f"{target}_text"] = np.zeros(0, np.uint64), np.zeros(1)
         model[f"{target}_meta"], model[f"{target}_join"] = np.zeros(meta.shape[1] + 1), np.zeros(3)
+        model[f"{target}_handed"] = np.zeros((2, 2), np.int64)
         if len(set(y[train].tolist())) < 2 or len(set(y[held].tolist())) < 2:
             model[f"{target}_join"][2] = 30.0 if positive >= 0.5 else -30.0
             continue
@@ -150,7 +155,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
         expected = (pos + neg) * (p / (p + n))
         gain = np.abs(np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n + 1))) * np.sqrt(np.abs(pos - expected))
         gain[pos + neg < 5] = 0
-        best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+        best = np.sort(np.argsort(-gain, kind="stable")[:features])
         best = best[gain[best] > 0]
         index = np.full(len(values), -1)
         index[best] = np.arange(len(best))
@@ -176,6 +181,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
                     free = np.flatnonzero(sure & ~known & (truth[other] < 0))
                     taken = free[np.argsort(-np.abs(chance[free] - 0.5), kind="stable")[:HANDED]]
                     truth[other][taken], weight[other][taken] = value, 0.5
+                    model[f"{target}_handed"][int(v == "meta"), value] += len(taken)
         logits = np.stack([views[v] @ betas[v][:-1] + betas[v][-1] for v in ("text", "meta")], 1)
         joint = fit_logistic(np.clip(logits[held], -20, 20), y[held].astype(float), np.ones(held.sum()), steps=2000, ridge=0.5)
         model[f"{target}_vocabulary"], model[f"{target}_text"] = values[best], betas["text"]
@@ -183,7 +189,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
     return model
 
 
-def _train(rounds: int):
+def _train(rounds: int, features: int, handed: int):
     def run(table: pa.Table) -> pa.Table:
         words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
         order = np.argsort(table.column("place").to_numpy(), kind="stable")
@@ -191,13 +197,13 @@ def _train(rounds: int):
         numbers = np.array([np.frombuffer(x, np.float64) for x in table.column("numbers").to_pylist()])
         labels = {t: np.array([-1 if v is None else int(v > 0) for v in table.column(t).to_pylist()]) for t in TARGETS}
         out = io.BytesIO()
-        np.savez_compressed(out, **fit(words, numbers, table.column("lang").to_numpy(), table.column("source").to_numpy(), labels, rounds))
+        np.savez_compressed(out, **fit(words, numbers, table.column("lang").to_numpy(), table.column("source").to_numpy(), labels, rounds, features, handed))
         return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> bytes | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, features: int = FEATURES, handed: int = HANDED) -> bytes | None:
     """The fitted model; None without a labelled document.  Rows of one doc_id with different labels: the largest counts."""
     text = docs.select("doc_id", "text", "lang", "source").where("doc_id is not null and text is not null")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"), F.max("toxic").cast("long").alias("toxic"))
@@ -208,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     sample = some.unionByName(others.withColumns({"quality": F.lit(None).cast("long"), "toxic": F.lit(None).cast("long")}))
     rows = text.join(F.broadcast(sample), "doc_id")  # at most labelled + pool ids
     kind = "doc_id long, lang long, source long, words binary, numbers binary, quality long, toxic long"
-    features = rows.select("doc_id", "text", "lang", "source", "quality", "toxic").mapInArrow(_sample_rows, kind).withColumn("place", place)
-    found = features.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_train(rounds), "model binary").collect()  # one row
+    sample_rows = rows.select("doc_id", "text", "lang", "source", "quality", "toxic").mapInArrow(_sample_rows, kind).withColumn("place", place)
+    found = sample_rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_train(rounds, features, handed), "model binary").collect()  # one row
     return found[0]["model"] if found else None
 
 
@@ -271,7 +277,7 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns."""
+    """The rows of docs that quality() keeps, with their columns, whatever their names; see there for all other cases."""
     model = train(docs, labels, **options)
 
     def run(batches):

@@ -25,7 +25,7 @@ from loglattice.llm._blobs import bucket_edges, pack_ints, pack_run, pack_table,
 from loglattice.llm._store import bucket_keys, sifted, stored, text_bytes
 from loglattice.llm._words import blocks, runs, word_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 _RUNS = "key long, share long, block string, run binary, wide boolean, docs binary, own binary"
 
 
