@@ -179,7 +179,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
                     if proof.sum() < 20 or (y[proof] == value).mean() < PROVEN:
                         continue
                     free = np.flatnonzero(sure & ~known & (truth[other] < 0))
-                    taken = free[np.argsort(-np.abs(chance[free] - 0.5), kind="stable")[:HANDED]]
+                    taken = free[np.argsort(-np.abs(chance[free] - 0.5), kind="stable")[:handed]]
                     truth[other][taken], weight[other][taken] = value, 0.5
                     model[f"{target}_handed"][int(v == "meta"), value] += len(taken)
         logits = np.stack([views[v] @ betas[v][:-1] + betas[v][-1] for v in ("text", "meta")], 1)
