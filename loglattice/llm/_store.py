@@ -102,12 +102,15 @@ def sifted(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, Data
 
     Rows that cannot need no shuffle to meet found; once the filter is full all may, and lose nothing but that.
     """
+    slot, held = "_slot", "_held"
+    while {slot, held} & set(rows.columns):  # rows may have columns of any names
+        slot, held = f"{slot}_", f"{held}_"
     bit = F.pmod(F.xxhash64(key), F.lit(SIFT))
-    mark = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {SIFT}) % 64 as int))")
-    marks = found.select(F.shiftright(bit, 6).alias("_slot"), mark.alias("_mark")).groupBy("_slot").agg(F.bit_or("_mark").alias("_marks"))
-    with_marks = rows.withColumn("_slot", F.shiftright(bit, 6)).join(F.broadcast(marks), "_slot", "left")  # at most SIFT / 64 rows
-    may = F.expr(f"coalesce(getbit(_marks, cast(pmod(xxhash64(`{key}`), {SIFT}) % 64 as int)), 0) = 1")
-    return with_marks.where(may).select(*rows.columns), with_marks.where(~may).select(*rows.columns)
+    place = f"cast(pmod(xxhash64(`{key}`), {SIFT}) % 64 as int)"
+    marks = found.select(F.shiftright(bit, 6).alias(slot), F.expr(f"shiftleft(1L, {place})").alias("mark")).groupBy(slot).agg(F.bit_or("mark").alias(held))
+    marked = rows.withColumn(slot, F.shiftright(bit, 6)).join(F.broadcast(marks), slot, "left")  # at most SIFT / 64 rows
+    may = F.expr(f"coalesce(getbit(`{held}`, {place}), 0) = 1")
+    return marked.where(may).select(*rows.columns), marked.where(~may).select(*rows.columns)
 
 
 def put(uri: str, data: bytes) -> None:

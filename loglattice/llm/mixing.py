@@ -62,7 +62,9 @@ def raked(cells: DataFrame, exponents: dict[str, float] | None = None, shares: d
         whole = float(sums.agg(F.sum(target)).first()[0] or 0)
         share = F.sum("n").over(Window.partitionBy(f"_{d}")) / F.lit(total or 1.0)
         out = out.withColumn("share", share).withColumn(f"_t_{d}", F.lit(total) * target / F.lit(whole or 1.0)).drop("share")
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        if k and k % SWEEPS == 0:  # a plan of bounded depth
+            out = stored(out, "sweeps")
         for d in DIMENSIONS:
             held = F.sum("_w").over(Window.partitionBy(f"_{d}"))
             out = out.withColumn("_w", F.when(held > 0, F.col("_w") * F.col(f"_t_{d}") / held).otherwise(0.0))
