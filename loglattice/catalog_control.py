@@ -13,27 +13,52 @@ from loglattice.sources import recordbatch, tables
 
 _HALF = "(select max(event_id) / 2 from events)"
 query("sink_append", f"select part, off, event_id from v_log where event_id > {_HALF}")(lambda f: _appended(f))
-query("scan_group_poll", "select 'm' || (l.part % 2) as member, l.part, l.off from (select *, row_number() over (partition by part order by off) as r from v_log where off >= 40 + part) l where r <= 25")(
+query(
+    "scan_group_poll",
+    """select 'm' || (l.part % 2) as member, l.part, l.off from (select *, row_number() over (partition by part order by off) as r
+    from v_log where off >= 40 + part) l where r <= 25""",
+)(
     lambda f: groups.group_poll(f.v_log.select("part", "off"), f.spark.sql("select concat('m', cast(id % 2 as string)) member, id part from range(4)"), f.spark.sql("select id part, 40 + id off from range(4)"), 25)
 )
-query("codec_offsets_topic", "select grp, part, log_pos, '01' || printf('%04X', length(grp)) || hex(grp) || '0001' || hex('t') || printf('%08X', part) as key_hex, printf('%016X', committed) || '00000003' || '0000' || printf('%016X', log_pos) as value_hex from v_commit where committed is not null")(
+query(
+    "codec_offsets_topic",
+    """select grp, part, log_pos, '01' || printf('%04X', length(grp)) || hex(grp) || '0001' || hex('t') || printf('%08X', part) as key_hex, printf('%016X', committed) || '00000003' || '0000' || printf('%016X', log_pos) as value_hex
+    from v_commit where committed is not null""",
+)(
     lambda f: f.v_commit.where("committed is not null").select(
         "grp", "part", "log_pos", F.hex(binary.offset_key(F.col("grp"), F.lit("t"), F.col("part"))).alias("key_hex"), F.hex(binary.offset_value(F.col("committed"), F.lit(3), F.lit(None).cast("string"), F.col("log_pos"))).alias("value_hex")
     )
 )
 query("codec_offsets_topic_read", "select grp, 't' as topic, part, committed, log_pos as at_ms from v_commit where committed is not null")(lambda f: _read_back(f))
-query("codec_txn_topic", "select event_id, printf('%016X', event_id) || '00000002' || '01' || '0000EA60' || printf('%016X', event_id * 1000) || '00000001' || '0001' || hex('t') || printf('%08X', user_id % 4) as value_hex from events")(
+query(
+    "codec_txn_topic",
+    """select event_id, printf('%016X', event_id) || '00000002' || '01' || '0000EA60' || printf('%016X', event_id * 1000) || '00000001' || '0001' || hex('t') || printf('%08X', user_id % 4) as value_hex
+    from events""",
+)(
     lambda f: f.events.select("event_id", F.hex(binary.transaction_value(F.col("event_id"), F.lit(2), F.lit(1), F.lit(60000), F.col("event_id") * 1000, F.array(F.struct(F.lit("t").alias("topic"), (F.col("user_id") % 4).alias("part"))))).alias("value_hex"))
 )
 query("codec_batch", "select part, off, event_id::varchar as k, v from v_log")(lambda f: _through_batches(f))
-query("codec_txn_topic_read", "select event_id as pid, 2 as epoch, 1 as state, 60000 as timeout_ms, event_id * 1000 as at_ms, 2 as n from events")(
+query(
+    "codec_txn_topic_read",
+    """select event_id as pid, 2 as epoch, 1 as state, 60000 as timeout_ms, event_id * 1000 as at_ms, 2 as n
+    from events""",
+)(
     lambda f: f.events.select(binary.read_transaction_head(binary.transaction_value(F.col("event_id"), F.lit(2), F.lit(1), F.lit(60000), F.col("event_id") * 1000, F.array_repeat(F.struct(F.lit("t").alias("topic"), F.lit(1).alias("part")), 2))).alias("r")).select("r.*")
 )
-query("varint", "select event_id, case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end as zigzag, case when event_id = 0 then 1 else floor(log2(case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end) / 7)::bigint + 1 end as size from events")(
+query(
+    "varint",
+    """select event_id, case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end as zigzag, case when event_id = 0 then 1 else floor(log2(case when event_id % 2 = 0 then event_id * 5000 * 2 else event_id * 5000 * 2 - 1 end) / 7)::bigint + 1 end as size
+    from events""",
+)(
     lambda f: f.events.withColumn("x", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 5000).otherwise(F.col("event_id") * -5000)).select("event_id", binary.zigzag_column(F.col("x")).alias("zigzag"), binary.varint_size(F.col("x")).alias("size"))
 )
 query("crc32c")(lambda f: f.events.select("event_id", binary.crc32c_column(F.encode("props", "UTF-8")).alias("crc")))
-query("format_gate", "select x as path, x % 4 as version, x % 4 <= 2 as opens from range(8) t(x)")(lambda f: control.format_gate(f.spark.range(8).select(F.col("id").alias("path"), (F.col("id") % 4).alias("version")), 2))
+query(
+    "format_gate",
+    """select x as path, x % 4 as version, x % 4 <= 2 as opens from range(8) t(x)""",
+)(
+    lambda f: control.format_gate(f.spark.range(8).select(F.col("id").alias("path"), (F.col("id") % 4).alias("version")), 2)
+)
 
 
 def _appended(f):
@@ -69,19 +94,48 @@ query(
     union all select 'partition', name, item, value from p where r = 1
     union all select kind, name, case when kind <> 'broker' then item end, value from l where r = 1 and kind <> 'remove_acl' and (kind <> 'reassignment' or value is not null)
     union all select 'producer_id', null, null, max(value) from v_meta where kind = 'producer_id' having count(*) > 0""",
-)(lambda f: control.meta_fold(f.v_meta))
-query("stream_commit_guard", "select event_id, case when user_id % 10 > 6 then 'UNKNOWN_MEMBER_ID' when event_id % 9 > user_id % 10 then 'FENCED_MEMBER_EPOCH' else 'NONE' end as error from events")(
+)(
+    lambda f: control.meta_fold(f.v_meta)
+)
+query(
+    "stream_commit_guard",
+    """select event_id, case when user_id % 10 > 6 then 'UNKNOWN_MEMBER_ID' when event_id % 9 > user_id % 10 then 'FENCED_MEMBER_EPOCH' else 'NONE' end as error
+    from events""",
+)(
     lambda f: control.commit_guard(f.events.select("event_id", F.lit("g").alias("grp"), (F.col("user_id") % 10).alias("member"), (F.col("event_id") % 9).alias("epoch")), f.spark.range(7).select(F.lit("g").alias("grp"), F.col("id").alias("member"), F.col("id").alias("epoch"))).select("event_id", "error")
 )
-query("filter_internal_topics", "select x as topic from range(9) t(x) where x % 3 <> 1")(lambda f: control.visible_topics(f.spark.range(9).select(F.col("id").alias("topic"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("internal"))).select("topic"))
-query("disk_headroom_low", "select broker, sum(bytes)::bigint as usable, sum(bytes) < 3000 as low from v_sample group by broker")(lambda f: control.disk_headroom_low(f.v_sample.groupBy("broker").agg(F.sum("bytes").alias("usable")), 3000))
-query("role_merge", "select n as node, case when n % 4 = 3 then 'UNKNOWN' when n % 2 = 0 then 'LEADER' else 'FOLLOWER' end as role from range(12) t(n)")(
+query(
+    "filter_internal_topics",
+    """select x as topic from range(9) t(x) where x % 3 <> 1""",
+)(
+    lambda f: control.visible_topics(f.spark.range(9).select(F.col("id").alias("topic"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("internal"))).select("topic")
+)
+query(
+    "disk_headroom_low",
+    """select broker, sum(bytes)::bigint as usable, sum(bytes) < 3000 as low from v_sample
+    group by broker""",
+)(
+    lambda f: control.disk_headroom_low(f.v_sample.groupBy("broker").agg(F.sum("bytes").alias("usable")), 3000)
+)
+query(
+    "role_merge",
+    """select n as node, case when n % 4 = 3 then 'UNKNOWN' when n % 2 = 0 then 'LEADER' else 'FOLLOWER' end as role
+    from range(12) t(n)""",
+)(
     lambda f: control.role_merge(f.spark.sql("select r.id responder, n.id node, case when n.id % 4 = 3 or r.id = 0 then 'UNKNOWN' when r.id = 2 then 'LATER' when n.id % 2 = 0 then 'LEADER' else 'FOLLOWER' end role from range(3) r, range(12) n"))
 )
-query("recover_offline", "select part, min(broker) as leader, part + 1 as epoch from v_replica where in_isr and broker in (2, 3) group by part")(
+query(
+    "recover_offline",
+    """select part, min(broker) as leader, part + 1 as epoch from v_replica where in_isr and broker in (2, 3)
+    group by part""",
+)(
     lambda f: control.recover_offline(f.v_replica.groupBy("part").agg(F.array_sort(F.collect_list(F.when(F.col("in_isr"), F.col("broker")))).alias("isr")).withColumn("epoch", F.col("part")), f.spark.range(2, 4).select(F.col("id").alias("broker")))
 )
-query("plan_decommission", "select x as part, case when x % 2 = 0 then 4 else 5 end as replacement, false as refused from range(4) t(x)")(
+query(
+    "plan_decommission",
+    """select x as part, case when x % 2 = 0 then 4 else 5 end as replacement, false as refused
+    from range(4) t(x)""",
+)(
     lambda f: control.plan_decommission(f.v_replica.where("broker < 3").select("part", "broker"), f.spark.sql("select * from values (1L, 'a'), (2L, 'b'), (3L, 'b'), (4L, 'c'), (5L, 'd') as t(broker, rack)"), 1)
 )
 query(
@@ -92,11 +146,27 @@ query(
 query("same_set", "select member, current_bits = target_bits as same, current_bits | target_bits as either from v_masks")(
     lambda f: _sets(f).select("member", control.same_set(F.reverse("current"), F.col("target")).alias("same"), _bits(F.array_union("current", "target")).alias("either"))
 )
-query("raft_commit_current_term", "select part, case when median(leo)::bigint >= part * 700 + 200 then median(leo)::bigint else -1 end as commit_index from v_replica group by part")(
+query(
+    "raft_commit_current_term",
+    """select part, case when median(leo)::bigint >= part * 700 + 200 then median(leo)::bigint else -1 end as commit_index
+    from v_replica group by part""",
+)(
     lambda f: replication.raft_commit_index(f.v_replica.withColumnRenamed("leo", "match_index"), f.v_log.select("part").distinct().withColumn("start_off", F.col("part") * 700 + 200))
 )
-query("high_watermark_floor", "select part, greatest(min(leo), part * 900) as hwm from v_replica where in_isr group by part")(lambda f: replication.high_watermark(f.v_replica, f.v_log.select("part").distinct().withColumn("floor", F.col("part") * 900)))
-query("offline_cluster", "select max(n) as n from (select broker, count(*) as n from v_replica where not in_isr group by broker) t")(lambda f: f.v_replica.where("not in_isr").groupBy("broker").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")))
+query(
+    "high_watermark_floor",
+    """select part, greatest(min(leo), part * 900) as hwm from v_replica where in_isr
+    group by part""",
+)(
+    lambda f: replication.high_watermark(f.v_replica, f.v_log.select("part").distinct().withColumn("floor", F.col("part") * 900))
+)
+query(
+    "offline_cluster",
+    """select max(n) as n from (select broker, count(*) as n from v_replica where not in_isr
+    group by broker) t""",
+)(
+    lambda f: f.v_replica.where("not in_isr").groupBy("broker").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+)
 query("group_metadata_latest", "select grp, max(log_pos) as log_pos, arg_max(part, log_pos * 10 + part) as part from v_commit group by grp")(
     lambda f: f.v_commit.groupBy("grp").agg(F.max(F.struct("log_pos", "part")).alias("r")).select("grp", "r.log_pos", "r.part")
 )
@@ -123,12 +193,29 @@ query(
     """with s as (select *, min(case when event <> 'stage' then log_pos end) over (partition by coordinator, pid order by log_pos rows between current row and unbounded following) as decided from v_staged),
     c as (select s.grp, s.part, s.committed, s.log_pos, s.decided from s join v_staged m on m.coordinator = s.coordinator and m.pid = s.pid and m.log_pos = s.decided and m.event = 'commit' where s.event = 'stage')
     select grp, part, committed from (select *, row_number() over (partition by grp, part order by decided desc, log_pos desc) as r from c) t where r = 1""",
-)(lambda f: coordinator.committed_offsets_txn(f.v_staged))
-query("txn_timeout", "select part * 10 + pid as txn_id, 'PREPARE_ABORT' as state, txn_no + 1 as epoch, last_off as at_ms from v_txn where outcome = 'OPEN' and 5000 - last_off > 100")(
+)(
+    lambda f: coordinator.committed_offsets_txn(f.v_staged)
+)
+query(
+    "txn_timeout",
+    """select part * 10 + pid as txn_id, 'PREPARE_ABORT' as state, txn_no + 1 as epoch, last_off as at_ms
+    from v_txn where outcome = 'OPEN' and 5000 - last_off > 100""",
+)(
     lambda f: coordinator.txn_timeout(f.v_txn.select((F.col("part") * 10 + F.col("pid")).alias("txn_id"), F.when(F.col("outcome") == "OPEN", "ONGOING").otherwise("COMPLETE").alias("state"), F.col("txn_no").alias("epoch"), F.col("last_off").alias("at_ms")), 5000, 100)
 )
-query("assign_uniform_mixed", "select topic, part, case when topic = 'a' then 'm' || (part % 2 + 1) else 'm' || ((part + 2) % 3 + 1) end as member from (select 'a' as topic, x as part from range(4) t(x) union all select 'b', x from range(6) t(x)) p")(
+query(
+    "assign_uniform_mixed",
+    """select topic, part, case when topic = 'a' then 'm' || (part % 2 + 1) else 'm' || ((part + 2) % 3 + 1) end as member
+    from (select 'a' as topic, x as part from range(4) t(x) union all select 'b', x
+    from range(6) t(x)) p""",
+)(
     lambda f: coordinator.assign_uniform_mixed(f.spark.sql("select * from values ('a', 'm1'), ('a', 'm2'), ('b', 'm1'), ('b', 'm2'), ('b', 'm3') as t(topic, member)"), f.spark.sql("select * from values ('a', 4L), ('b', 6L), ('c', 2L) as t(topic, n)"))
 )
-query("producer_lru", "select part, pid, off from (select part, pid, max(last_off) as off, row_number() over (partition by part order by max(last_off) desc, pid) as r from v_batch group by part, pid) t where r <= 3")(lambda f: coordinator.producer_lru(f.v_batch.select("part", "pid", F.col("last_off").alias("off")), 3))
+query(
+    "producer_lru",
+    """select part, pid, off from (select part, pid, max(last_off) as off, row_number() over (partition by part order by max(last_off) desc, pid) as r
+    from v_batch group by part, pid) t where r <= 3""",
+)(
+    lambda f: coordinator.producer_lru(f.v_batch.select("part", "pid", F.col("last_off").alias("off")), 3)
+)
 

@@ -190,6 +190,10 @@ def _verify(f):
     return recordbatch.verify_batches(recordbatch.encoded(f.v_log.select("part", "off", F.lit(0).cast("long").alias("ts_ms"), F.lit(None).cast("binary").alias("key"), F.encode("v", "UTF-8").alias("value")), 10)).withColumn("folder", F.concat(F.lit("p"), "part")).drop("part")
 
 
-query("union_ordered", "select event_id, user_id % 3 as first, len(list_distinct([user_id % 3, event_id % 3, user_id % 5])) as n from events")(
+query(
+    "union_ordered",
+    """select event_id, user_id % 3 as first, len(list_distinct([user_id % 3, event_id % 3, user_id % 5])) as n
+    from events""",
+)(
     lambda f: f.events.select("event_id", F.array_union(F.array((F.col("user_id") % 3)), F.array(F.col("event_id") % 3, F.col("user_id") % 5)).alias("u")).select("event_id", F.col("u")[0].alias("first"), F.size("u").alias("n"))
 )

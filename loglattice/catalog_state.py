@@ -183,7 +183,11 @@ def _gates(f):
 
 
 query("produce_gate", f"select event_id, {_GATE} as error from v_request_batch")(lambda f: _gates(f).select("event_id", "error"))
-query("sink_produce", f"select part, row_number() over (partition by part order by event_id) - 1 as off, event_id from v_request_batch where ({_GATE}) = 0")(
+query(
+    "sink_produce",
+    f"""select part, row_number() over (partition by part order by event_id) - 1 as off, event_id
+    from v_request_batch where ({_GATE}) = 0""",
+)(
     lambda f: tables.appended(f.spark.createDataFrame([], "part long, leo long"), _gates(f).where("error = 0").select("part", "event_id"), "event_id").select("part", "off", "event_id")
 )
 query("filter_partial_tail", "select part, batch_no from (select *, sum(size_bytes) over (partition by part order by base_off) as stop from v_batch) b where stop <= 4000")(
@@ -192,10 +196,18 @@ query("filter_partial_tail", "select part, batch_no from (select *, sum(size_byt
 
 # transactions and groups
 
-query("pending_markers", "select s.txn_id, p.topic, p.part, s.pid, s.epoch, s.state = 'PREPARE_COMMIT' as commit from v_txnstate s join v_txnpart p on p.txn_id = s.txn_id where s.state like 'PREPARE%'")(
+query(
+    "pending_markers",
+    """select s.txn_id, p.topic, p.part, s.pid, s.epoch, s.state = 'PREPARE_COMMIT' as commit
+    from v_txnstate s join v_txnpart p on p.txn_id = s.txn_id where s.state like 'PREPARE%'""",
+)(
     lambda f: txn.pending_markers(f.v_txnstate, f.v_txnpart)
 )
-query("producer_state", "select part, pid, batch_no // 40 as epoch, max(batch_no) as sequence, max_by(last_off, batch_no) as last_off from v_batch group by part, pid, batch_no // 40")(
+query(
+    "producer_state",
+    """select part, pid, batch_no // 40 as epoch, max(batch_no) as sequence, max_by(last_off, batch_no) as last_off
+    from v_batch group by part, pid, batch_no // 40""",
+)(
     lambda f: txn.producer_state(f.v_batch.select("part", "pid", F.floor(F.col("batch_no") / 40).alias("epoch"), F.col("batch_no").alias("sequence"), "last_off"))
 )
 query(
