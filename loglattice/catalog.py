@@ -198,13 +198,6 @@ query(
 )(
     lambda f: f.v_commit.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("part", "log_pos"))).where("r = 1").select("grp", "part")
 )
-query(
-    "member_topic_match",
-    """select t.topic, m.member from (values ('m1', 'a,b'), ('m2', 'b'), ('m3', 'c')) m(member, subs), (values ('a'), ('b')) t(topic)
-    where list_contains(string_split(subs, ','), topic)""",
-)(
-    lambda f: f.spark.sql("select * from values ('m1', 'a,b'), ('m2', 'b'), ('m3', 'c') as m(member, subs)").select("member", F.explode(F.split("subs", ",")).alias("topic")).join(f.spark.sql("select * from values ('a'), ('b') as t(topic)"), "topic", "left_semi").select("topic", "member")
-)
 
 # aggregations
 
@@ -282,13 +275,6 @@ query(
 )(
     lambda f: f.v_sample.groupBy("broker", "op").agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("w")).groupBy("op").agg(F.sum("n").alias("n"), F.nullif(F.max("w"), F.lit(0).cast("long")).alias("w"))
 )
-query(
-    "health_badge",
-    """select i as n, i % 3 as alive, case when i % 2 = 1 or i % 3 < floor(i / 2.0) + 1 then 'red' when i % 3 < i then 'yellow' else 'green' end as badge
-    from range(1, 8) t(i)""",
-)(
-    lambda f: metrics.health_badge(f.spark.range(1, 8).select(F.col("id").alias("n"), (F.col("id") % 3).alias("alive"), (F.col("id") % 2 != 1).alias("has_controller"))).select("n", "alive", "badge")
-)
 query(
     "replica_load",
     """select broker, count(*) as n from v_replica group by broker""",
@@ -361,25 +347,6 @@ query(
 )(
     lambda f: log.poll_max_records(f.v_log.select("part", "off"), 3500)
 )
-_MEMBERS = "select topic, member from (values ('t1', 'm1'), ('t1', 'm2'), ('t1', 'm3'), ('t1', 'm4'), ('t2', 'm1'), ('t2', 'm3')) as m(topic, member)"
-_PARTS = "select topic, cast(n as bigint) as n from (values ('t1', 9), ('t2', 1)) as p(topic, n)"
-query(
-    "assign_range",
-    f"""with m as ({_MEMBERS}), p as ({_PARTS}), s as (select m.topic, m.member, row_number() over (partition by m.topic order by member) - 1 as i, count(*) over (partition by m.topic) as c, n
-    from m join p on p.topic = m.topic) select topic, member, x as part
-    from s, range(100) t(x) where x < n and x >= i * (n // c) + least(i, n % c) and x < (i + 1) * (n // c) + least(i + 1, n % c)""",
-)(
-    lambda f: groups.assign_range(f.spark.sql(_MEMBERS), f.spark.sql(_PARTS))
-)
-query(
-    "assign_uniform",
-    f"""with m as (select distinct member from ({_MEMBERS}) a), p as ({_PARTS}), s as (select member, row_number() over (order by member) - 1 as i, count(*) over () as c
-    from m), t as (select topic, x as part, row_number() over (order by topic, x) - 1 as k
-    from p, range(100) r(x) where x < n) select t.topic, s.member, t.part
-    from t join s on t.k % s.c = s.i""",
-)(
-    lambda f: groups.assign_uniform(f.spark.sql(_MEMBERS), f.spark.sql(_PARTS))
-)
 query(
     "metric_delta_10m",
     """select broker, seq, latency_us - first_value(latency_us) over (partition by broker order by seq range between 600 preceding and current row) as delta
@@ -421,13 +388,6 @@ query(
 )(
     lambda f: replication.plan_reassignment(_PARTITION(f).withColumn("target", F.array(F.lit(1).cast("long"), F.lit(3).cast("long")))).select("part", "step", F.array_join(F.transform("after", lambda b: b.cast("string")), ",").alias("after"))
 )
-query(
-    "assignment_diff",
-    """select 't' as topic, 'm' as member, 1::bigint as part, 'revoked' as change
-    union all select 't', 'm', 3, 'added'""",
-)(
-    lambda f: groups.assignment_diff(f.spark.sql("select 't' topic, 'm' member, col part from (select explode(array(1L, 2L)))"), f.spark.sql("select 't' topic, 'm' member, col part from (select explode(array(2L, 3L)))"))
-)
 query(
     "fanout_union",
     """select broker, op from v_sample where broker = 1 union select broker, op
@@ -449,25 +409,6 @@ query(
 )(
     lambda f: f.v_segment.select("segment_base").distinct().withColumn("name", F.concat(F.lpad(F.col("segment_base").cast("string"), 20, "0"), F.lit(".log")))
 )
-query(
-    "duration_token",
-    """select t, case when regexp_matches(t, '^[0-9]+[smh]$') then (left(t, length(t) - 1))::bigint * case right(t, 1) when 's' then 1 when 'm' then 60 else 3600 end else 300 end::bigint as seconds
-    from (values ('30s'), ('5m'), ('1h'), ('x'), ('')) as d(t)""",
-)(
-    lambda f: f.spark.sql("select * from values ('30s'), ('5m'), ('1h'), ('x'), ('') as d(t)").withColumn("seconds", security.duration_seconds(F.col("t")).cast("long"))
-)
-query(
-    "host_port_parse",
-    """select t, split_part(t, ':', 1) as host, split_part(t, ':', 2) as port from (values ('a:1'), ('b.c:92')) as d(t)""",
-)(
-    lambda f: f.spark.sql("select * from values ('a:1'), ('b.c:92') as d(t)").withColumns({"host": F.substring_index("t", ":", 1), "port": F.substring_index("t", ":", -1)})
-)
-query(
-    "backoff_schedule",
-    """select i, least(50 * pow(2, i), 1000)::bigint as ms from range(8) t(i)""",
-)(
-    lambda f: f.spark.range(8).select(F.col("id").alias("i"), F.least(F.lit(50) * F.pow(F.lit(2), F.col("id")), F.lit(1000)).cast("long").alias("ms"))
-)
 query(
     "java_string_hash",
     """select distinct grp, (103 * 31 + ascii(right(grp, 1)))::bigint as h from v_commit""",
@@ -486,12 +427,6 @@ query(
 )(
     lambda f: f.events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))).alias("payload"))
 )
-query(
-    "config_merge",
-    """select 'a=1,b=3,c=4' as merged""",
-)(
-    lambda f: f.spark.sql("select map('a', '1', 'b', '2') x, map('b', '3', 'c', '4') y").select(F.array_join(F.transform(F.array_sort(F.map_entries(F.map_zip_with("x", "y", lambda k, a, b: F.coalesce(b, a)))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
-)
 
 # groups and streams in batch
 

@@ -53,12 +53,6 @@ query(
     lambda f: f.events.withColumn("x", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 5000).otherwise(F.col("event_id") * -5000)).select("event_id", binary.zigzag_column(F.col("x")).alias("zigzag"), binary.varint_size(F.col("x")).alias("size"))
 )
 query("crc32c")(lambda f: f.events.select("event_id", binary.crc32c_column(F.encode("props", "UTF-8")).alias("crc")))
-query(
-    "format_gate",
-    """select x as path, x % 4 as version, x % 4 <= 2 as opens from range(8) t(x)""",
-)(
-    lambda f: control.format_gate(f.spark.range(8).select(F.col("id").alias("path"), (F.col("id") % 4).alias("version")), 2)
-)
 
 
 def _appended(f):
@@ -104,12 +98,6 @@ query(
 )(
     lambda f: control.commit_guard(f.events.select("event_id", F.lit("g").alias("grp"), (F.col("user_id") % 10).alias("member"), (F.col("event_id") % 9).alias("epoch")), f.spark.range(7).select(F.lit("g").alias("grp"), F.col("id").alias("member"), F.col("id").alias("epoch"))).select("event_id", "error")
 )
-query(
-    "filter_internal_topics",
-    """select x as topic from range(9) t(x) where x % 3 <> 1""",
-)(
-    lambda f: control.visible_topics(f.spark.range(9).select(F.col("id").alias("topic"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("internal"))).select("topic")
-)
 query(
     "disk_headroom_low",
     """select broker, sum(bytes)::bigint as usable, sum(bytes) < 3000 as low from v_sample
@@ -117,13 +105,6 @@ query(
 )(
     lambda f: control.disk_headroom_low(f.v_sample.groupBy("broker").agg(F.sum("bytes").alias("usable")), 3000)
 )
-query(
-    "role_merge",
-    """select n as node, case when n % 4 = 3 then 'UNKNOWN' when n % 2 = 0 then 'LEADER' else 'FOLLOWER' end as role
-    from range(12) t(n)""",
-)(
-    lambda f: control.role_merge(f.spark.sql("select r.id responder, n.id node, case when n.id % 4 = 3 or r.id = 0 then 'UNKNOWN' when r.id = 2 then 'LATER' when n.id % 2 = 0 then 'LEADER' else 'FOLLOWER' end role from range(3) r, range(12) n"))
-)
 query(
     "recover_offline",
     """select part, min(broker) as leader, part + 1 as epoch from v_replica where in_isr and broker in (2, 3)
@@ -203,14 +184,6 @@ query(
 )(
     lambda f: coordinator.txn_timeout(f.v_txn.select((F.col("part") * 10 + F.col("pid")).alias("txn_id"), F.when(F.col("outcome") == "OPEN", "ONGOING").otherwise("COMPLETE").alias("state"), F.col("txn_no").alias("epoch"), F.col("last_off").alias("at_ms")), 5000, 100)
 )
-query(
-    "assign_uniform_mixed",
-    """select topic, part, case when topic = 'a' then 'm' || (part % 2 + 1) else 'm' || ((part + 2) % 3 + 1) end as member
-    from (select 'a' as topic, x as part from range(4) t(x) union all select 'b', x
-    from range(6) t(x)) p""",
-)(
-    lambda f: coordinator.assign_uniform_mixed(f.spark.sql("select * from values ('a', 'm1'), ('a', 'm2'), ('b', 'm1'), ('b', 'm2'), ('b', 'm3') as t(topic, member)"), f.spark.sql("select * from values ('a', 4L), ('b', 6L), ('c', 2L) as t(topic, n)"))
-)
 query(
     "producer_lru",
     """select part, pid, off from (select part, pid, max(last_off) as off, row_number() over (partition by part order by max(last_off) desc, pid) as r

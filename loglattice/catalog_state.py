@@ -402,3 +402,91 @@ def _lifecycle(f):
 # a member's two-step moves are the whole machine again in SQL: the test replays them in plain Python
 query("group_join_heartbeat_leave")(_lifecycle)
 query("static_membership")(lambda f: _lifecycle(f).where("outcome = 'rejoined'").select("grp", "seq", "member", "generation"))
+
+
+# assignment, tokens and small metadata
+
+query(
+    "assign_range",
+    """with s as (select m.topic, m.member, row_number() over (partition by m.topic order by member) - 1 as i, count(*) over (partition by m.topic) as c, n
+      from v_subscriber m join v_topic p on p.topic = m.topic)
+    select topic, member, x as part from s, range(100) t(x) where x < n and x >= i * (n // c) + least(i, n % c) and x < (i + 1) * (n // c) + least(i + 1, n % c)""",
+)(lambda f: groups.assign_range(f.v_subscriber, f.v_topic))
+query(
+    "assign_uniform",
+    """with m as (select distinct member from v_subscriber), s as (select member, row_number() over (order by member) - 1 as i, count(*) over () as c from m),
+    t as (select topic, x as part, row_number() over (order by topic, x) - 1 as k from v_topic, range(100) r(x) where x < n)
+    select t.topic, s.member, t.part from t join s on t.k % s.c = s.i""",
+)(lambda f: groups.assign_uniform(f.v_subscriber, f.v_topic))
+query(
+    "assign_uniform_mixed",
+    """with recursive p as materialized (select topic, x as part, row_number() over (order by topic, x) as k from v_topic, range(100) r(x) where x < n),
+    m as materialized (select member, row_number() over (order by member) - 1 as i, count(*) over () as c from (select distinct member from v_subscriber) d),
+    w as (select 0::bigint as k, 0::bigint as turn, ''::varchar as topic, 0::bigint as part, ''::varchar as member
+      union all select p.k, coalesce((b.i + 1) % b.c, w.turn), p.topic, p.part, coalesce(b.member, '')
+      from w join p on p.k = w.k + 1 left join lateral (select m.* from m join v_subscriber s on s.member = m.member and s.topic = p.topic
+        order by (m.i - w.turn + m.c) % m.c limit 1) b on true)
+    select topic, part, member from w where member <> ''""",
+)(lambda f: coordinator.assign_uniform_mixed(f.v_subscriber, f.v_topic))
+query("member_topic_match", "select distinct t.topic, m.member from v_topic t join v_subscriber m on m.topic = t.topic where t.n > 4")(
+    lambda f: groups.member_topic_match(f.v_subscriber.groupBy("member").agg(F.collect_set("topic").alias("topics")), f.v_topic.where("n > 4"))
+)
+query(
+    "assignment_diff",
+    """with a as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 40 as part from events where event_id % 3 <> 0),
+    b as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 40 as part from events where event_id % 3 <> 1)
+    select *, 'revoked' as change from (select * from a except select * from b) x union all select *, 'added' from (select * from b except select * from a) y""",
+)(lambda f: groups.assignment_diff(*(_owned(f).where(F.col("event_id") % 3 != k).drop("event_id").distinct() for k in (0, 1))))
+
+
+def _owned(f):
+    return f.events.select("event_id", F.lit("t").alias("topic"), F.concat(F.lit("m"), F.col("user_id") % 9).alias("member"), (F.col("event_id") % 40).alias("part"))
+
+
+_TOKEN = "case event_id % 7 when 0 then 'x' when 1 then '' when 2 then user_id || ' s' else user_id || substr('smhd', cast(event_id % 4 + 1 as int), 1) end"
+query(
+    "duration_token",
+    f"""select event_id, case when regexp_matches(t, '^[0-9]+[smh]$') then (left(t, length(t) - 1))::bigint * case right(t, 1) when 's' then 1 when 'm' then 60 else 3600 end
+      else 300 end::bigint as seconds from (select event_id, {_TOKEN} as t from events) d""",
+)(lambda f: f.events.selectExpr("event_id", f"{_TOKEN} as t").select("event_id", security.duration_seconds(F.col("t")).cast("long").alias("seconds")))
+query("host_port_parse", "select event_id, 'b' || user_id || '.' || event_type as host, event_id % 65536 as port from events")(
+    lambda f: f.events.select("event_id", security.host_port(F.format_string("b%d.%s:%d", "user_id", "event_type", F.col("event_id") % 65536))).select("event_id", "hp.host", "hp.port")
+)
+query("backoff_schedule", "select event_id, least(50 * pow(2, event_id % 12), 1000)::bigint as ms from events")(
+    lambda f: f.events.select("event_id", metrics.backoff_ms(F.col("event_id") % 12, 50, 1000).alias("ms"))
+)
+query(
+    "health_badge",
+    """select part, case when part % 3 = 2 or alive < floor(n / 2.0) + 1 then 'red' when alive < n then 'yellow' else 'green' end as badge
+    from (select part, count(*) as n, count(*) filter (where in_isr) as alive from v_replica group by part) c""",
+)(
+    lambda f: metrics.health_badge(f.v_replica.groupBy("part").agg(F.count("*").alias("n"), F.count_if("in_isr").alias("alive")).withColumn("has_controller", F.col("part") % 3 != 2)).select("part", "badge")
+)
+query(
+    "config_merge",
+    """select event_id, string_agg(k || '=' || v, ',' order by k) as merged from (
+      select event_id, 'a' as k, (user_id % 5)::varchar as v from events union all select event_id, 'b', case when event_id % 2 = 0 then 'own' else 'default' end from events
+      union all select event_id, 'c', 'own' from events where event_id % 3 = 0) x group by event_id""",
+)(
+    lambda f: f.events.select(
+        "event_id", F.create_map(F.lit("a"), (F.col("user_id") % 5).cast("string"), F.lit("b"), F.lit("default")).alias("x"),
+        F.map_filter(F.create_map(F.lit("b"), F.when(F.col("event_id") % 2 == 0, "own"), F.lit("c"), F.when(F.col("event_id") % 3 == 0, "own")), lambda k, v: v.isNotNull()).alias("y"),
+    ).select("event_id", security.merged_config("x", "y").alias("merged"))
+)
+query("filter_internal_topics", "select distinct topic from v_topic where n % 3 <> 1")(
+    lambda f: control.visible_topics(f.v_topic.select("topic", F.when(F.col("n") % 3 > 0, F.col("n") % 3 == 1).alias("internal"))).select("topic")
+)
+query("format_gate", "select broker as path, broker % 4 as version, broker % 4 <= 2 as opens from v_broker")(lambda f: control.format_gate(f.v_broker.select(F.col("broker").alias("path"), (F.col("broker") % 4).alias("version")), 2))
+query(
+    "role_merge",
+    """select node, coalesce(min_by(role, responder) filter (where role <> 'UNKNOWN'), 'UNKNOWN') as role from (
+      select distinct event_id % 3 as responder, user_id % 12 as node, case when user_id % 4 = 3 or event_id % 3 = 0 then 'UNKNOWN' when event_id % 3 = 2 then 'LATER'
+        when user_id % 2 = 0 then 'LEADER' else 'FOLLOWER' end as role from events) r group by node""",
+)(
+    lambda f: control.role_merge(
+        f.events.select(
+            (F.col("event_id") % 3).alias("responder"), (F.col("user_id") % 12).alias("node"),
+            F.when((F.col("user_id") % 4 == 3) | (F.col("event_id") % 3 == 0), "UNKNOWN").when(F.col("event_id") % 3 == 2, "LATER").when(F.col("user_id") % 2 == 0, "LEADER").otherwise("FOLLOWER").alias("role"),
+        ).distinct()
+    )
+)

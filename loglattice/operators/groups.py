@@ -95,3 +95,8 @@ def session_eviction(signs: DataFrame, now: DataFrame, timeout: int) -> DataFram
     following = F.lead("at").over(Window.partitionBy("grp", "member").orderBy("at"))
     rows = signs.withColumn("_next", following).join(F.broadcast(now))  # one row
     return rows.where(F.coalesce("_next", "now") - F.col("at") > timeout).select("grp", "member", "at")
+
+
+def member_topic_match(members: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, member) of members(member, topics) for the topics(topic) that exist."""
+    return members.select("member", F.explode("topics").alias("topic")).join(topics.select("topic").distinct(), "topic", "left_semi").select("topic", "member")

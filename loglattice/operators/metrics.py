@@ -74,3 +74,8 @@ def alert_rules(replicas: DataFrame, ends: DataFrame, offline: DataFrame, disks:
 def stalled(series: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """Rows of series(t, value, leo) whose value has not moved over the window although the log end lies beyond it."""
     return metric_delta(series, keys, seconds).where((F.col("delta") == 0) & (F.col("leo") > F.col("value")))
+
+
+def backoff_ms(attempt, first: int, most: int):
+    """Milliseconds before a retry: doubling from ``first`` up to ``most``."""
+    return F.least(F.lit(first) * F.pow(F.lit(2), attempt), F.lit(most)).cast("long")

@@ -72,3 +72,14 @@ def duration_seconds(text):
     n, unit = F.regexp_extract(text, r"^([0-9]+)([smh])$", 1), F.regexp_extract(text, r"^([0-9]+)([smh])$", 2)
     factor = F.when(unit == "s", 1).when(unit == "m", 60).otherwise(3600)
     return F.when(n == "", F.lit(300).cast("long")).otherwise(n.try_cast("long") * factor)
+
+
+def host_port(text):
+    """struct(host, port) named hp of host:port, split at the last colon; a port that is no number is null."""
+    return F.struct(F.regexp_extract(text, r"^(.*):[^:]*$", 1).alias("host"), F.substring_index(text, ":", -1).try_cast("long").alias("port")).alias("hp")
+
+
+def merged_config(defaults: str, own: str):
+    """key=value pairs of two maps in the order of their keys, ``own`` going before ``defaults``."""
+    both = F.map_zip_with(defaults, own, lambda k, a, b: F.coalesce(b, a))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(both)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")

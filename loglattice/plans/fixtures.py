@@ -31,12 +31,10 @@ VIEWS = {
          b.broker <= 2 or l.part % 2 = 0 as in_isr
        from (select part, max(off) + 1 as leo from v_log group by part) l
        cross join (values (cast(1 as bigint)), (cast(2 as bigint)), (cast(3 as bigint))) as b(broker)""",
-    "v_epoch": """select p.part, e.epoch, e.start_off + p.part * 10 as start_off from (select distinct part from v_log) p
-       cross join (values (cast(0 as bigint), cast(0 as bigint)), (cast(1 as bigint), cast(500 as bigint)),
-                          (cast(3 as bigint), cast(1500 as bigint))) as e(epoch, start_off)""",
+    "v_epoch": """select part, cast(floor(off / 60.0) as bigint) * 2 as epoch, off + part * 10 as start_off from v_log where off % 60 = 0""",
     "v_commit": """select concat('g', cast(event_id % 3 as varchar(9))) as grp, part, off as log_pos, ts,
          case when event_id % 41 = 0 then null else greatest(off - event_id % 7, 0) end as committed
-       from v_log where off % 50 = 0""",
+       from v_log""",
     "v_segment": """select part, cast(floor(off / 500.0) as bigint) * 500 as segment_base, max(off) + 1 as next_off,
          cast(sum(size_bytes) as bigint) as size_bytes, max(ts) as max_ts
        from v_log group by part, cast(floor(off / 500.0) as bigint) * 500""",
@@ -64,6 +62,9 @@ VIEWS = {
               else 100000 - broker * part * 2500 end as last_fetch,
          case when part = 0 then cast(95000 as bigint) when part = 3 then cast(80000 as bigint) else cast(null as bigint) end as first_seen
        from v_replica""",
+    "v_subscriber": """select distinct concat('t', cast(event_id % 5 as varchar(9))) as topic, concat('m', cast(user_id % 9 as varchar(9))) as member
+       from events where user_id % 9 <= event_id % 5 + 3""",
+    "v_topic": """select concat('t', cast(event_id % 5 as varchar(9))) as topic, cast(count(*) % 17 + event_id % 5 as bigint) as n from events group by event_id % 5""",
     "v_broker": """select broker, case broker % 4 when 0 then '' else concat('r', cast(broker % 4 as varchar(9))) end as rack, load,
          cast(row_number() over (order by broker * 5 % 9) as bigint) as seat
        from (select user_id % 9 + 1 as broker, count(*) as load from events group by user_id % 9 + 1) b""",
