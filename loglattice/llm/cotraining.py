@@ -204,7 +204,8 @@ def _train(rounds: int, features: int, handed: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, features: int = FEATURES, handed: int = HANDED) -> bytes | None:
-    """The fitted model; None without a labelled document.  Rows of one doc_id with different labels: the largest counts."""
+    """The fitted model; None without a labelled document.  Rows of one doc_id with different labels: the largest counts; of rows
+    that repeat a doc_id one is fitted on."""
     text = docs.select("doc_id", "text", "lang", "source").where("doc_id is not null and text is not null")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"), F.max("toxic").cast("long").alias("toxic"))
     ids = text.select("doc_id").distinct()
@@ -213,6 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     others = ids.join(known, "doc_id", "left_anti").withColumn("place", place).orderBy("place").limit(pool)
     sample = some.unionByName(others.withColumns({"quality": F.lit(None).cast("long"), "toxic": F.lit(None).cast("long")}))
     rows = text.join(F.broadcast(sample), "doc_id")  # at most labelled + pool ids
+    one = F.min_by(F.struct("text", "lang", "source"), F.xxhash64("text", "lang", "source")).alias("own")
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(one).select("doc_id", "own.text", "own.lang", "own.source", "quality", "toxic")
     kind = "doc_id long, lang long, source long, words binary, numbers binary, quality long, toxic long"
     sample_rows = rows.select("doc_id", "text", "lang", "source", "quality", "toxic").mapInArrow(_sample_rows, kind).withColumn("place", place)
     found = sample_rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_train(rounds, features, handed), "model binary").collect()  # one row

@@ -189,7 +189,9 @@ def _segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         if ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # rows that repeat a doc_id divide by where they were read
+    placed = docs.select("doc_id", "text", F.spark_partition_id().alias("read"))
+    ordered = placed.repartitionByRange(n, "doc_id", "read").sortWithinPartitions("doc_id").select("doc_id", "text")
     return ordered.mapInArrow(run, "part int, number int, tokens long, docs binary, counts binary, ids binary, width int")
 
 
