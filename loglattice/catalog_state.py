@@ -433,14 +433,14 @@ query("member_topic_match", "select distinct t.topic, m.member from v_topic t jo
 )
 query(
     "assignment_diff",
-    """with a as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 40 as part from events where event_id % 3 <> 0),
-    b as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 40 as part from events where event_id % 3 <> 1)
+    """with a as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 997 as part from events where event_id % 3 <> 0),
+    b as (select distinct 't' as topic, 'm' || user_id % 9 as member, event_id % 997 as part from events where event_id % 3 <> 1)
     select *, 'revoked' as change from (select * from a except select * from b) x union all select *, 'added' from (select * from b except select * from a) y""",
 )(lambda f: groups.assignment_diff(*(_owned(f).where(F.col("event_id") % 3 != k).drop("event_id").distinct() for k in (0, 1))))
 
 
 def _owned(f):
-    return f.events.select("event_id", F.lit("t").alias("topic"), F.concat(F.lit("m"), F.col("user_id") % 9).alias("member"), (F.col("event_id") % 40).alias("part"))
+    return f.events.select("event_id", F.lit("t").alias("topic"), F.concat(F.lit("m"), F.col("user_id") % 9).alias("member"), (F.col("event_id") % 997).alias("part"))
 
 
 _TOKEN = "case event_id % 7 when 0 then 'x' when 1 then '' when 2 then user_id || ' s' else user_id || substr('smhd', cast(event_id % 4 + 1 as int), 1) end"

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loglattice.functions.binary import crc32c, unzigzag, zigzag
+from loglattice.operators.stateful import replayed
 
 _HEAD = struct.Struct(">qiibI")
 _BODY = struct.Struct(">hiqqqhii")
@@ -116,20 +117,19 @@ def encoded_batches(log: DataFrame, zstd: bool = False) -> DataFrame:
 
     Rows of a producer make a transactional batch, a control row a batch of its own, which is never compressed.
     """
-    columns = ["ts_ms", "key", "value"]
-    more = [c for c in ("pid", "is_control") if c in log.columns]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("off")
-        records = [(t, k, v, []) for t, k, v in zip(*(table.column(c).to_pylist() for c in columns), strict=True)]
-        base, first = table.column("off")[0].as_py(), {c: table.column(c)[0].as_py() for c in more}
-        control, pid = bool(first.get("is_control")), first.get("pid") or 0
+    extra = {"pid": F.lit(0).cast("long"), "is_control": F.lit(False)}
+    rows = log.withColumns({c: value for c, value in extra.items() if c not in log.columns})
+    rows = rows.select(F.col("part").cast("long").alias("part"), "batch", "off", "ts_ms", "key", "value", "pid", "is_control")
+
+    def sealed(found):
+        own = list(found)
+        base, _, _, _, pid, control = own[0]
+        pid, control = pid or 0, bool(control)
         flags = CONTROL if control else TRANSACTIONAL if pid > 0 else 0
-        data = encode(base, records, producer=(pid, 0, 0) if pid > 0 else (-1, -1, -1), flags=flags, zstd=zstd and not control)
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int64()), "base_off": pa.array([base], pa.int64()), "data": pa.array([data], pa.binary())})
+        records = [(ts, key, value, []) for _, ts, key, value, _, _ in own]
+        yield base, encode(base, records, producer=(pid, 0, 0) if pid > 0 else (-1, -1, -1), flags=flags, zstd=zstd and not control)
 
-    rows = log.select("part", "batch", "off", *columns, *more)
-    return rows.groupBy("part", "batch").applyInArrow(run, "part long, base_off long, data binary")
+    return replayed(rows, ["part", "batch"], ["off"], rows.columns[2:], sealed, "base_off long, data binary").drop("batch")
 
 
 def decoded(batches: DataFrame) -> DataFrame:
@@ -141,13 +141,18 @@ def decoded(batches: DataFrame) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(kind))
 
     def run(tables):
+        rows: list[dict] = []
         for table in tables:
             for part, data in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
                 found = decode(data)
                 if found is None:
                     raise ValueError("partial batch")
-                rows = [{"part": part, "base_off": r["base_offset"], "producer_id": max(0, r["producer_id"])} | {c: r[c] for c in ("off", "ts_ms", "key", "value", "is_control")} for r in found[0]]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows += [{"part": part, "base_off": r["base_offset"], "producer_id": max(0, r["producer_id"])} | {c: r[c] for c in ("off", "ts_ms", "key", "value", "is_control")} for r in found[0]]
+                if len(rows) >= 8_192:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return batches.select("part", "data").mapInArrow(run, kind)
 

@@ -131,7 +131,7 @@ def test_crc32c_of_any_length():
 
     pick = random.Random(1)
     values = [pick.randbytes(n) for n in (0, 1, 3, 4, 63, 64, 65, 127, 128, 129, 1000, 0)]
-    assert crc32c_many(values) == [plain(v) for v in values] and crc32c(b"123456789") == 0xE3069283 and crc32c_many([]) == []
+    assert crc32c_many(values) == [plain(v) for v in values] == [crc32c(v) for v in values] and crc32c(b"q" * 9000) == plain(b"q" * 9000) and crc32c(b"123456789") == 0xE3069283 and crc32c_many([]) == []
 
 
 # one batch built by hand from the documented layout: base offset 5, epoch 2, one record, key "k", value "v"
