@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm._store import drop, join_classes, sifted, stored
-from loglattice.llm._words import blocks
+from loglattice.llm._words import blocks, trim
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -253,25 +253,27 @@ def redact(docs: DataFrame) -> DataFrame:
     whole, place = cannot.select("row.*"), names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
+    def changed(text: str, found: list[dict]) -> str:
+        parts, at = [], 0
+        for span in sorted(found, key=lambda s: (s["start"], s["stop"], s["kind"])):
+            if span["start"] >= at:
+                parts += [text[at : span["start"]], f"[{span['kind'].upper()}]"]
+            at = max(at, span["stop"])
+        return "".join([*parts, text[at:]])
+
     def run(batches):
-        for batch in batches:
-            columns = batch.column(0).flatten()
-            texts, found = columns[place].to_pylist(), batch.column(1).to_pylist()
-            sizes = columns[count].to_pylist() if count is not None else []
-            for i, own in enumerate(found):
-                if not own:
-                    continue
-                text, parts, at = texts[i], [], 0
-                for span in sorted(own, key=lambda s: (s["start"], s["stop"], s["kind"])):
-                    if span["start"] >= at:
-                        parts += [text[at : span["start"]], f"[{span['kind'].upper()}]"]
-                    at = max(at, span["stop"])
-                texts[i] = "".join([*parts, text[at:]])
+        for whole_batch in batches:
+            for first in range(0, len(whole_batch), 2_000):  # few texts at once
+                batch = whole_batch.slice(first, 2_000)
+                columns, found = batch.column(0).flatten(), batch.column(1).to_pylist()
+                rows = [i for i, own in enumerate(found) if own]
+                mask = np.zeros(len(batch), bool)
+                mask[rows] = True
+                texts = [changed(columns[place][i].as_py(), found[i]) for i in rows]
+                columns[place] = pc.replace_with_mask(columns[place], pa.array(mask), pa.array(texts, columns[place].type))
                 if count is not None:
-                    sizes[i] = len(texts[i])
-            columns[place] = pa.array(texts, columns[place].type)
-            if count is not None:
-                columns[count] = pa.array(sizes, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns[count] = pc.replace_with_mask(columns[count], pa.array(mask), pa.array([len(t) for t in texts], columns[count].type))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     return whole.unionByName(met.mapInArrow(run, docs.schema)).select(*(F.col(f"`{c}`") for c in names))
