@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loglattice.llm._words import SPACE, blocks, word_hashes, word_spans
+from loglattice.llm._words import SPACE, blocks, trim, word_hashes, word_spans
 
 CACHE_WORDS = 600_000  # words a worker keeps, about 35 MB, and half as many parts of unseen words, about 70 MB
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*#%$&]*)\n|([^\n]+)\n")
@@ -124,6 +124,13 @@ def encoder(path: str) -> WordEncoder:
     return _workers[path]
 
 
+def forget() -> None:
+    """Give back what encoders keep in this worker, which outlives the stages that read them; the next use builds one anew."""
+    if _workers:
+        _workers.clear()
+        trim()
+
+
 def token_batches(path: str, ids: pa.Array, texts: pa.Array, most: int = 2 << 20):
     """(doc ids, ids of each text as an integer array) for consecutive rows of about ``most`` bytes; null text: empty."""
     own = encoder(path)

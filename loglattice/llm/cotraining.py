@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.llm import _tokens
 from loglattice.llm._words import blocks, word_hashes
 
 LABELLED = 8_000
@@ -28,6 +29,7 @@ FEATURES = 600  # of the text view, a target
 CONFIDENT = 0.97
 PROVEN = 0.98  # held-out precision a view needs to teach the other
 HANDED = 200  # pool rows a view hands over, a class and round
+OFTEN = 5  # labelled rows that must hold a word of the text view
 BINS = 16
 _HASHED = 64  # buckets of languages and of sources
 TARGETS = ("quality", "toxic")
@@ -76,14 +78,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _parts(rows, most: int = 1_024):
+    """Consecutive rows, few at once; at least one part."""
+    return [rows[at : at + most] for at in range(0, max(1, len(rows)), most)]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, ridge: float = 2.0) -> np.ndarray:
-    """Weights and a last bias by accelerated gradient descent on the ridge-penalised mean log loss."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1, dtype=np.float32)
+    """A weight a column of x, float32 with ones in the last one, by accelerated gradient descent on the ridge-penalised
+    mean log loss."""
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     across = np.ascontiguousarray(x.T)
     penalty = np.full(x.shape[1], ridge / max(weight.sum(), 1.0), np.float32)
     penalty[-1] = 0
-    rate = 1 / (0.25 * float((weight * (x * x).sum(1)).sum() / max(weight.sum(), 1e-9)) + penalty.max() + 1e-9)
+    squares = np.concatenate([(part * part).sum(1) for part in _parts(x)])
+    rate = 1 / (0.25 * float((weight * squares).sum() / max(weight.sum(), 1e-9)) + penalty.max() + 1e-9)
     rate = np.float32(rate)
     beta = look = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
@@ -96,6 +104,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
 
 def _sample_rows(batches):
     """Features of the sampled documents."""
+    _tokens.forget()
     for batch in batches:
         for at, offsets, data in blocks(batch.column("text"), 1 << 20):
             rows = len(offsets) - 1
@@ -114,7 +123,8 @@ def _sample_rows(batches):
 
 
 def _meta_matrix(numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(numbers), NUMBERS * BINS + 2 * _HASHED), np.float32)
+    out = np.zeros((len(numbers), NUMBERS * BINS + 2 * _HASHED + 1), np.float32)
+    out[:, -1] = 1
     row = np.arange(len(numbers))
     for j in range(NUMBERS):
         out[row, j * BINS + np.searchsorted(edges[j], numbers[:, j], "right")] = 1
@@ -123,6 +133,33 @@ def _meta_matrix(numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, edge
     return out
 
 
+def _common(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values that at least OFTEN rows hold, ascending, and the row and value number of each of their occurrences).
+
+    A sample holds millions of words, most of them in one row only: those are never numbered, and rows are looked up few
+    at once.
+    """
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    flat.sort()
+    values = flat[np.flatnonzero(flat[OFTEN - 1 :] == flat[: max(0, len(flat) - OFTEN + 1)])]  # a row holds a word once
+    del flat
+    values = values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+    owner, place = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    if len(values):
+        for at, part in zip(range(0, len(words), 1_024), _parts(words), strict=True):
+            own = np.concatenate(part)
+            found = np.searchsorted(values, own)
+            found[found == len(values)] = 0
+            hit = values[found] == own
+            owner.append(np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(w) for w in part])[hit])
+            place.append(found[hit].astype(np.int32))
+    return values, np.concatenate(owner), np.concatenate(place)
+
+
+def _logits(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return np.concatenate([part @ beta for part in _parts(x)])
+
+
 def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source: np.ndarray, labels: dict[str, np.ndarray], rounds: int = ROUNDS, features: int = FEATURES, handed: int = HANDED) -> dict[str, np.ndarray]:
     """The model's arrays; labels hold 0, 1 or -1 (pool).  A target with one class only gets its constant.
 
@@ -132,9 +169,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
     edges = np.stack([np.quantile(numbers[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(NUMBERS)]) if len(numbers) else np.zeros((NUMBERS, BINS - 1))
     model["edges"] = edges
     meta = _meta_matrix(numbers, lang, source, edges)
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    values, place = np.unique(flat, return_inverse=True)
+    values, owner, place = _common(words)
     fold = np.arange(len(words)) % 4 == 3  # held out, rows being in hash order
     for target in TARGETS:
         y = labels[target]
@@ -143,25 +178,26 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
         positive = float((y[known] == 1).mean()) if known.any() else float(target == "quality")
         model[f"{target}_prior"] = np.array([positive])
         model[f"{target}_vocabulary"], model[f"{target}_text"] = np.zeros(0, np.uint64), np.zeros(1)
-        model[f"{target}_meta"], model[f"{target}_join"] = np.zeros(meta.shape[1] + 1), np.zeros(3)
+        model[f"{target}_meta"], model[f"{target}_join"] = np.zeros(meta.shape[1]), np.zeros(3)
         model[f"{target}_handed"] = np.zeros((2, 2), np.int64)
         if len(set(y[train].tolist())) < 2 or len(set(y[held].tolist())) < 2:
             model[f"{target}_join"][2] = 30.0 if positive >= 0.5 else -30.0
             continue
-        side = train[owner]
-        pos = np.bincount(place[side & (y[owner] == 1)], minlength=len(values))
-        neg = np.bincount(place[side & (y[owner] == 0)], minlength=len(values))
+        pos = np.bincount(place[(train & (y == 1))[owner]], minlength=len(values))
+        neg = np.bincount(place[(train & (y == 0))[owner]], minlength=len(values))
         p, n = (y[train] == 1).sum(), (y[train] == 0).sum()
         expected = (pos + neg) * (p / (p + n))
         gain = np.abs(np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n + 1))) * np.sqrt(np.abs(pos - expected))
-        gain[pos + neg < 5] = 0
+        gain[pos + neg < OFTEN] = 0
         best = np.sort(np.argsort(-gain, kind="stable")[:features])
         best = best[gain[best] > 0]
-        index = np.full(len(values), -1)
+        index = np.full(len(values), -1, np.int32)
         index[best] = np.arange(len(best))
-        text = np.zeros((len(words), len(best)), np.float32)
-        used = index[place] >= 0
+        text = views = None  # the last target's go first
+        text = np.zeros((len(words), len(best) + 1), np.float32)
+        used = np.flatnonzero(index[place] >= 0)
         text[owner[used], index[place[used]]] = 1
+        text[:, -1] = 1
         views = {"text": text, "meta": meta}
         truth = {v: np.where(train, y, -1) for v in views}
         weight = {v: train.astype(float) for v in views}
@@ -173,7 +209,7 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
             if turn == rounds:
                 break
             for v, other in (("text", "meta"), ("meta", "text")):
-                chance = _sigmoid(views[v] @ betas[v][:-1] + betas[v][-1])
+                chance = _sigmoid(_logits(views[v], betas[v]))
                 for value, sure in ((1, chance >= CONFIDENT), (0, chance <= 1 - CONFIDENT)):
                     proof = held & sure
                     if proof.sum() < 20 or (y[proof] == value).mean() < PROVEN:
@@ -182,8 +218,9 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
                     taken = free[np.argsort(-np.abs(chance[free] - 0.5), kind="stable")[:handed]]
                     truth[other][taken], weight[other][taken] = value, 0.5
                     model[f"{target}_handed"][int(v == "meta"), value] += len(taken)
-        logits = np.stack([views[v] @ betas[v][:-1] + betas[v][-1] for v in ("text", "meta")], 1)
-        joint = fit_logistic(np.clip(logits[held], -20, 20), y[held].astype(float), np.ones(held.sum()), steps=2000, ridge=0.5)
+        logits = np.stack([_logits(views[v][held], betas[v]) for v in ("text", "meta")], 1)
+        both = np.concatenate([np.clip(logits, -20, 20), np.ones((len(logits), 1))], 1, dtype=np.float32)
+        joint = fit_logistic(both, y[held].astype(float), np.ones(held.sum()), steps=2000, ridge=0.5)
         model[f"{target}_vocabulary"], model[f"{target}_text"] = values[best], betas["text"]
         model[f"{target}_meta"], model[f"{target}_join"] = betas["meta"], joint
     return model
@@ -191,9 +228,11 @@ def fit(words: list[np.ndarray], numbers: np.ndarray, lang: np.ndarray, source:
 
 def _train(rounds: int, features: int, handed: int):
     def run(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        _tokens.forget()
         order = np.argsort(table.column("place").to_numpy(), kind="stable")
-        table, words = table.take(pa.array(order)), [words[i] for i in order]
+        words = [np.frombuffer(w.as_buffer(), np.uint64) for chunk in table.column("words").chunks for w in chunk]  # where Arrow holds them
+        words = [words[i] for i in order]
+        table = table.drop_columns("words").take(pa.array(order))
         numbers = np.array([np.frombuffer(x, np.float64) for x in table.column("numbers").to_pylist()])
         labels = {t: np.array([-1 if v is None else int(v > 0) for v in table.column(t).to_pylist()]) for t in TARGETS}
         out = io.BytesIO()
@@ -252,6 +291,7 @@ class Scorer:
 
 
 def _scored(batches, scorer: Scorer):
+    _tokens.forget()
     for batch in batches:
         lang, source = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
         for at, offsets, data in blocks(batch.column("text"), 1 << 20):

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loglattice.llm import cotraining, html_text, jaccard_join, matroska, mixing, packing, pii, substrings, tokens_rans, vectors
+from loglattice.llm import _tokens, cotraining, html_text, jaccard_join, matroska, mixing, packing, pii, substrings, tokens_rans, vectors
 from loglattice.llm.queries import _tokenizer
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, key long, block string, start long, length long, x long, p long, kind string, spans string, text_hash long, probability double, weight double, selected boolean, _tokens long, part int, removed string, n long"
@@ -211,6 +213,33 @@ def test_quality_learns(spark):
     assert sum(r["keep"] == (r["doc_id"] % 5 != 0 and r["doc_id"] % 7 != 0) for r in held) >= 0.97 * len(held)
 
 
+def test_quality_fits_in_little_memory():
+    """Words of single rows, most of a corpus, cost the fit little beyond themselves, and leave the vocabulary as it is."""
+    rows, rng = 2_000, np.random.default_rng(0)
+    common = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    few = np.sort(rng.integers(0, 1 << 63, 30, dtype=np.uint64))
+    good = np.arange(rows) // 4 % 2
+    words = [np.unique(np.concatenate([common[rng.random(40) < np.where(np.arange(40) < 20, 0.2 + 0.6 * good[i], 0.5)], few[i // 4 : i // 4 + 1], rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)])) for i in range(rows)]
+    labels = {"quality": np.where(np.arange(rows) % 5 == 4, -1, good), "toxic": np.zeros(rows, np.int64)}
+    tracemalloc.start()
+    model = cotraining.fit(words, rng.random((rows, cotraining.NUMBERS)), np.zeros(rows, np.int64), np.zeros(rows, np.int64), labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * sum(w.nbytes for w in words)
+    assert set(common[:20].tolist()) <= set(model["quality_vocabulary"].tolist()) <= set(common.tolist())
+
+
+def test_quality_gives_back_tokenisers():
+    """A worker that tokenised before keeps nothing of it while it reads, fits and scores."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"], "lang": ["en"], "source": ["s"], "quality": [1], "toxic": [0]})
+    sample = pa.Table.from_batches(cotraining._sample_rows([batch])).append_column("place", pa.array([0]))
+    for use in (lambda: list(cotraining._sample_rows([batch])), lambda: cotraining._train(1, 10, 10)(sample), lambda: list(cotraining._scored([batch], cotraining.Scorer(None)))):
+        list(_tokens.token_batches(_tokenizer(), batch.column(0), batch.column(1)))
+        assert _tokens._workers
+        use()
+        assert not _tokens._workers
+
+
 def test_pages(spark):
     page = '<html><body><nav>menu</nav><div class="ad x">buy</div><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three<script>x("</p>")</script></p><div class="comments"><p>no</p></div></article><footer>f</footer></body></html>'
     rows = [(1, "http://h.x/1", page), (1, "http://h.x/1", page), (2, None, None), (3, "http://h.x/2", ""), (4, "://", "plain <p>words"), (5, "http://y/", "<!-- <p>no</p> -->"), (6, "http://h.x/3", "<p>alone</p>")]
