@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)  # ids that only end a word
+        if mark:
+            self.last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(mark)]] = True
         self.parts: dict[str, bytes] = {}
         self.words = pa.array([], pa.large_binary())
         self.keys = np.zeros(0, np.uint64)  # sorted hashes, which of words each is, where in flat its ids begin and how many they are
@@ -42,16 +47,22 @@ class WordEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """As _encode, for strings that are one word to the tokenizer each: many in one call, told apart by word number."""
+        """As _encode, for strings that are one word to the tokenizer each: many in one call, told apart by the
+        ids that end a word, or by word number where a tokenizer has none."""
         out: list[bytes] = []
         for at in range(0, len(parts), 2_000):
             some = parts[at : at + 2_000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64))) + 1
+            if self.last.any():
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+                cuts = np.flatnonzero(self.last[ids[:-1]]) + 1
+            else:
+                found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(found.ids, self.dtype)
+                cuts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64))) + 1
             if len(cuts) + 1 != len(some):  # a tokenizer that splits them otherwise
                 out += self._encode(some)
                 continue
-            body = np.array(found.ids, self.dtype).tobytes()
+            body = ids.tobytes()
             ends = [*(cuts * self.dtype.itemsize).tolist(), len(body)]
             out += [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
@@ -60,7 +71,8 @@ class WordEncoder:
         """Ids of words; a plain Latin word with plain punctuation behind is its letters' ids and the punctuation's."""
         parts = self.parts
         if len(parts) > CACHE_WORDS // 2:
-            parts.clear()
+            for part in list(islice(parts, len(parts) // 2)):  # the older half
+                del parts[part]
         split = _PLAIN.findall(b"\n".join([*words, b""]).decode().lower())
         need = list({part for stem, tail, _ in split for part in (stem, tail)}.difference(parts, ("",)))
         parts.update(zip(need, self._encode_parts(need), strict=True))

@@ -229,6 +229,23 @@ def test_quality_fits_in_little_memory():
     assert set(common[:20].tolist()) <= set(model["quality_vocabulary"].tolist()) <= set(common.tolist())
 
 
+def test_token_parts_are_cut_by_their_ids_and_kept(monkeypatch):
+    """Unseen parts are told apart by their ids alone, whatever the tokenizer; when their cache is full the newer half stays."""
+    parts = [*passage(5, 3_000).split(), "wörter", "ñandú", "...", "?!", "x" * 300]
+    own = _tokens.WordEncoder(_tokenizer())
+    alone = own._encode(parts)
+    assert own.last.any() and own._encode_parts(parts) == alone
+    own.last[:] = False
+    assert own._encode_parts(parts) == alone
+    monkeypatch.setattr(_tokens, "CACHE_WORDS", 20)
+    own, asked = _tokens.WordEncoder(_tokenizer()), []
+    monkeypatch.setattr(own, "_encode_parts", lambda some: asked.extend(some) or own._encode(some))
+    for word in "abcdefghijkl":
+        own._learn([word.encode()])
+    asked.clear()
+    assert own._learn([b"l", b"k", b"z"]) == own._encode(["l", "k", "z"]) and asked == ["z"]
+
+
 def test_quality_gives_back_tokenisers():
     """A worker that tokenised before keeps nothing of it while it reads, fits and scores."""
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"], "lang": ["en"], "source": ["s"], "quality": [1], "toxic": [0]})
