@@ -6,8 +6,9 @@ the rate that meets the token budget with probabilities of at most 1, and a docu
 below its probability.
 
 Texts are read once: what they hold is stored beside the rows.  Sums over all cells are aggregates of one row; a sum by
-dimension is a window over the cells of one value, never over documents.  Documents meet their cells by a broadcast of at
-most ``MOST_CELLS`` rows, beyond it by join_classes.
+dimension is a window over the cells of one value, never over documents.  Up to ``FEW_CELLS`` cells are raked in one task,
+so that the windows need no exchange; more are dealt anew for each window, in plans of one sweep, since the driver holds
+all stages of a plan.  Documents meet their cells by a broadcast of at most ``MOST_CELLS`` rows, beyond it by join_classes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.llm._store import join_classes, stored
+from loglattice.llm._store import drop, join_classes, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
@@ -23,6 +24,7 @@ EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.7}  # a marginal's target is
 BUDGET = 0.5  # expected tokens kept, as a share of all
 SWEEPS = 12
 RATE_STEPS = 6
+FEW_CELLS = 10_000  # raked in one task
 MOST_CELLS = 100_000  # broadcast, about 10 MB
 
 
@@ -44,14 +46,17 @@ def described(docs: DataFrame, *dropped: str) -> DataFrame:
     return out.withColumns({"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": F.coalesce(topic, F.lit(""))}).drop(*dropped)
 
 
-def raked(cells: DataFrame, exponents: dict[str, float] | None = None, shares: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+def raked(cells: DataFrame, exponents: dict[str, float] | None = None, shares: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, few: int = FEW_CELLS) -> DataFrame:
     """cells(_source, _lang, _topic, n, ...) with weight per token and probability.
 
     shares: explicit target shares by dimension and value (values not named get none); else tempered token shares.
+    few: the most cells that one task rakes; the results are the same either way.
     """
     exponents = exponents or EXPONENTS
-    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    total, count = cells.agg(F.sum("n"), F.count("*")).first()
+    total, alone = float(total or 0), count <= few
     out = cells.withColumns({"n": F.col("n").cast("double"), "_w": F.col("n").cast("double")})
+    out = out.repartition(1) if alone else out
     for d in DIMENSIONS:
         sums = cells.groupBy(f"_{d}").agg((F.sum("n").cast("double") / total if total else F.lit(0.0)).alias("share"))
         if shares and d in shares:
@@ -62,13 +67,19 @@ def raked(cells: DataFrame, exponents: dict[str, float] | None = None, shares: d
         whole = float(sums.agg(F.sum(target)).first()[0] or 0)
         share = F.sum("n").over(Window.partitionBy(f"_{d}")) / F.lit(total or 1.0)
         out = out.withColumn("share", share).withColumn(f"_t_{d}", F.lit(total) * target / F.lit(whole or 1.0)).drop("share")
+    before = None
     for k in range(sweeps):
-        if k and k % SWEEPS == 0:  # a plan of bounded depth
-            out = stored(out, "sweeps")
+        if k % (SWEEPS if alone else 1) == 0 and (k or not alone):  # a plan of bounded depth
+            now = stored(out, "sweeps")
+            if before is not None:
+                drop(before)
+            before, out = now, now.repartition(1) if alone else now
         for d in DIMENSIONS:
             held = F.sum("_w").over(Window.partitionBy(f"_{d}"))
             out = out.withColumn("_w", F.when(held > 0, F.col("_w") * F.col(f"_t_{d}") / held).otherwise(0.0))
     out = stored(out.withColumn("weight", F.when(F.col("n") > 0, F.col("_w") / F.col("n")).otherwise(0.0)), "raked")
+    if before is not None:
+        drop(before)
     rate = float(budget)
     for _ in range(RATE_STEPS):
         full = F.col("weight") * rate >= 1

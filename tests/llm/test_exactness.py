@@ -224,6 +224,25 @@ def test_raked_marginals_and_budget(spark):
         mixing.MOST_CELLS = before
 
 
+def test_raking_plans_of_few_stages(spark):
+    """One sweep's windows at most are dealt anew in a plan, and none where one task rakes; both give the same weights."""
+    cells = spark.range(600).selectExpr("concat('s', id % 20) as _source", "concat('l', id % 3) as _lang", "concat('t', id div 60) as _topic", "(id * 7919) % 1000 as n")
+    cells = cells.groupBy("_source", "_lang", "_topic").agg(F.sum("n").alias("n"))
+    tracker, found = spark.sparkContext.statusTracker(), {}
+    for name, options in (("alone", {}), ("dealt", {"few": 0})):
+        spark.sparkContext.setJobGroup(f"raking {name}", name)
+        try:
+            out = mixing.raked(cells, **options).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup(f"raking {name}")]
+        assert jobs and max(len(job.stageIds) for job in jobs) <= 3 + len(mixing.DIMENSIONS)
+        found[name] = {(r["_source"], r["_lang"], r["_topic"]): (r["weight"], r["probability"]) for r in out}
+    assert found["alone"].keys() == found["dealt"].keys() and len(found["alone"]) == 600
+    for cell, values in found["alone"].items():
+        assert values == pytest.approx(found["dealt"][cell], rel=1e-9)
+
+
 def test_views_exchange_labels(spark):
     import io
 
