@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,21 +82,31 @@ def through_csv(rows: DataFrame) -> DataFrame:
 
 
 def transact(spark: SparkSession, path: str, number: int, frames: dict[str, DataFrame], commit: bool = True) -> None:
-    """Write transaction ``number``: every frame into its own folder, then, only to commit, its marker.
+    """Write transaction ``number``: every frame, then, only to commit, its marker; see transact_many().
 
     Readers go by markers, so an aborted or cut-off transaction is never seen, all frames of one appear at once, and a
     repeated number replaces itself: records and the offsets they came from commit together.
     """
+    txn = spark.range(number, number + 1).toDF("txn")
+    transact_many(path, {name: frame.withColumn("txn", F.lit(number).cast("long")) for name, frame in frames.items()}, txn if commit else txn.limit(0))
+
+
+def transact_many(path: str, frames: dict[str, DataFrame], commits: DataFrame) -> None:
+    """Write many transactions at once: frames hold each row's ``txn``, commits(txn) the numbers to commit.
+
+    A write is one job a frame and one for the markers, however many transactions it holds.  It has folders of its own,
+    which its markers name, so what an earlier write committed is seen until a marker of a later one replaces it.
+    """
+    write = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{name}/txn={number}")
-    if commit:
-        spark.range(number, number + 1).select(F.col("id").alias("txn")).coalesce(1).write.mode("overwrite").parquet(f"{path}/committed/at={number}")
+        frame.write.parquet(f"{path}/{name}/write={write}")
+    commits.select("txn").distinct().write.parquet(f"{path}/committed/write={write}")
 
 
 def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The rows of ``name`` in all committed transactions, with their transaction's number."""
-    markers = spark.read.parquet(f"{path}/committed").select("txn")
-    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").join(F.broadcast(markers), "txn")  # a row a transaction
+    """The rows of ``name`` in all committed transactions, each as last committed, with their transaction's number."""
+    markers = spark.read.parquet(f"{path}/committed").groupBy("txn").agg(F.max("write").alias("write"))
+    return spark.read.parquet(f"{path}/{name}").join(markers, ["txn", "write"]).drop("write")
 
 
 def retried(rows: DataFrame, failure: Column, tries: int) -> tuple[DataFrame, DataFrame]:

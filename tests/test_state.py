@@ -186,6 +186,28 @@ def test_transactions_appear_whole_or_not_at_all(spark, tmp_path):
     assert tables.committed(spark, path, "rows").count() == 2 and tables.committed(spark, path, "offsets").count() == 3
 
 
+def test_many_transactions_are_one_write(spark, tmp_path):
+    path, table = str(tmp_path / "t"), spark.range(1_000).select("id", F.expr("id div 10").alias("txn"))
+    tables.transact_many(path, {"rows": table}, table.where("txn % 3 <> 1"))
+    assert rows(tables.committed(spark, path, "rows"), "id", "txn") == rows(table.where("txn % 3 <> 1"), "id", "txn")
+    tables.transact(spark, path, 3, {"rows": spark.range(2)})  # replaces the third
+    tables.transact(spark, path, 6, {"rows": spark.range(2)}, commit=False)  # the sixth stays as it was committed
+    assert rows(tables.committed(spark, path, "rows").where("txn in (3, 6)"), "txn", "id") == sorted([(3, 0), (3, 1), *((6, i) for i in range(60, 70))], key=str)
+    tables.transact(spark, str(tmp_path / "u"), 0, {"rows": spark.range(2)}, commit=False)
+    assert tables.committed(spark, str(tmp_path / "u"), "rows").count() == 0
+
+
+def test_jobs_of_transactions_do_not_grow_with_their_number(spark, tmp_path):
+    def jobs_of(n):
+        spark.range(n).selectExpr("id as event_id", "id % 9 as user_id").coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+        got = catalog.queries()["sink_transactional"](spark, f"{tmp_path}/{n}")
+        assert rows(got, "event_id", "txn") == sorted(((i, i // 400) for i in range(n) if i // 400 % 3 != 1), key=str)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+
+    assert jobs_of(12_000) <= jobs_of(1_000) + 2
+
+
 def test_pipeline_commits_rows_with_their_offsets(spark, tmp_path):
     kind = "part long, off long"
     for k in range(3):
