@@ -130,7 +130,9 @@ def _seek(f):
 def _idempotent_dedup(f):
     """Sequences of five interleaved producers never continue one another, so all but the first are out of order."""
     rows = jobs.events_stream(f.spark, f.dir, f.events.schema).select((F.col("user_id") % 4).alias("part"), (F.col("event_id") % 5).alias("pid"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("n"))
-    return jobs.collected(jobs.dedup_stream(rows), "append")
+    path = tables.shared_folder(f.spark, "dedup")
+    jobs.dedup_sink(rows, path, tables.shared_folder(f.spark, "state")).awaitTermination()
+    return f.spark.read.parquet(path).select("part", "pid", "seq", "n", "verdict")
 
 
 @query("stream_sessions", "select min(ts) as start, user_id, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when ts > lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 1 else 0 end as fresh from events) a) b group by user_id, session")

@@ -221,6 +221,34 @@ def test_pipeline_commits_rows_with_their_offsets(spark, tmp_path):
     assert rows(jobs.committed_positions(spark, str(tmp_path / "out")).select("grp", "part"), "grp", "part") == [("g", 0)]
 
 
+def test_sequences_of_a_key_are_judged_in_order_over_frames_and_files(spark, tmp_path):
+    kind = "part long, pid long, seq long, n long"
+    falling = spark.range(0, 25_000, 1, 1).select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("pid"), (2 * (25_000 - F.col("id"))).alias("seq"), F.lit(1).cast("long").alias("n"))
+    falling.write.parquet(str(tmp_path / "in"))  # more than a frame of 10,000 rows
+    got = jobs.collected(jobs.dedup_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))), "append")
+    assert rows(got.where("verdict = 'append'"), "seq") == [(2,)] and got.count() == 25_000
+    for low in (200, 0, 100):  # files in no order
+        spark.range(low, low + 100).selectExpr("id as event_id", "id % 8 as user_id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/events.parquet")
+    got = catalog.queries()["idempotent_dedup"](spark, f"{tmp_path}/t")
+    firsts = {}
+    for i in range(300):
+        firsts.setdefault((i % 4, i % 5), i)
+    assert rows(got.where("verdict = 'append'"), "part", "pid", "seq") == sorted(((*k, i) for k, i in firsts.items()), key=str)
+    assert got.where("verdict = 'out_of_order'").count() == 300 - len(firsts)
+
+
+def test_deduplication_goes_on_over_micro_batches(spark, tmp_path):
+    kind = "part long, pid long, seq long, n long"
+    for found in ([(0, 1, 2, 1), (0, 1, 0, 2)], [(0, 1, 0, 2), (0, 1, 3, 1), (0, 1, 3, 1), (0, 2, 9, 1)], [(0, 1, 4, 1), (0, 2, 9, 1)]):
+        spark.createDataFrame(found, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.dedup_sink(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "batch", "pid", "seq", "verdict") == [
+        (0, 1, 0, "append"), (0, 1, 2, "append"), (1, 1, 0, "out_of_order"), (1, 1, 3, "append"), (1, 1, 3, "cached"), (1, 2, 9, "append"), (2, 1, 4, "append"), (2, 2, 9, "cached")
+    ]
+
+
 def test_retries_then_dead_letters(spark):
     table = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
     handled, dead = tables.retried(table, lambda i: F.when(F.col("v") == "b", "bad").when((F.col("v") == "c") & (i < 2), "busy"), 3)
