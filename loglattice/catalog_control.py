@@ -73,7 +73,9 @@ def _through_batches(f):
 def _read_back(f):
     rows = f.v_commit.where("committed is not null")
     coded = rows.select(binary.offset_key(F.col("grp"), F.lit("t"), F.col("part")).alias("key"), binary.offset_value(F.col("committed"), F.lit(-1), F.lit("m"), F.col("log_pos")).alias("value"))
-    return coded.select(binary.read_offset_key(F.col("key")).alias("k"), binary.read_offset_value(F.col("value")).alias("v")).where("v.epoch = -1 and v.metadata = 'm'").select("k.grp", "k.topic", "k.part", "v.committed", "v.at_ms")
+    # no where() behind the reading: it would be pushed below and read every value again
+    wanted = F.filter(F.array(binary.read_offset_value(F.col("value"))), lambda v: (v["epoch"] == -1) & (v["metadata"] == "m"))
+    return coded.select(binary.read_offset_key(F.col("key")).alias("k"), F.inline(wanted)).select("k.grp", "k.topic", "k.part", "committed", "at_ms")
 
 
 # the metadata log and the cluster

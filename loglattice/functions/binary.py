@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -130,22 +132,33 @@ def counted_text(text: Column) -> Column:
     return F.concat(big_endian(F.octet_length(data), 2), data)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once a row; without it, its whole expression stands wherever body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unsigned_at(data: Column, at: Column | int, size: int) -> Column:
+    """The big-endian integer of ``size`` bytes at a 1-based place, signed only with 8; the bytes have to be there."""
+    return F.conv(F.hex(F.substring(data, at, size)), 16, -10).cast("long")
+
+
 def integer_at(data: Column, at: Column | int, size: int) -> Column:
-    """The signed big-endian integer of ``size`` bytes at a 1-based place; null where the bytes end before.
+    """The signed big-endian integer of ``size`` bytes at a 1-based place; null where the bytes end before."""
+    value, shift = unsigned_at(data, at, size), 64 - 8 * size
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(F.octet_length(data) >= at + (size - 1), F.shiftright(F.shiftleft(value, shift), shift) if shift else value)
 
-    Each argument stands in the result as seldom as it can, since places nest.
-    """
-    digits = F.hex(F.substring(data, at, size))
-    value, shift = F.conv(digits, 16, -10).cast("long"), 64 - 8 * size
-    return F.when(F.length(digits) == 2 * size, F.shiftright(F.shiftleft(value, shift), shift))
+
+def behind_text(data: Column, at: Column | int) -> Column:
+    """The place behind the counted text at a place; null where its length ends before."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(F.octet_length(data) > at, at + 2 + unsigned_at(data, at, 2).cast("int"))
 
 
-def text_at(data: Column, at: Column | int) -> tuple[Column, Column]:
-    """(text, place behind it) of a counted text; null where the text ends before."""
+def text_at(data: Column, at: Column | int, end: Column) -> Column:
+    """The counted text between a place and the one behind it; null where the bytes end before."""
     at = F.lit(at) if isinstance(at, int) else at
-    size = F.conv(F.hex(F.substring(data, at, 2)), 16, 10).cast("int")
-    part = F.substring(data, at + 2, size)
-    return F.when(F.octet_length(part) == size, F.decode(part, "UTF-8")), at + 2 + size
+    return F.when(F.octet_length(data) >= end - 1, F.decode(F.substring(data, at + 2, end - at - 2), "UTF-8"))
 
 
 OFFSET_KEY, GROUP_KEY = 1, 2
@@ -161,17 +174,22 @@ def offset_value(offset: Column, epoch: Column, metadata: Column, at_ms: Column)
 
 def read_offset_key(key: Column) -> Column:
     """struct(grp, topic, part); null for keys of another type and cut-off ones."""
-    grp, place = text_at(key, 2)
-    topic, place = text_at(key, place)
-    part = integer_at(key, place, 4)
-    return F.when((integer_at(key, 1, 1) == OFFSET_KEY) & part.isNotNull(), F.struct(grp.alias("grp"), topic.alias("topic"), part.alias("part")))
+
+    def read(key: Column, topic_at: Column, part_at: Column) -> Column:
+        fields = text_at(key, 2, topic_at).alias("grp"), text_at(key, topic_at, part_at).alias("topic"), integer_at(key, part_at, 4).alias("part")
+        return F.when((integer_at(key, 1, 1) == OFFSET_KEY) & (F.octet_length(key) >= part_at + 3), F.struct(*fields))
+
+    return bound(key, lambda k: bound(behind_text(k, 2), lambda t: bound(behind_text(k, t), lambda p: read(k, t, p))))
 
 
 def read_offset_value(value: Column) -> Column:
     """struct(committed, epoch, metadata, at_ms); null for cut-off values."""
-    metadata, place = text_at(value, 13)
-    at_ms = integer_at(value, place, 8)
-    return F.when(at_ms.isNotNull(), F.struct(integer_at(value, 1, 8).alias("committed"), integer_at(value, 9, 4).alias("epoch"), metadata.alias("metadata"), at_ms.alias("at_ms")))
+
+    def read(value: Column, place: Column) -> Column:
+        fields = integer_at(value, 1, 8).alias("committed"), integer_at(value, 9, 4).alias("epoch"), text_at(value, 13, place).alias("metadata"), integer_at(value, place, 8).alias("at_ms")
+        return F.when(F.octet_length(value) >= place + 7, F.struct(*fields))
+
+    return bound(value, lambda v: bound(behind_text(v, 13), lambda p: read(v, p)))
 
 
 def transaction_value(pid: Column, epoch: Column, state: Column, timeout_ms: Column, at_ms: Column, partitions: Column) -> Column:
@@ -190,17 +208,22 @@ def read_transaction_head(value: Column) -> Column:
 
 def read_transaction_partitions(value: Column) -> Column:
     """array(struct(topic, part)) behind the head; null where the bytes cannot hold as many."""
-    n = integer_at(value, 26, 4)
     empty = F.array().cast("array<struct<topic:string,part:bigint>>")
 
-    def one(read: Column, _: Column) -> Column:
-        topic, at = text_at(value, read["at"])
-        entry = F.struct(topic.alias("topic"), integer_at(value, at, 4).alias("part"))
-        return F.struct((at + 4).alias("at"), F.concat(read["parts"], F.array(entry)).alias("parts"))
+    def entries(value: Column, n: Column) -> Column:
+        def one(read: Column, _: Column) -> Column:
+            def entry(at: Column) -> Column:
+                found = F.struct(text_at(value, read["at"], at).alias("topic"), integer_at(value, at, 4).alias("part"))
+                return F.struct((at + 4).alias("at"), F.concat(read["parts"], F.array(found)).alias("parts"))
+
+            return bound(behind_text(value, read["at"]), entry)
+
+        turns = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+        read = F.aggregate(turns, F.struct(F.lit(30).alias("at"), empty.alias("parts")), one)
+        whole = bound(read, lambda r: F.when(r["at"] == F.octet_length(value) + 1, r["parts"]))
+        return F.when((n >= 0) & (6 * n + 29 <= F.octet_length(value)), whole)
 
-    turns = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    read = F.aggregate(turns, F.struct(F.lit(30).alias("at"), empty.alias("parts")), one)
-    return F.when((n >= 0) & (6 * n + 29 <= F.octet_length(value)) & (read["at"] == F.octet_length(value) + 1), read["parts"])
+    return bound(value, lambda v: bound(integer_at(v, 26, 4), lambda n: entries(v, n)))
 
 
 def zigzag_column(value: Column) -> Column:

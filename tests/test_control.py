@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loglattice import catalog
 from loglattice.functions import binary
 from loglattice.operators import control, coordinator, groups, replication, stateful
 from loglattice.sources import recordbatch, tables
@@ -112,6 +113,21 @@ def test_codecs_round_trip(spark):
     assert all(r["s"] == len(binary.zigzag(r["n"])) for r in numbers.select("n", binary.varint_size(F.col("n")).alias("s")).collect())
 
 
+def integers_read(spark, tmp_path, name):
+    """How often the plan of a query reads an integer from bytes."""
+    spark.range(100).selectExpr("id as event_id", "id % 8 as user_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "'view' as event_type", "1.0d as value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    return catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("conv(")
+
+
+def test_offsets_are_read_once(spark, tmp_path):
+    assert 0 < integers_read(spark, tmp_path, "codec_offsets_topic_read") <= 8
+    coded = spark.range(1).select(binary.offset_key(F.lit("gé"), F.lit("topic"), F.lit(-7)).alias("k"), binary.offset_value(F.lit(-1), F.lit(2), F.lit("meta"), F.lit(-9)).alias("v"))
+    cut = coded.select("k", "v", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("n"))
+    for r in cut.select("k", "v", "n", binary.read_offset_key(F.substring("k", F.lit(1), F.col("n"))).alias("rk"), binary.read_offset_value(F.substring("v", F.lit(1), F.col("n"))).alias("rv")).collect():
+        assert r["rk"] == (("gé", "topic", -7) if r["n"] >= len(r["k"]) else None) and r["rv"] == ((-1, 2, "meta", -9) if r["n"] >= len(r["v"]) else None)
+    assert tuple(coded.select(binary.read_offset_key(F.lit(None).cast("binary")), binary.read_offset_value(F.lit(None).cast("binary"))).first()) == (None, None)
+
+
 def test_transaction_values_round_trip(spark):
     table = spark.createDataFrame([(1, [("t", 3), ("grüße", -1), ("", 0)]), (2, [])], "pid long, parts array<struct<topic:string,part:bigint>>")
     coded = table.select("pid", "parts", binary.transaction_value(F.col("pid"), F.lit(-3), F.lit(2), F.lit(60000), F.lit(-9), F.col("parts")).alias("v"))
