@@ -201,9 +201,8 @@ def transaction_value(pid: Column, epoch: Column, state: Column, timeout_ms: Col
 
 def read_transaction_head(value: Column) -> Column:
     """struct(pid, epoch, state, timeout_ms, at_ms, n): all but the n partitions behind it; null where it is cut off."""
-    n = integer_at(value, 26, 4)
     fields = {"pid": (1, 8), "epoch": (9, 4), "state": (13, 1), "timeout_ms": (14, 4), "at_ms": (18, 8), "n": (26, 4)}
-    return F.when(n.isNotNull(), F.struct(*[integer_at(value, *place).alias(name) for name, place in fields.items()]))
+    return bound(value, lambda v: F.when(F.octet_length(v) >= 29, F.struct(*[integer_at(v, *place).alias(name) for name, place in fields.items()])))
 
 
 def read_transaction_partitions(value: Column) -> Column:

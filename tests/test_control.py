@@ -137,6 +137,15 @@ def test_transaction_values_round_trip(spark):
     assert tuple(short) == (None, None, None)
 
 
+def test_transaction_heads_are_read_once(spark, tmp_path):
+    assert 0 < integers_read(spark, tmp_path, "codec_txn_topic_read") <= 6
+    parts = F.array(F.struct(F.lit("t").alias("topic"), F.lit(1).alias("part")))
+    coded = spark.range(31).select("id", binary.transaction_value(F.lit(-1), F.lit(2), F.lit(-3), F.lit(4), F.lit(-5), parts).alias("v"))
+    for r in coded.select("id", binary.read_transaction_head(F.substring("v", F.lit(1), F.col("id").cast("int"))).alias("h")).collect():
+        assert r["h"] == ((-1, 2, -3, 4, -5, 1) if r["id"] >= 29 else None)
+    assert coded.select(binary.read_transaction_head(F.lit(None).cast("binary")).alias("h")).first()["h"] is None
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "log")
     first = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "part long, v string")
